@@ -6,21 +6,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan, sentencepiece_codec
+from . import exact_dedup, packing, secret_scan, sentencepiece_codec, simhash_dedup, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+#: The vocabulary of byte_bpe_50k.json as ranks; the ids are the same.
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), PIECE_MODEL), PIECE_MODEL)
     n = (F.octet_length("ids") / 4).cast("long")
     return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,12 +46,24 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
 }
 
 ORACLE_SQL = {
+    "op5_warc": """
+        with rows as (select page_id, coalesce(html, '') as html from pages),
+        firsts as (select *, octet_length(encode(html)) as size, min(page_id) over (partition by html) as first from rows)
+        select page_id, size as payload_bytes, sha256(html) as payload_digest,
+               case when size >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+               case when size >= 100 and page_id <> first then first end as refers_to,
+               1 as chunks
+        from firsts
+    """,
     "op6_exact_dedup": """
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
