@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, secret_scan, sentencepiece_codec, simhash_dedup, warc
+from . import embedding_dedup, exact_dedup, language_id, packing, secret_scan, sentencepiece_codec, simhash_dedup, toxicity, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: The vocabulary of byte_bpe_50k.json as ranks; the ids are the same.
@@ -45,6 +45,18 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_columns(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -52,6 +64,9 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL = {
