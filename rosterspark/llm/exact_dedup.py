@@ -58,3 +58,10 @@ def exact_dedup(docs: DataFrame, least: int = CHUNK_LEAST, most: int = CHUNK_MOS
     groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return lists.join(groups, "recipe").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, of each group of equal texts: that of the largest ``doc_id``."""
+    kept = exact_dedup(docs).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias("_sha"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_sha": F.sha2(text_or_empty(), 256)})
+    return keyed.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, packing, secret_scan, sentencepiece_codec, simhash_dedup, toxicity, warc
+from . import embedding_dedup, exact_dedup, language_id, license_scan, packing, secret_scan, sentencepiece_codec, simhash_dedup, toxicity, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: The vocabulary of byte_bpe_50k.json as ranks; the ids are the same.
@@ -33,6 +33,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,

@@ -150,3 +150,10 @@ def simhash_dedup(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, radius
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``doc_id`` is its group's smallest; rows of one ``doc_id`` stay or go together."""
+    kept = simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return keyed.join(kept, "_id", "left_semi").select(*docs.columns)

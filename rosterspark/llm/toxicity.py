@@ -162,3 +162,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are scored each; other columns are ignored; an empty table gives an empty result.
     """
     return score(docs, train(docs, labels)).select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under 0.5."""
+    model = train(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([savings(t.as_py() or "", model.toxic, model.ordinary) for t in b.column(at)]).reshape(-1, len(model.weights))
+            yield b.filter(pa.array(x @ np.array(model.weights) + model.bias < 0))
+
+    return docs.mapInArrow(run, docs.schema)
