@@ -1,0 +1,102 @@
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from rosterspark.llm import license_scan, secret_scan
+
+
+def brute(text):
+    rules = (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 0, 20), ("hex", r"[0-9a-f]+", 0, 0, 24))
+    found = [(m.start(), k, kind, m.end()) for k, (kind, pattern, flags, group, least) in enumerate(rules) for m in re.finditer(pattern, text, flags) if len(m.group(group)) >= least]
+    return [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)]
+
+
+TEXTS = [
+    "", "nothing", None, "password = 'hunter22'", "PassWord:abcdef SECRET=\"0123456789abcdef01234567\"", "password: token: abcdefgh", "token=abc token=abcdef", "é😀 api_key=ABCDEF/+= x",
+    "AKIA" + "A" * 15, "AKIA" + "A" * 16, "xAKIAAKIA" + "9" * 20 + "z", "f" * 23, "f" * 24 + " " + "0" * 30, "passwd=" + "a" * 40, "password=ab password=abcdef" * 50, "ſecret=abcdefgh", "toKen=abcdefgh", "secret=\n abcdefgh",
+    "-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY-----", "x" * 50_000 + " token=abcdef0 ", "ghp_" + "a" * 36,
+]
+
+
+def scanned(docs, **kw):
+    return secret_scan.digest_columns(secret_scan.secret_scan(docs, **kw))
+
+
+def check(rows, docs):
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    assert sorted((r.doc_id for r in rows), key=repr) == sorted((r.doc_id for r in docs.select("doc_id").collect()), key=repr)
+    for r in rows:
+        if r.doc_id is None:
+            continue
+        expected = brute(texts[r.doc_id])
+        kinds = Counter(e.split(":")[0] for e in expected)
+        assert (r.n_assign, r.n_access, r.n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
+        assert r.base_sha256 == __import__("hashlib").sha256(",".join(expected).encode()).hexdigest()
+        assert set(expected) <= set(r.spans.split(",")) | {""}
+
+
+def test_secret_spans(spark, small, no_docs):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    check(scanned(docs).collect(), docs)
+    check(scanned(small("documents")).collect(), small("documents"))
+    assert scanned(no_docs).isEmpty()
+
+
+def test_secret_odd_rows(odd_docs):
+    assert scanned(odd_docs).count() == odd_docs.count()
+
+
+def test_ledger_scans_each_blob_once(spark, tmp_path):
+    ledger, schema = f"{tmp_path}/ledger", "doc_id long, text string"
+    first = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, "clean")], schema)
+    scanned(first, ledger=ledger).collect()
+    assert spark.read.parquet(ledger).count() == 2
+    again = spark.createDataFrame([(1, "token=abcdef v2"), (2, "token=abcdef"), (4, "clean"), (5, "new")], schema)
+    rows = {r.doc_id: r.spans for r in scanned(again, ledger=ledger).collect()}
+    assert rows == {1: "assign:0:12", 2: "assign:0:12", 4: "", 5: ""} and spark.read.parquet(ledger).count() == 4
+    other = secret_scan.BASE_RULES[1:]
+    secret_scan.secret_scan(again, ledger, other).collect()
+    assert spark.read.parquet(ledger).groupBy("rule_version").count().count() == 2
+
+
+def test_redaction(spark, odd_docs):
+    docs = spark.createDataFrame([(1, "a token=abcdef b", "k"), (2, "password=" + "0" * 30 + " end", "k"), (3, None, "k"), (4, "clean", "k"), (5, "token=abcdef", "k"), (6, "token=abcdef token=ghijkl!", "k")], "doc_id int, text string, blob string")
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns
+    assert {r.doc_id: r.text for r in clean.collect()} == {1: "a [secret] b", 2: "[secret] end", 3: None, 4: "clean", 5: "[secret]", 6: "[secret] [secret]!"}
+    assert secret_scan.redact(odd_docs).count() == odd_docs.count()
+
+
+@pytest.fixture(scope="module")
+def model(small):
+    return license_scan.train(small("documents"))
+
+
+def test_gram_functions_agree(spark):
+    texts = ["Licensed under the Apache License, Version 2.0.", "a", "", "GPL-3.0-or-later  (x/y)", "é b c d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", license_scan._grams(F.col("t")).alias("g")).collect()
+    assert {r.i: set(r.g) for r in rows} == {i: license_scan.grams(t) for i, t in enumerate(texts)}
+
+
+def test_license_families(spark, model):
+    cases = [(f, "Some prose before.\n" + t + "\nand prose after.") for f, ts in license_scan.TEMPLATES.items() for t in ts]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id int, text string")
+    found = {r.doc_id: r.licences for r in license_scan.license_scan(docs, model).collect()}
+    assert sum(found[i] == f for i, (f, _) in enumerate(cases)) / len(cases) >= 0.95
+
+
+def test_license_negatives_and_unknown(spark, model):
+    texts = [None, "", "plain", "He lost his driving licence last year.", "The copyright office opens at nine.", "The Zorblax Public License governs redistribution of this software form."]
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()
+    assert [r.licences for r in rows] == [""] * 6 and all(r.n_confirmed == 0 for r in rows)
+
+
+def test_license_documents(small, odd_docs, no_docs, model):
+    lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    docs = {r.doc_id: r.text for r in small("documents").collect()}
+    found = {r.doc_id: r.licences for r in license_scan.license_scan(small("documents"), model).collect()}
+    assert found == {i: ",".join(sorted(f for f, line in lines.items() if line in t)) for i, t in docs.items()} and any(found.values())
+    assert license_scan.license_scan(odd_docs, model).count() == odd_docs.count()
+    assert license_scan.license_scan(no_docs).isEmpty()
