@@ -1,0 +1,81 @@
+"""The pipeline as a whole, each stage held against plain Python over its own input."""
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from rosterspark.llm import queries, secret_scan, simhash_dedup, toxicity
+from rosterspark.llm.shared import materialize
+
+from test_dedup import brute_fingerprint, roots
+from test_scans import brute
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    docs = queries.table(spark, SMALL, "documents")
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out.append(materialize(stage(spark, out[-1], SMALL), "test"))
+    return out
+
+
+def rows(docs):
+    return {r.doc_id: r for r in docs.collect()}
+
+
+def test_toxicity_stage(spark, steps):
+    model = toxicity.train(steps[0], queries.table(spark, SMALL, "labels"))
+    passes = {i for i, r in rows(steps[0]).items() if np.dot(toxicity.savings(r.text, model.toxic, model.ordinary), model.weights) + model.bias < 0}
+    assert set(rows(steps[1])) == passes and all(steps[k].columns == steps[0].columns for k in range(5))
+
+
+def test_exact_stage(steps):
+    before, after = rows(steps[1]), rows(steps[2])
+    last = {r.text: i for i, r in sorted(before.items())}
+    assert set(after) == set(last.values())
+
+
+def test_near_stage(steps):
+    before = sorted(rows(steps[2]).items())
+    prints = [brute_fingerprint(r.text) for _, r in before]
+    links = [(i, j) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= simhash_dedup.RADIUS]
+    assert set(rows(steps[3])) == {before[r][0] for r in roots(len(before), links)}
+
+
+def test_secret_stage(steps):
+    before, after = rows(steps[3]), rows(steps[4])
+    assert set(before) == set(after) and not any(brute(r.text) for r in after.values())
+    for i, r in before.items():
+        assert after[i].text == r.text if not brute(r.text) and "[secret]" not in after[i].text else after[i].text != r.text
+    assert secret_scan.RULES
+
+
+def test_packing_stage(spark, steps):
+    pieces = steps[5].collect()
+    assert {p.doc_id for p in pieces} == set(rows(steps[4]))
+    assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+    assert corpus_pipeline.run(spark, SMALL).count() == len(pieces)
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
+    wanted = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in wanted.description]
+    found = queries.QUERIES[name](spark, SMALL)
+    assert sorted(found.columns) == sorted(names)
+    assert sorted((tuple(r) for r in found.select(*names).collect()), key=repr) == sorted(wanted.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("name", [q for q in queries.QUERIES if q not in queries.ORACLE_SQL])
+def test_query_covers_its_table(spark, name):
+    found = queries.QUERIES[name](spark, SMALL)
+    source, key = ("embeddings", "vec_id") if name.startswith("op10") else ("documents", "doc_id")
+    ids = [r[0] for r in found.select(key).collect()]
+    assert set(ids) == {r[0] for r in queries.table(spark, SMALL, source).select(key).collect()} and (name == "op1_packing" or len(ids) == len(set(ids)))
