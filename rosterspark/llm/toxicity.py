@@ -46,18 +46,24 @@ def _starts(text: str) -> set[bytes]:
     return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
-def learn_dictionary(own: list[set[bytes]], other: list[set[bytes]]) -> bytes:
+def learn_dictionary(own: list[str], other: list[str]) -> bytes:
     """Word starts that mark ``own`` texts, the strongest last, where zstd finds them cheapest.
 
     They are taken greedily by the texts that they mark; a text that has marks already counts half as much for each, so
-    that many copies of one text do not bring in all of its words.
+    that many copies of one text do not bring in all of its words. Texts are gone through one at a time, and of the
+    other class only word starts that can be marks are counted, which keeps the driver's memory small.
     """
-    own_df, other_df = (Counter(w for t in c for w in t) for c in (own, other))
-    bar = ODDS * (len(own) + 1) / (len(other) + 1)
-    least = max(LEAST, LEAST_SHARE * len(own))
-    marks = sorted((w for w, n in own_df.items() if n >= least and n + 0.5 >= bar * (other_df[w] + 0.5)), key=lambda w: (-len(w), w))
+    least, bar = max(LEAST, LEAST_SHARE * len(own)), ODDS * (len(own) + 1) / (len(other) + 1)
+    own_df: Counter = Counter()
+    for t in own:
+        own_df.update(_starts(t))
+    own_df = Counter({w: n for w, n in own_df.items() if n >= least})
+    other_df: Counter = Counter()
+    for t in other:
+        other_df.update(own_df.keys() & _starts(t))
+    marks = sorted((w for w, n in own_df.items() if n + 0.5 >= bar * (other_df[w] + 0.5)), key=lambda w: (-len(w), w))
     place = {w: i for i, w in enumerate(marks)}
-    pairs = np.array([(place[w], k) for k, t in enumerate(own) for w in t if w in place], np.int64).reshape(-1, 2)
+    pairs = np.array([(place[w], k) for k, t in enumerate(own) for w in place.keys() & _starts(t)], np.int64).reshape(-1, 2)
     share, taken, open_ = np.ones(len(own)), [], np.ones(len(marks), bool)
     while marks and sum(map(len, taken)) < DICTIONARY:
         gain = np.where(open_, np.bincount(pairs[:, 0], share[pairs[:, 1]], len(marks)), 0)
@@ -135,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = totals[0] / max(sum(totals), 1)
     if min(len(toxic), len(ordinary)) < 3:
         return Model(b"", b"", (0.0,) * 5, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))
-    seen = [[_starts(t) for i, t in enumerate(c) if i % 3] for c in texts]
+    seen = [[t for i, t in enumerate(c) if i % 3] for c in texts]
     dictionaries = [learn_dictionary(seen[k], seen[1 - k]) for k in (0, 1)]
     rest = [[t for i, t in enumerate(c) if not i % 3] for c in texts]
     x = np.array([savings(t, *dictionaries) for c in rest for t in c])
