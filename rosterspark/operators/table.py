@@ -24,17 +24,20 @@ def insert(records: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def positions(records: DataFrame, column: str, key: Any, order: str) -> DataFrame:
-    """The rows found, with ``position``: their 0-based rank among all rows by ``order``, a unique column.
+    """The rows found, with ``position``: their 0-based rank among all rows by ``order``, a unique numeric column.
 
-    Ranks of a whole table need one order over it; the rows are ranked within ranges of ``order`` that are sorted in
-    parallel, and each range then starts where the ones before it end.
+    One sort of a whole table in one task would not scale. Quantiles of ``order`` cut it into ranges, each range is
+    ranked by itself, and starts where the ranges before it end.
     """
-    ranged = records.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(order)
-    ranked = ranged.withColumn("_at", F.row_number().over(within) - 1)
-    sizes = ranked.groupBy("_part").agg(F.max("_at").alias("_last"))
-    starts = sizes.select("_part", (F.sum(F.col("_last") + 1).over(Window.orderBy("_part")) - F.col("_last") - 1).alias("_start"))  # a row per partition
-    joined = find(ranked, column, key).join(F.broadcast(starts), "_part")
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = records.approxQuantile(order, [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    ranged = records.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(order))))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    ends = F.sum("_size").over(Window.orderBy("_range"))  # a row for each range
+    starts = sizes.select("_range", (ends - F.col("_size")).alias("_start"))
+    ranked = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1)
+    joined = find(ranked, column, key).join(F.broadcast(starts), "_range")
     return joined.select(*records.columns, (F.col("_start") + F.col("_at")).alias("position"))
 
 

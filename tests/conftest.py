@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 
 import pytest
@@ -22,4 +23,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    shutil.rmtree("/tmp/checkpoints/tables", ignore_errors=True)
     session.stop()
