@@ -44,5 +44,5 @@ def split_valid(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     age = parse_integer(F.col("age"))
     bad_name, bad_age = ~matches(F.col("name"), NAME_PATTERN), ~in_range(age, AGE_LOW, AGE_HIGH)
     marked = answers.withColumn("reason", F.when(bad_name, "name").when(bad_age, "age"))
-    accepted = marked.where("reason is null").select("name", "phone", "email", age.cast("int").alias("age"), parse_or_default(F.col("grade")).alias("grade"), "etc", *(c for c in answers.columns if c not in ("name", "phone", "email", "age", "grade", "etc")))
+    accepted = marked.where("reason is null").withColumns({"age": age.cast("int"), "grade": parse_or_default(F.col("grade"))}).drop("reason")
     return accepted, marked.where("reason is not null")

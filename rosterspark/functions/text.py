@@ -58,8 +58,7 @@ def centre(c: Column, width: int) -> Column:
 def row_line(grade: Column, name: Column, phone: Column, email: Column, age: Column, etc: Column) -> Column:
     """A record as one aligned line, tab-separated; widths pad and never cut. Nulls are empty."""
     texts = [F.coalesce(c, F.lit("")) for c in (stars(grade), name, phone, email)]
-    aged = F.coalesce(F.format_string("%3d", age.cast("int")), F.lit("   "))
-    aged = F.when(age.isNull(), F.lit("   ")).otherwise(aged)
+    aged = F.when(age.isNull(), F.lit("   ")).otherwise(F.format_string("%3d", age.cast("int")))
     return F.concat(F.format_string("%5s\t%-3s\t%-13s\t%-10s\t", *texts), aged, F.lit("\t"), F.coalesce(etc, F.lit("")))
 
 
