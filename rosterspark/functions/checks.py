@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import parse_integer
 
-#: Two Hangul syllables side by side, anywhere in the text.
+# Two Hangul syllables side by side, anywhere in a name; the ends of ages and grades.
 NAME_PATTERN = "[가-힣]{2,}"
 AGE_LOW, AGE_HIGH, GRADE_LOW, GRADE_HIGH = 0, 130, 1, 5
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the lines that are repeated by default.
+LINES = ("Hello, Python", "Hello, World")
 #: Terms from F(0) to F(183), the last that DECIMAL(38,0) holds, are available.
 LAST_TERM = 183
 
@@ -53,7 +55,7 @@ def fibonacci_line(spark: SparkSession, below: int = 100) -> DataFrame:
     return fibonacci(spark, below).agg(F.when(F.count(F.lit(1)) > 0, F.concat(joined, F.lit(" "))).otherwise("").alias("line"))
 
 
-def repeat_lines(spark: SparkSession, count: int, lines: Sequence[str] = ("Hello, Python", "Hello, World")) -> DataFrame:
+def repeat_lines(spark: SparkSession, count: int, lines: Sequence[str] = LINES) -> DataFrame:
     """(seq, line): the lines ``count`` times, in turn; nothing for zero or less."""
     rows = spark.range(max(count, 0)).select(F.col("id"), F.posexplode(F.array(*map(F.lit, lines))).alias("pos", "line"))
     return rows.select((F.col("id") * len(lines) + F.col("pos")).alias("seq"), "line")

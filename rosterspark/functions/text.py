@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: how a rendered record's columns before the age are padded.
+ROW_FORMAT = "%5s\t%-3s\t%-13s\t%-10s\t"
 #: An integer as Python's int() reads it, ASCII digits only (other digits are not supported).
 INTEGER = r"^[+-]?[0-9]+(_[0-9]+)*$"
 
@@ -59,7 +61,7 @@ def row_line(grade: Column, name: Column, phone: Column, email: Column, age: Col
     """A record as one aligned line, tab-separated; widths pad and never cut. Nulls are empty."""
     texts = [F.coalesce(c, F.lit("")) for c in (stars(grade), name, phone, email)]
     aged = F.when(age.isNull(), F.lit("   ")).otherwise(F.format_string("%3d", age.cast("int")))
-    return F.concat(F.format_string("%5s\t%-3s\t%-13s\t%-10s\t", *texts), aged, F.lit("\t"), F.coalesce(etc, F.lit("")))
+    return F.concat(F.format_string(ROW_FORMAT, *texts), aged, F.lit("\t"), F.coalesce(etc, F.lit("")))
 
 
 def is_yes(answer: Column) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import encode_line, narrow, row_line
+from ..functions.text import ROW_FORMAT, encode_line, narrow, row_line
 from ..schema import FIELDS
 
 #: Quote only where needed, double quotes inside, keep blanks and empty texts as they are.
 CSV = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# The width of rulers and titles, and a table's head.
 RULER = 70
+HEAD = ("GRADE", "NAME", "PHONE", "EMAIL", "AGE", "ETC")
 
 
 def save_csv(records: DataFrame, path: str, keep_if_empty: bool = True) -> bool:
@@ -41,6 +43,6 @@ def rendered(records: DataFrame) -> DataFrame:
 
 def render_table(records: DataFrame, title: str = "RECORDS") -> str:
     """The whole table as text, for a terminal. Rows come to the driver one partition at a time."""
-    head = "{:>5}\t{:3}\t{:13}\t{:10}\t{:3}\t{}".format("GRADE", "NAME", "PHONE", "EMAIL", "AGE", "ETC")
+    head = f"{ROW_FORMAT % HEAD[:4]}{HEAD[4]}\t{HEAD[5]}"
     body = [r.line for r in rendered(records).toLocalIterator()]
     return "\n".join(["=" * RULER, title.center(RULER), "-" * RULER, head, "-" * RULER, *body, "=" * RULER])
