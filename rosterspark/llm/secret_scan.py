@@ -75,8 +75,8 @@ def find_secrets(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def scan_blobs(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Bring the ledger at path ``ledger`` up to date with ``versions(text)`` and return its rows for these rules.
 
-    Only blobs without a row for this rule version are scanned, each once. Rows are appended, never rewritten; a retried
-    append repeats equal rows at most, so reads take one row for each blob.
+    Only blobs without a row for this rule version are scanned, each once. Rows are appended, never rewritten; a task
+    that is repeated leaves no second row, as only its last attempt is committed. A ledger has one writer at a time.
     """
     spark, version = versions.sparkSession, rule_version(rules)
     schema = "blob string, rule_version string, findings array<struct<start:int,ord:int,kind:string,end:int>>"
@@ -88,7 +88,7 @@ def scan_blobs(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES
         blobs = blobs.join(done, "blob", "left_anti")
     unseen = blobs.dropDuplicates(["blob"])
     unseen.select("blob", F.lit(version).alias("rule_version"), find_secrets(F.col("text"), rules).alias("findings")).write.mode("append").parquet(ledger)
-    return spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == version).dropDuplicates(["blob"])
+    return spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == version)
 
 
 def secret_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
