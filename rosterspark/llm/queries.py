@@ -61,6 +61,37 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def secret_sql() -> str:
+    """The secret scan in SQL: stretches between matches and matches give the spans, as in the operator."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rules = " union all ".join(
+        f"select doc_id, {quoted(r.kind)} as kind, {i} as ord, {r.least} as least, string_split_regex(text, {quoted(r.pattern)}) as gaps, "
+        f"regexp_extract_all(text, {quoted(r.pattern)}) as whole, regexp_extract_all(text, {quoted(r.pattern)}, {r.group}) as counted "
+        f"from texts where regexp_matches(text, {quoted(r.hint)})"
+        for i, r in enumerate(secret_scan.RULES)
+    )
+    base = f"ord < {len(secret_scan.BASE_RULES)}"
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secret_scan.BASE_RULES)
+    span = "kind || ':' || begins || ':' || (begins + size)"
+    return f"""
+        with texts as (select doc_id, coalesce(text, '') as text from documents),
+        matches as ({rules}),
+        placed as (select doc_id, kind, ord, least, whole, counted, gaps, unnest(range(1, len(whole) + 1)) as i from matches),
+        spans as (
+            select doc_id, kind, ord, length(whole[i]) as size,
+                   cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) as bigint) as begins
+            from placed where length(counted[i]) >= least
+        ),
+        found as (
+            select doc_id, {counts}, string_agg({span}, ',' order by begins, ord) filter ({base}) as base, string_agg({span}, ',' order by begins, ord) as spans
+            from spans group by doc_id
+        )
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from texts left join found using (doc_id)
+    """
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -75,6 +106,17 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_secret_scan": secret_sql(),
+    "op10_embedding_dedup": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+        fine as (select * from v where label is not null and list_dot_product(e, e) > 0 and isfinite(list_dot_product(e, e))),
+        links as (select a.vec_id as a, b.vec_id as b from fine a join fine b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach(id, other) as (select vec_id, vec_id from v union select reach.id, links.b from reach join links on links.a = reach.other),
+        least as (select id, min(other) as component_id from reach group by id),
+        counts as (select a, count(*) as n from links group by a)
+        select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+        from v join least on id = vec_id left join counts on a = vec_id
+    """,
     "op5_warc": """
         with rows as (select page_id, coalesce(html, '') as html from pages),
         firsts as (select *, octet_length(encode(html)) as size, min(page_id) over (partition by html) as first from rows)
