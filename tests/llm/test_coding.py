@@ -46,6 +46,7 @@ def test_long_texts(library):
 
 def test_memo_forgets(monkeypatch):
     monkeypatch.setattr(sentencepiece_codec, "MEMO_ENTRIES", 5)
+    monkeypatch.setattr(sentencepiece_codec, "PAIR_ENTRIES", 5)
     table = sentencepiece_codec.PrefixTable(MODEL)
     text = " ".join(f"word{i} thing" for i in range(40))
     assert ids(table, text) == [1, *table.model.encode(text), 2] and len(table.memo) <= 5 and len(table.pairs) <= 5

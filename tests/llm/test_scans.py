@@ -88,9 +88,10 @@ def test_license_families(spark, model):
 
 
 def test_license_negatives_and_unknown(spark, model):
-    texts = [None, "", "plain", "He lost his driving licence last year.", "The copyright office opens at nine.", "The Zorblax Public License governs redistribution of this software form."]
+    texts = [None, "", "plain", "He lost his driving licence last year.", "The copyright office opens at nine.", "Licensed under the Zorblax License, Version 9."]
     rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()
     assert [r.licences for r in rows] == [""] * 6 and all(r.n_confirmed == 0 for r in rows)
+    assert [r.n_unknown for r in rows] == [0] * 5 + [1]
 
 
 def test_license_documents(small, odd_docs, no_docs, model):
