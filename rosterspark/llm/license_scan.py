@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, text_or_empty
+from .shared import bounded_sample, materialize, text_or_empty
 
 # Licence families and the notices that name or grant them.
 TEMPLATES = {
@@ -180,7 +180,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     """(blob, pos, paragraph, family, probability, overlap, confirmed) of every gated paragraph of the distinct texts of ``docs(text)`` that is not ``none``."""
     spark = docs.sparkSession
     blobs = docs.where(F.col("text").rlike(GATE)).select(F.sha2("text", 256).alias("blob"), F.posexplode(paragraphs(F.col("text"))).alias("pos", "paragraph"))
-    found = blobs.where(F.col("paragraph").rlike(GATE)).dropDuplicates(["blob", "pos"])
+    found = materialize(blobs.where(F.col("paragraph").rlike(GATE)).dropDuplicates(["blob", "pos"]), "paragraphs")
     rows = found.select("blob", "pos", F.explode(_grams(F.col("paragraph"))).alias("gram"))
     # Both tables are as long as the templates have grams.
     weights = F.broadcast(spark.createDataFrame([(g, list(w)) for g, w in model.weights.items()], "gram string, w array<double>"))
