@@ -124,11 +124,12 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, bucket_most: int = BUCKET
     """Edges (a, b) whose components are those of all pairs of ``nodes(fp)`` within ``radius`` bits (an even number)."""
     masks = covering_masks(radius)
     tables = F.array(*(F.struct(F.lit(t).cast("short").alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks, 1)))
-    rows = nodes.select("fp", F.explode(tables).alias("t")).select("t.tab", "t.key", "fp")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A row becomes one for each table, so few small partitions would become few large ones.
+    rows = nodes.repartition(n, "fp").select("fp", F.explode(tables).alias("t")).select("t.tab", "t.key", "fp")
     sizes = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(rows.join(sizes, ["tab", "key"]), "buckets")
-    n = nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    small = shared.where(F.col("n") <= bucket_most).select("tab", "key", "fp").repartition(int(n), "tab", "key").sortWithinPartitions("tab", "key")
+    small = shared.where(F.col("n") <= bucket_most).select("tab", "key", "fp").repartition(n, "tab", "key").sortWithinPartitions("tab", "key")
     forest = small.mapInArrow(lambda batches: _forest(batches, radius), "a long, b long")
     large = shared.where(F.col("n") > bucket_most)
     named = large.select("tab", "fp", F.explode(_near_values(F.col("fp"), F.col("tab").cast("int"), masks, radius)).alias("value"))
