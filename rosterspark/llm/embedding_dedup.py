@@ -146,7 +146,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     full = nodes.select("node", "label", "embedding", "least", "weight").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    smallest = full.groupBy("root").agg(F.min("least").alias("smallest"))
+    smallest = materialize(full.groupBy("root").agg(F.min("least").alias("smallest")), "smallest")
     classes = full.join(smallest, "root").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "smallest")
     out = rows.join(classes, ["label", "embedding"], "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

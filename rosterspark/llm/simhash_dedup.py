@@ -147,8 +147,8 @@ def simhash_dedup(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, radius
     prints = materialize(fingerprints(docs, words_in_shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(near_edges(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = materialize(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "placed")
+    smallest = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     classes = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 

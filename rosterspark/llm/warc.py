@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, new_path
 
 #: Payloads of at least so many bytes may be revisits; bytes in a chunk; bytes after which a new archive begins.
-REVISIT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 100, 1 << 20, 64 << 20
+REVISIT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 100, 1 << 20, 256 << 20
 #: All records carry one date, so that equal inputs give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,6 +39,7 @@ def record_plan(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     first = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
+    first = materialize(first, "first")
     return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
