@@ -8,8 +8,9 @@ chunks. Chunks become identifiers once; after that only lists of identifiers mov
    added to the identifier, so two chunks never share one;
 3. recipe: a document's identifiers in order; documents with equal recipes are copies.
 
-Counting uses map-side aggregation, and the joins are plain equi-joins that adaptive execution can split, so a chunk or
-a group of copies that holds a third of all rows needs no single task.
+Counting uses map-side aggregation. The join on chunks is a plain equi-join that adaptive execution can split, and
+groups of copies are joined back by recipe and salt, so a chunk or a group of copies that holds a third of all rows needs
+no single task.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import materialize, text_or_empty
 
 CHUNK_LEAST, CHUNK_MOST = 1024, 8192
+#: Parts into which the rows of each group of copies are dealt.
+SALTS = 64
 
 
 def chunk_pattern(least: int = CHUNK_LEAST, most: int = CHUNK_MOST) -> str:
@@ -37,8 +40,9 @@ def chunk_occurrences(docs: DataFrame, least: int = CHUNK_LEAST, most: int = CHU
 def recipes(docs: DataFrame, least: int = CHUNK_LEAST, most: int = CHUNK_MOST) -> DataFrame:
     """(doc_id, text_sha256, recipe, n): a row per distinct (doc_id, text); ``n`` counts the rows that repeat it."""
     found = chunk_occurrences(docs, least, most)
-    shared_hash = found.where("pos is not null").groupBy("hash").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high").select("hash", F.lit(True).alias("clash"))
-    ids = found.join(shared_hash, "hash", "left").select("doc_id", "text_sha256", "pos", F.struct("hash", F.when(F.col("clash"), F.col("digest")).alias("digest")).alias("id"))
+    pairs = found.where("pos is not null").groupBy("hash").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    clashes = materialize(pairs.where("low != high").select("hash", F.lit(True).alias("clash")), "clashes")  # hardly ever a row
+    ids = found.join(clashes, "hash", "left").select("doc_id", "text_sha256", "pos", F.struct("hash", F.when(F.col("clash"), F.col("digest")).alias("digest")).alias("id"))
     # A document's rows may repeat: the set of (position, identifier) is its recipe, and position 0 counts the rows.
     lists = ids.groupBy("doc_id", "text_sha256").agg(
         F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))).alias("parts"),
@@ -54,10 +58,12 @@ def exact_dedup(docs: DataFrame, least: int = CHUNK_LEAST, most: int = CHUNK_MOS
     smallest). Rows that repeat both id and text are one document: they count in ``group_size`` but come out once.
     An empty table gives an empty result.
     """
-    lists = recipes(docs.select("doc_id", "text"), least, most)
-    groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    lists = materialize(recipes(docs.select("doc_id", "text"), least, most).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), "recipes")
+    parts = lists.groupBy("recipe", "salt").agg(F.max("doc_id").alias("most"), F.sum("n").alias("n"))
+    groups = parts.groupBy("recipe").agg(F.max("most").alias("keep_id"), F.sum("n").alias("group_size"))
+    salted = parts.select("recipe", "salt").join(groups, "recipe")  # a group has at most SALTS rows here
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return lists.join(groups, "recipe").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return lists.join(salted, ["recipe", "salt"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
