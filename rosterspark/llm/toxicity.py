@@ -4,7 +4,8 @@ text and one learnt from ordinary text; the bytes that the first saves over the
 A dictionary holds the word starts that mark its class, those whose document frequency there is several times that in the
 other class. What is common to both classes would help both dictionaries alike and add only noise. Every window begins with a fixed primer that both dictionaries hold, so that each
 window compresses, and one marked word already shows in its length; windows are so short that literals stay raw.
-Savings are calibrated to a probability by logistic regression on labelled rows that the dictionaries have not seen.
+Savings are calibrated to a probability by logistic regression on labelled rows, each under dictionaries that have not
+seen it; the dictionaries in use are then learnt from all of them.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, fold
+from .shared import bounded_sample, fold, text_or_empty
 
 #: Folds of the label split; the held-out one. Labelled rows of each class that are learnt from, and characters of each.
 FOLDS, HELD_OUT, TOXIC_ROWS, ORDINARY_ROWS, TRAIN_CHARS = 5, 0, 2000, 4000, 20_000
+#: Parts of the training rows for calibration, and rows of each part and class that are calibrated on.
+PARTS, CALIBRATED = 3, 500
 #: Bytes of a window; of a word start (its blank included); how much commoner it must be in its class; least documents (count, share); bytes of a dictionary.
 WINDOW, SHORTEST, LONGEST, ODDS, LEAST, LEAST_SHARE, DICTIONARY = 56, 6, 14, 20.0, 4, 0.008, 8192
 #: Bytes that a window must save to count as strong evidence: a chance match saves less.
@@ -130,23 +133,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     told apart: then every text scores the share of toxic labels.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts, totals = [], []
-    for value, rows in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
-        of_class = known.where(F.col("toxic") == value)
-        totals.append(of_class.count())
-        drawn = F.broadcast(bounded_sample(of_class.select("doc_id"), "doc_id", rows))  # at most twice ``rows`` ids
-        found = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS).alias("text")).join(drawn, "doc_id").dropDuplicates(["doc_id"])
-        texts.append([t for _, t in sorted((r for r in found.collect()), key=lambda r: r[0])])
+    totals = [known.where(F.col("toxic") == value).count() for value in (1, 0)]
+    drawn = [bounded_sample(known.where(F.col("toxic") == value), "doc_id", rows) for value, rows in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
+    ids = F.broadcast(drawn[0].union(drawn[1]))  # at most twice both bounds
+    found = docs.select("doc_id", F.substring(text_or_empty(), 1, TRAIN_CHARS).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"])
+    rows = sorted(found.collect(), key=lambda r: r.doc_id)
+    texts = [[r.text for r in rows if r.toxic == value] for value in (1, 0)]
     toxic, ordinary = texts
     prior = totals[0] / max(sum(totals), 1)
     if min(len(toxic), len(ordinary)) < 3:
         return Model(b"", b"", (0.0,) * 5, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))
-    seen = [[t for i, t in enumerate(c) if i % 3] for c in texts]
-    dictionaries = [learn_dictionary(seen[k], seen[1 - k]) for k in (0, 1)]
-    rest = [[t for i, t in enumerate(c) if not i % 3] for c in texts]
-    x = np.array([savings(t, *dictionaries) for c in rest for t in c])
-    y = np.repeat([1.0, 0.0], [len(c) for c in rest])
-    weight = np.repeat([n / max(len(c), 1) for n, c in zip(totals, rest, strict=True)], [len(c) for c in rest])
+    x, y, weight = [], [], []
+    for part in range(PARTS):  # texts are calibrated under dictionaries that have not seen them
+        seen = [[t for i, t in enumerate(c) if i % PARTS != part] for c in texts]
+        rest = [[t for i, t in enumerate(c) if i % PARTS == part][:CALIBRATED] for c in texts]
+        dictionaries = [learn_dictionary(seen[k], seen[1 - k]) for k in (0, 1)]
+        for c, value, total in zip(rest, (1.0, 0.0), totals, strict=True):
+            x += [savings(t, *dictionaries) for t in c]
+            y += [value] * len(c)
+            weight += [total / max(len(c), 1)] * len(c)
+    x, y, weight = map(np.array, (x, y, weight))
+    dictionaries = [learn_dictionary(texts[k], texts[1 - k]) for k in (0, 1)]
     w, bias = fit_logistic(x, y, weight * len(y) / weight.sum())
     return Model(*dictionaries, tuple(w.tolist()), bias)
 
