@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 SEGMENTS = re.compile(f"{MARK}+[^{MARK}]*")
-#: Bounds of what a Python worker remembers, and of the bytes in one output batch.
-MEMO_ENTRIES, MEMO_LENGTH, BATCH_BYTES = 300_000, 48, 4 << 20
+#: Bounds of what a Python worker remembers (words, their length, pairs), and of the bytes in one output batch.
+MEMO_ENTRIES, MEMO_LENGTH, PAIR_ENTRIES, BATCH_BYTES = 300_000, 48, 700_000, 4 << 20
 
 
 class PrefixTable:
@@ -63,7 +63,7 @@ class PrefixTable:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MEMO_ENTRIES:
+            if len(self.pairs) >= PAIR_ENTRIES:
                 self.pairs.clear()
             a, b = self.piece[left], self.piece[right]
             known = self.pairs[key] = self.merge(a + b) == [a, b]

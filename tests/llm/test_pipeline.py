@@ -64,7 +64,7 @@ def test_packing_stage(spark, steps):
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     wanted = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in wanted.description]
