@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 WINDOW, SHARD_TOKENS, END_ID = 1024, 1 << 19, 0
+#: Added tokens of byte_bpe_50k.json: their strings are one id wherever a text holds them.
+SPECIAL = {"<|endoftext|>": 50256}
 #: BM25's constants; the terms of a query; the neighbours that one query returns.
 K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 64, 16
 
@@ -30,7 +32,7 @@ K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 64, 16
 def tokenizer(ranks: str, pattern: str) -> tiktoken.Encoding:
     with open(ranks, "rb") as lines:
         pairs = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=pairs, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=pairs, special_tokens=SPECIAL)
 
 
 def tokenize(docs: DataFrame, ranks: str, pattern: str, end_id: int = END_ID) -> DataFrame:
@@ -41,7 +43,7 @@ def tokenize(docs: DataFrame, ranks: str, pattern: str, end_id: int = END_ID) ->
         if coder.max_token_value >= 1 << 16:
             raise ValueError("the vocabulary has over 65536 ids")
         for b in batches:
-            ids = [coder.encode_to_numpy(t.as_py() or "", disallowed_special=()).astype("<u2").tobytes() + end for t in b.column(1)]
+            ids = [coder.encode_to_numpy(t.as_py() or "", allowed_special="all").astype("<u2").tobytes() + end for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 2 for i in ids], pa.int64())], names=["doc_id", "ids", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n long")

@@ -78,6 +78,12 @@ def test_ranks_give_the_same_ids(text):
     assert own.encode_ordinary(text) == reference.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "  <|endoftext|>  <|ENDOFTEXT|> "])
+def test_special_strings_give_the_same_ids(spark, reference, text):
+    row = packing.tokenize(spark.createDataFrame([(1, text)], "doc_id long, text string"), queries.RANKS, queries.PATTERN).first()
+    assert np.frombuffer(row.ids, "<u2").tolist() == [*reference.encode(text, add_special_tokens=False).ids, 0]
+
+
 def check_packing(docs, reference, window, **kw):
     rows = packing.pack(docs, queries.RANKS, queries.PATTERN, window, **kw).collect()
     expected = sorted(((r.doc_id, tuple(reference.encode(r.text or "", add_special_tokens=False).ids) + (0,)) for r in docs.select("doc_id", "text").collect()), key=repr)
