@@ -3,7 +3,8 @@
 Documents are dealt at random to shards of about ``SHARD_TOKENS`` tokens, so that a shard is small however large the
 corpus and however many documents one source holds. Document frequencies are counted over the whole corpus (a table no
 longer than the vocabulary). Each shard builds an inverted index of BM25 weights; a seed's heaviest terms are its query,
-and its best unused neighbours follow it until the window is full. A document that the window cuts goes on in the next
+and its best unused neighbours follow it until the window is full; it is asked again whenever those of one answer are
+used up, and a new seed is taken only when it has none left. A document that the window cuts goes on in the next
 window and is its seed. Only the last window of a shard is short.
 """
 
@@ -24,7 +25,7 @@ from .shared import materialize
 WINDOW, SHARD_TOKENS, END_ID = 1024, 1 << 19, 0
 #: Added tokens of byte_bpe_50k.json: their strings are one id wherever a text holds them.
 SPECIAL = {"<|endoftext|>": 50256}
-#: BM25's constants; the terms of a query; the neighbours that one query returns.
+#: BM25's constants; the terms of a query; the neighbours that one query returns (a seed may ask again).
 K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 64, 16
 
 
@@ -91,19 +92,22 @@ class Index:
 
 def _order(index: Index, sizes: list[int], window: int) -> Iterator[int]:
     """Documents in the order in which they fill windows."""
-    unused, room, following, first = np.ones(len(sizes), bool), window, [], 0
+    unused, room, following, first, seed = np.ones(len(sizes), bool), window, [], 0, None
     for _ in sizes:
         doc = next((d for d in following if unused[d]), None)
+        if doc is None and seed is not None:  # the seed's next best, until it has none
+            following = index.neighbours(seed, unused)
+            doc = following[0] if following else None
         if doc is None:  # a new seed
             while not unused[first]:
                 first += 1
-            doc = first
+            doc = seed = first
         unused[doc] = False
         yield doc
         over = sizes[doc] - room
         room = window - over % window if over >= 0 else -over
-        if over >= 0 or not following:  # this document starts the next window, or a seed has not been asked yet
-            following = index.neighbours(doc, unused)
+        if over >= 0:  # this document starts the next window
+            seed, following = doc, []
 
 
 def _pack_shard(table: pa.Table, idf: np.ndarray, mean_length: float, window: int) -> pa.Table:

@@ -132,3 +132,12 @@ def test_neighbours_share_terms():
     assert index.neighbours(0, np.array([False, True, True, True])) == [2]
     assert index.neighbours(1, np.array([True, False, True, True])) == [3]
     assert list(packing._order(index, [4] * 4, 8)) == [0, 2, 1, 3]
+
+
+def test_seed_asks_until_it_has_no_neighbours():
+    """Forty documents of one topic dealt between others: a window for 40 holds no other, though one answer is 16."""
+    docs = [np.array([1, 2, i + 10, 0] if i % 2 == 0 else [3, 4, i + 10, 0]) for i in range(80)]
+    idf = np.zeros(1 << 16)
+    idf[1:100] = 1.0
+    order = list(packing._order(packing.Index(docs, idf, 4.0), [4] * 80, 160))
+    assert sorted(order) == list(range(80)) and [{d % 2 for d in order[i : i + 40]} for i in (0, 40)] == [{0}, {1}]
