@@ -2,9 +2,10 @@
 
 A rotation is learnt on a bounded sample so that the signs of the rotated, centred unit vectors are balanced codes that
 keep angles. The code's bits are cut into pieces; each piece is a table, and vectors of one label that agree in a
-table's piece are candidates, which are compared by the cosine of their original vectors. Two vectors at the threshold
-agree in one bit with probability ``1 - arccos(threshold) / pi``; from it follows how many tables (of as many rotations
-as needed) find such a pair with probability ``recall``, closer pairs more surely. The bits of a piece grow with the
+table's piece are candidates, which are compared by the cosine of their original vectors. Pairs made
+at the threshold from sampled vectors are coded with each rotation, and tables (of as many rotations as needed) are added
+until they find such a pair with probability ``recall``, closer pairs more surely; centred angles can be much wider than
+those of the vectors, so no formula is relied on. The bits of a piece grow with the
 logarithm of the number of vectors, so a bucket's expected size does not grow with the table.
 
 Equal vectors of one label are one node with a weight. A pair that meets in several tables is counted in the first one.
@@ -28,6 +29,8 @@ from .shared import bounded_sample, materialize
 THRESHOLD, RECALL = 0.93, 0.98
 #: Vectors on which rotations are learnt; rounds of learning; nodes in a block; expected nodes in a bucket.
 SAMPLE, ROUNDS, BLOCK, BUCKET = 10_000, 30, 512, 64
+#: Sampled vectors from which pairs at the threshold are made.
+PROBES = 2000
 
 
 def learn_rotation(sample: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,8 +52,43 @@ def table_shape(rows: int, dims: int, threshold: float = THRESHOLD, recall: floa
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
+def partners(unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit vector two at cosine ``threshold``: in a random direction, and towards another vector."""
+    rng, out = np.random.default_rng(0), []
+    for away in (rng.standard_normal(unit.shape), unit[rng.permutation(len(unit))] - unit + 1e-9 * rng.standard_normal(unit.shape)):
+        away -= (away * unit).sum(axis=1, keepdims=True) * unit
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+        out.append(threshold * unit + math.sqrt(1 - threshold**2) * away)
+    return out[0], out[1]
+
+
+def plan(unit: np.ndarray, rows: int, threshold: float, recall: float) -> tuple[int, list[tuple[np.ndarray, np.ndarray]], int]:
+    """Bits of a piece, rotations, and tables: as many as find pairs made at the threshold with probability ``recall``.
+
+    Centring widens angles where vectors share a component, so the tables are counted by trying them on pairs of both
+    kinds of ``partners``, never fewer than ``table_shape`` says. Where the tables would compare as many pairs as there
+    are, no bits are used: every pair of a label is compared.
+    """
+    bits, least = table_shape(rows, unit.shape[1], threshold, recall)
+    probes = unit[:PROBES]
+    found, rotations, tables = np.zeros((2, len(probes)), bool), [], 0
+    near = partners(probes, threshold)
+    while tables * BUCKET < rows:
+        rotations.append(learn_rotation(unit, len(rotations)))
+        per = unit.shape[1] // bits
+        own, *others = (pieces(v, rotations[-1:], bits, per) for v in (probes, *near))
+        for t in range(per):
+            found |= np.stack([own[:, t] == o[:, t] for o in others])
+            tables += 1
+            if tables >= least and found.mean(axis=1).min() >= recall:
+                return bits, rotations, tables
+    return 0, [], 1
+
+
 def pieces(vectors: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> np.ndarray:
     """The pieces of each unit vector's codes, an integer for each table."""
+    if not bits:
+        return np.zeros((len(vectors), tables), np.int64)
     weights, out = 1 << np.arange(bits, dtype=np.int64), []
     for mean, rotation in rotations:
         code = ((vectors - mean) @ rotation >= 0).astype(np.int64)
@@ -115,10 +153,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     fine = fine.where(F.size("embedding") == dims)
     nodes = materialize(fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight")).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    bits, tables = table_shape(count, dims, threshold, recall)
     drawn = bounded_sample(nodes.select("least", "embedding"), "least", sample).select("embedding").toArrow()
-    unit = _unit(drawn["embedding"].combine_chunks(), dims)
-    rotations = [learn_rotation(unit, seed) for seed in range(-(-tables // (dims // bits)))]
+    bits, rotations, tables = plan(_unit(drawn["embedding"].combine_chunks(), dims), count, threshold, recall)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
