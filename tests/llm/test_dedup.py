@@ -164,3 +164,48 @@ def test_embedding_recall(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(np.r_[base, base * cosine + away * np.sqrt(1 - cosine**2)])]
     found = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert found.agg(F.sum("n_links")).first()[0] / 1200 >= 0.97
+
+
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Edited copies above 0.8 go, those below stay, also in chains; wordless and short texts stay."""
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    texts = []
+    for i in range(90):
+        base = word(400)
+        copy = base.copy()
+        for at in rng.choice(400, (2, 4, 6, 8, 14, 20)[i % 6], replace=False):
+            copy[at] = word(1)[0]
+        texts += [" ".join(base), " ".join(copy)]
+    chain = word(400)
+    for _ in range(12):
+        texts.append(" ".join(chain))
+        chain = chain[40:] + word(40)
+    texts += [" ".join([*word(3), *["same"] * 300, *word(60)]) for _ in range(10)] + ["", " ", "\n", None, "one", "two", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stay = {r.doc_id for r in simhash_dedup.keep_one(docs).collect()}
+    full = [five_words(t) for t in texts]
+    near = [(a, b) for b in range(len(full)) for a in range(b) if jaccard(full[a], full[b]) >= 0.8]
+    linked = {i for e in near for i in e}
+    assert set(range(len(full))) - linked <= stay
+    assert all(any(i in e and (set(e) - {i}) <= stay for e in near) for i in linked - stay)  # what goes is near one that stays
+    assert sum(a in stay and b in stay for a, b in near) <= 0.02 * len(near) and len(near) > 45
+
+
+def test_near_group_beyond_the_star_rounds(spark, monkeypatch):
+    texts = [" ".join(f"w{j}" for j in range(i * 5, i * 5 + 100)) for i in range(24)]
+    docs, sets = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [five_words(t) for t in texts]
+    monkeypatch.setattr(simhash_dedup, "STAR_FROM", 1)
+    monkeypatch.setattr(simhash_dedup, "STAR_ROUNDS", 1)
+    stay = {r.doc_id for r in simhash_dedup.keep_one(docs).collect()}
+    assert all(i in stay or any(k in stay and jaccard(sets[i], sets[k]) >= 0.8 for k in range(24)) for i in range(24))
+    assert len(stay) < 16
