@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import join_least, materialize
 
 MOST_ROUNDS = 60
 
@@ -14,9 +14,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; the component is its smallest node.
 
     Each round hangs neighbours on smaller and smaller nodes, until every node hangs on the smallest it can reach; that
-    takes about the logarithm of the longest path in rounds. Neighbour minima use map-side aggregation and are joined
-    back, so a node of any degree needs no single task. Each round is a written table in the shared folder. Loops and
-    repeated edges are allowed; an empty table gives an empty result.
+    takes about the logarithm of the longest path in rounds. Neighbour minima are aggregated on the map side and joined
+    back by node and salt, so the edges of a node of any degree are spread over tasks. Each round is a written table in
+    the shared folder. Loops and repeated edges are allowed; an empty table gives an empty result.
     """
     stars = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _mark(stars)
@@ -42,12 +42,12 @@ def _mark(stars: DataFrame) -> tuple[int, int | None]:
 def _large_star(stars: DataFrame) -> DataFrame:
     """Hang each node's larger neighbours on the smallest of itself and all its neighbours."""
     both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    joined = join_least(both, "a", "b", "low").where("b > a")
+    return joined.select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
 
 
 def _small_star(stars: DataFrame) -> DataFrame:
     """Hang each node and its smaller neighbours on the smallest of them."""
-    least = stars.groupBy("a").agg(F.min("b").alias("low"))
-    moved = stars.join(least, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return moved.union(least.select("a", F.col("low").alias("b"))).distinct()
+    joined = join_least(stars, "a", "b", "low")
+    moved = joined.where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return moved.union(joined.select("a", F.col("low").alias("b"))).distinct()

@@ -3,6 +3,8 @@ r"""Secret scan over an incremental blob ledger, in DataFrame functions only.
 Every version of a text is content-addressed: its blob is the SHA-256 of its text. The ledger holds one row for each
 (blob, rule version) that has been scanned, with all findings. A scan takes the blobs that the ledger lacks under the
 current rule version, each once however many paths carry it, and appends them; findings then join back to every path.
+Only digests are grouped. A text moves only if a cheap pattern says that it may hold a secret; other blobs enter the
+ledger without findings.
 
 Positions come from SQL alone: ``split`` gives the stretches between matches and ``regexp_extract_all`` the matches,
 so running sums of their lengths (in code points) are the spans.
@@ -11,12 +13,14 @@ so running sums of their lengths (in code points) are the spans.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, text_or_empty
+from .shared import materialize, new_path, path_exists, shared_folder, text_or_empty
 
 
 class Rule(NamedTuple):
@@ -29,11 +33,18 @@ class Rule(NamedTuple):
     hint: str
 
 
-#: The base rules, in the order in which kinds are listed at equal starts, then the rules that this library adds.
+def either_case(words: str) -> str:
+    """A pattern with each letter in either case, of ASCII alone (case folding in some engines adds letters)."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+KEYWORDS = either_case("(password|passwd|secret|token|api_?key)")
+#: The base rules, in the order in which kinds are listed at equal starts, then the rules that this library adds. Runs of
+#: digits and letters are matched in whole, so a least length in the pattern finds what dropping shorter runs would leave.
 BASE_RULES = (
-    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"(?i)(?:passw|secret|token|api_?key)"),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA"),
-    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
+    Rule("assign", rf"""{KEYWORDS}["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, rf"""{either_case("(?:password|passwd|secret|token|api_?key)")}["']?\x20*[:=]"""),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 0, r"AKIA"),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 0, r"[0-9a-f]{24}"),
 )
 EXTRA_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 0, r"-----BEGIN [A-Z ]*PRIVATE KEY"),
@@ -41,6 +52,8 @@ EXTRA_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, r"gh[pousr]_[A-Za-z0-9]{36}"),
 )
 RULES = BASE_RULES + EXTRA_RULES
+FINDINGS = "array<struct<start:int,ord:int,kind:string,end:int>>"
+LEDGER = f"blob string, rule_version string, findings {FINDINGS}"
 
 
 def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
@@ -55,8 +68,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     counted = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     sizes = F.zip_with(whole, counted, lambda w, c: F.struct(F.length(w).alias("size"), F.length(c).alias("counted")))
     steps = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), sizes, lambda gap, m: F.struct(F.length(gap).alias("gap"), m["size"].alias("size"), m["counted"].alias("counted")))
-    kind = "array<struct<start:int,ord:int,kind:string,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(FINDINGS).alias("out"))
 
     def add(acc: Column, m: Column) -> Column:
         begin = acc["at"] + m["gap"]
@@ -64,7 +76,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(m["counted"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.hint), F.aggregate(steps, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(rule.hint), F.aggregate(steps, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(FINDINGS))
 
 
 def find_secrets(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -72,36 +84,51 @@ def find_secrets(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.sort_array(F.concat(*(_spans(text, r, i) for i, r in enumerate(rules))))
 
 
+def blob_of(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
 def scan_blobs(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Bring the ledger at path ``ledger`` up to date with ``versions(text)`` and return its rows for these rules.
+    """Bring the ledger at path ``ledger`` up to date with ``versions(text)`` and return its rows for these rules, one a blob.
 
     Only blobs without a row for this rule version are scanned, each once. Rows are appended, never rewritten; a task
-    that is repeated leaves no second row, as only its last attempt is committed. A ledger has one writer at a time.
+    that is repeated leaves no second row, as only its last attempt is committed. Writers that meet may both add a
+    blob, with the same findings; readers take one.
     """
     spark, version = versions.sparkSession, rule_version(rules)
-    schema = "blob string, rule_version string, findings array<struct<start:int,ord:int,kind:string,end:int>>"
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
-    known = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    blobs = versions.select(F.sha2(text_or_empty(), 256).alias("blob"), text_or_empty().alias("text"))
+    rows = versions.select(text_or_empty().alias("text"))
+    blobs = rows.select(blob_of(F.col("text")).alias("blob")).distinct()
+    known = path_exists(spark, ledger)
     if known:
-        done = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == version).select("blob").distinct()
+        done = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == version).select("blob")
         blobs = blobs.join(done, "blob", "left_anti")
-    unseen = blobs.dropDuplicates(["blob"])
-    unseen.select("blob", F.lit(version).alias("rule_version"), find_secrets(F.col("text"), rules).alias("findings")).write.mode("append").parquet(ledger)
-    return spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == version)
+    unseen = materialize(blobs, "unseen-blobs")
+    if not known or not unseen.isEmpty():
+        hinted = reduce(Column.__or__, (F.col("text").rlike(r.hint) for r in rules))
+        texts = rows.where(hinted).withColumn("blob", blob_of(F.col("text"))).join(unseen, "blob", "left_semi").dropDuplicates(["blob"])
+        found = materialize(texts.select("blob", find_secrets(F.col("text"), rules).alias("findings")).where(F.size("findings") > 0), "found-blobs")
+        none = F.array().cast(FINDINGS)
+        full = unseen.join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("findings", none).alias("findings"))
+        full.write.mode("append").parquet(ledger)
+    return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == version)
 
 
-def secret_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, blob, findings for each row of ``docs(doc_id, text)``; without ``ledger`` a new one in the shared folder.
+def stable_ledger(spark: SparkSession) -> str:
+    """The ledger in the shared folder that scans share from run to run."""
+    return f"{shared_folder(spark)}/secret-ledger"
 
-    A null text is the empty blob, which has no findings. Repeated rows and equal texts under several ids share one
-    scan and each get a row. Other columns are ignored. An empty table gives an empty result.
+
+def secret_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``keys``, blob and findings of each row of ``docs(doc_id, text)``; without ``ledger`` a new one in the shared folder.
+
+    ``keys`` name a version: an id, or the path and commit of a file. A null text is the empty blob, which has no
+    findings. Repeated rows and equal texts under several keys share one scan and each get a row. Other columns are
+    ignored. An empty table gives an empty result.
     """
     ledger = ledger or new_path(docs.sparkSession, "secret-ledger")
-    found = scan_blobs(docs.select("text"), ledger, rules).where(F.size("findings") > 0).select("blob", "findings")
-    paths = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob"))
-    none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
-    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
+    found = scan_blobs(docs.select("text"), ledger, rules).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+    paths = docs.select(*keys, blob_of(text_or_empty()).alias("blob"))
+    return paths.join(found, "blob", "left").select(*keys, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def digest_columns(scanned: DataFrame) -> DataFrame:
@@ -113,10 +140,16 @@ def digest_columns(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced by ``[secret]``; all columns and rows stay."""
+    """``docs`` with every found span of ``text`` replaced by ``[secret]``; all columns and rows stay.
+
+    Spans that overlap become one mark. Null and empty texts stay as they are; repeated rows and equal texts are
+    redacted alike. Columns of any names pass unchanged. An empty table gives an empty result. Texts are joined with
+    the findings, so they stay where they are while findings are few.
+    """
     ledger = ledger or new_path(docs.sparkSession, "secret-ledger")
-    found = scan_blobs(docs.select("text"), ledger, rules).where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    text = F.col("text")
+    found = scan_blobs(docs.select("text"), ledger, rules).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+    found = materialize(found, "findings")
+    text = F.col("row.text")
 
     def cut(acc: Column, f: Column) -> Column:
         """Copy what lies between the end so far and this finding; an overlapping finding only moves the end."""
@@ -125,6 +158,7 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
         return F.struct(F.greatest(acc["at"], f["end"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit("[secret]"))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_findings", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_blob", F.sha2(text_or_empty(), 256)).join(found, "_blob", "left")
-    return joined.withColumn("text", F.when(F.col("_findings").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    clean = F.aggregate("findings", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    joined = docs.select(F.struct("*").alias("row"), blob_of(text_or_empty()).alias("blob")).join(found, "blob", "left")
+    changed = joined.select("row", F.when(F.col("findings").isNotNull(), clean).otherwise(text).alias("clean"))
+    return changed.select(*(F.col("clean").alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in docs.columns))

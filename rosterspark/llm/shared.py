@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, tables that cut lineage, bounded samples."""
+"""What the operators share: the shared folder, tables that cut lineage, bounded samples, minima of hot groups."""
 
 from __future__ import annotations
 
@@ -7,30 +7,47 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (local runs and tests).
+#: Used only where the session names no shared folder and runs on one machine (local runs and tests).
 LOCAL_FOLDER = "/tmp/checkpoints"
+#: Parts into which the rows of a hot group are dealt.
+SALTS = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset and Spark runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or LOCAL_FOLDER).rstrip("/")
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """The session's own folder of written tables, so that clearing it leaves other sessions alone."""
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors.
+
+    Spark knows the size of what it reads back, so a join broadcasts such a table only where it is small.
+    """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear_tables(spark: SparkSession) -> None:
-    """Delete every table that operators have written to the shared folder, once no result that reads them is needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
+    """Delete the tables that this session's operators have written, once no result that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -38,18 +55,48 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it as many as make it no column of ``df`` (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(col: str, folds: int) -> Column:
     """``crc32`` of the id as text, modulo ``folds``; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def pieces_over(text: Column, pieces: int, size: int) -> Column:
+    """The text, or of one longer than all pieces together as many of ``size`` characters, evenly spread from its start to its end, as lines."""
+    step = (F.length(text) - size) / (pieces - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, (i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= pieces * size, text).otherwise(F.array_join(cut, "\n"))
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows (never over twice as many), chosen by the hash of ``key``; all of them if there are fewer.
+    """About ``rows`` rows (never over twice as many), those of the lowest hashes of ``key``; all of them if there are fewer.
 
-    Costs one count. The choice depends on the keys alone, so that it is the same in every run.
+    Costs one count. The choice depends on the rows alone, so that it is the same in every run; among rows that repeat
+    a key, order decides by all columns.
     """
     total = df.count()
     if total <= rows:
         return df
-    kept = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(1_000_000 * rows / total) + 1
-    return df.where(kept).limit(2 * rows)
+    h = F.xxhash64(F.col(key))
+    below = -(1 << 63) + (1 << 64) * rows // total  # hashes are even over all 64-bit integers
+    return df.where(h <= below).orderBy(h, *df.columns).limit(2 * rows)
+
+
+def join_least(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the smallest ``value`` of the row's ``group``.
+
+    Minima are aggregated on the map side, and joined back by group and salt, so a group that holds a third of all rows
+    is spread over ``SALTS`` tasks.
+    """
+    salt, low = free_name(rows, "salt"), free_name(rows, "low")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("short"))
+    parts = salted.groupBy(group, salt).agg(F.min(value).alias(low))
+    least = parts.groupBy(group).agg(F.min(low).alias(name))
+    return salted.join(parts.select(group, salt).join(least, group), [group, salt]).drop(salt)

@@ -16,7 +16,7 @@ similarity instead; at 0.8 some 10 of 64 bits differ, too many for masks, so its
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache, reduce
 from itertools import combinations, repeat
 
@@ -26,14 +26,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import close_pairs, grouped, smallest_reached, whole_groups
 from .graph import connected_components
-from .shared import materialize, text_or_empty
+from .shared import join_least, materialize, text_or_empty
 
 BITS, SEED, SHINGLE_WORDS, RADIUS = 64, 42, 4, 4
 #: Nodes in a bucket up to which it is compared in whole; and shingles hashed at once.
 BUCKET_MOST, SHINGLES_AT_ONCE = 1024, 1 << 18
 #: Near copies (``keep_one``): words of a shingle, similarity, bands of minima and minima of each; shingles hashed at once; rounds of stars, and nodes in a bucket above which there are any.
 NEAR_WORDS, SIMILAR, BANDS, BAND_ROWS, MINIMA_AT_ONCE, STAR_ROUNDS, STAR_FROM = 5, 0.8, 16, 6, 4096, 4, 64
+#: Share of minima that a pair's sketches have in common at least to be confirmed: three deviations below ``SIMILAR``.
+SKETCH_SHARE = SIMILAR - 3 * (SIMILAR * (1 - SIMILAR) / (BANDS * BAND_ROWS)) ** 0.5
 
 
 def fingerprint(text: str, words_in_shingle: int = SHINGLE_WORDS) -> int:
@@ -74,45 +77,13 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Edges that span the linked nodes of each bucket; rows come sorted by (tab, key), a bucket has bounded size."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def edges(tab: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, (tab[1:] != tab[:-1]) | (key[1:] != key[:-1])])
-        ends = np.repeat(np.r_[starts[1:], len(fp)], np.diff(np.r_[starts, len(fp)]))
-        here, low, high = np.arange(len(fp)), [], []
+    """Edges that span the linked nodes of each bucket; rows come sorted by group, a bucket has bounded size."""
+    for table in whole_groups(batches):
+        fp = table["fp"].to_numpy()
         bits = fp.view(np.uint64)
-        step, left = 1, here[ends - here > 1]
-        while len(left):
-            near = np.bitwise_count(bits[left] ^ bits[left + step]) <= radius
-            low.append(left[near])
-            high.append(left[near] + step)
-            step += 1
-            left = left[ends[left] - left > step]
-        low_, high_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (low, high))
-        root = here.copy()
-        while True:  # smallest row that each row reaches
-            least = np.minimum(root[low_], root[high_])
-            before = root.copy()
-            np.minimum.at(root, low_, least)
-            np.minimum.at(root, high_, least)
-            root = root[root]
-            if (root == before).all():
-                break
-        tied = root != here
-        return pa.record_batch([pa.array(fp[tied]), pa.array(fp[root[tied]])], names=["a", "b"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = tuple(np.concatenate([h[i] for h in held] + [b.column(i).to_numpy()]) for i in range(3)) if held else tuple(b.column(i).to_numpy() for i in range(3))
-        cut = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-        cut = cut[-1] + 1 if len(cut) else 0  # the last bucket may go on in the next batch
-        if cut:
-            yield edges(*(c[:cut] for c in cols))
-        held = [tuple(c[cut:] for c in cols)]
-    if held:
-        yield edges(*held[0])
+        root = smallest_reached(len(fp), *close_pairs(table["g"].to_numpy(), None, lambda a, b: np.bitwise_count(bits[a] ^ bits[b]) <= radius))
+        tied = root != np.arange(len(fp))
+        yield pa.record_batch([pa.array(fp[tied]), pa.array(fp[root[tied]])], names=["a", "b"])
 
 
 def _near_values(fp: Column, tab: Column, masks: list[int], radius: int) -> Column:
@@ -127,7 +98,12 @@ def _near_values(fp: Column, tab: Column, masks: list[int], radius: int) -> Colu
 
 
 def near_edges(nodes: DataFrame, radius: int = RADIUS, bucket_most: int = BUCKET_MOST) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of ``nodes(fp)`` within ``radius`` bits (an even number)."""
+    """Edges (a, b) whose components are those of all pairs of ``nodes(fp)`` within ``radius`` bits, an even number.
+
+    (Two nodes within an odd number of bits need not share a value within half of it, so odd ones are refused.)
+    """
+    if radius < 0 or radius % 2:
+        raise ValueError("the radius must be an even number of bits")
     masks = covering_masks(radius)
     tables = F.array(*(F.struct(F.lit(t).cast("short").alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks, 1)))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -135,7 +111,7 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, bucket_most: int = BUCKET
     rows = nodes.repartition(n, "fp").select("fp", F.explode(tables).alias("t")).select("t.tab", "t.key", "fp")
     sizes = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(rows.join(sizes, ["tab", "key"]), "buckets")
-    small = shared.where(F.col("n") <= bucket_most).select("tab", "key", "fp").repartition(n, "tab", "key").sortWithinPartitions("tab", "key")
+    small = shared.where(F.col("n") <= bucket_most).select(F.xxhash64("tab", "key").alias("g"), "fp").repartition(n, "g").sortWithinPartitions("g")
     forest = small.mapInArrow(lambda batches: _forest(batches, radius), "a long, b long")
     large = shared.where(F.col("n") > bucket_most)
     named = large.select("tab", "fp", F.explode(_near_values(F.col("fp"), F.col("tab").cast("int"), masks, radius)).alias("value"))
@@ -152,10 +128,9 @@ def simhash_dedup(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, radius
     """
     prints = materialize(fingerprints(docs, words_in_shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_edges(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    roots = materialize(connected_components(near_edges(nodes.select("fp"), radius)).withColumnRenamed("node", "fp"), "roots")
+    linked = join_least(roots.join(nodes, "fp"), "component", "least", "component_id").select("fp", "component_id")
+    classes = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -176,28 +151,53 @@ def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
     return drawn[:n] | np.uint64(1), drawn[n:]
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A key for each band of minima; texts of Jaccard similarity s share one with probability 1 - (1 - s ** BAND_ROWS) ** BANDS."""
-    if not len(shingles):
-        return []
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least hash of a set in each of ``BANDS * BAND_ROWS`` orders; two sets agree in each with the probability of their similarity."""
     factors, terms = _orders(BANDS * BAND_ROWS)
     least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(shingles), MINIMA_AT_ONCE):
         np.minimum(least, (shingles[at : at + MINIMA_AT_ONCE, None] * factors + terms).min(axis=0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """A key for each band of minima; texts of Jaccard similarity s share one with probability 1 - (1 - s ** BAND_ROWS) ** BANDS."""
     keys = [xxhash.xxh64_intdigest(m.tobytes(), i) for i, m in enumerate(least.reshape(BANDS, BAND_ROWS))]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def _by_text(rows: DataFrame, column: str, of: Callable[[str], Iterable[int]]) -> DataFrame:
-    """``rows`` with ``text``, the last column, replaced by an array of integers."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, blob, keys, sketch) of each row with words: its text's digest, band keys, and the last 16 bits of its minima."""
+    rows = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([of(t.as_py() or "") for t in b.column(b.num_columns - 1)], pa.list_(pa.int64()))
-            yield pa.record_batch([*b.columns[:-1], found], names=[*b.schema.names[:-1], column])
+            sets = [shingle_set(t.as_py() or "") for t in b.column(2)]
+            full = np.flatnonzero([len(s) > 0 for s in sets])
+            least = [minima(sets[i]) for i in full]
+            yield pa.record_batch([b.column(0).take(full), b.column(1).take(full), pa.array(map(band_keys, least), pa.list_(pa.int64())), pa.array([m.astype("<u2").tobytes() for m in least], pa.binary())], names=["doc_id", "blob", "keys", "sketch"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, blob string, keys array<long>, sketch binary")
+
+
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """(node, shingles) of ``rows(node, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([shingle_set(t.as_py() or "").view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), found], names=["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
 
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{kept}, {column} array<long>")
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group whose sketches agree in at least ``SKETCH_SHARE`` of their places."""
+    for table in whole_groups(batches):
+        node, sketch = table["node"].to_numpy(), np.stack([np.frombuffer(x.as_py(), "<u2") for x in table["sketch"]])
+        bar = SKETCH_SHARE * sketch.shape[1]
+        a, b = close_pairs(table["g"].to_numpy(), table["side"].to_numpy(), lambda a, b: (sketch[a] == sketch[b]).sum(axis=1) >= bar)
+        yield pa.record_batch([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -212,52 +212,59 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(blob): digests of the texts of ``docs(doc_id, text)`` that are near copies of a text that stays.
 
     A text goes only if its similarity to one that stays is confirmed, so neither chance nor a chain of links drops it.
-    Candidates share a band. While there are large buckets, in each of the first rounds a text that is the smallest of all its buckets stays, and every
-    other text of those buckets is compared with it: linear in a bucket, and enough for large groups of copies. Pairs
-    that are left are all compared; of those confirmed, texts stay in order of a hash.
+    Candidates share a band. While there are large buckets, in each of the first rounds a text that is the smallest of
+    all its buckets stays, and every other text of those buckets is compared with it: first with the smallest such text,
+    then, if they are not alike, with the others that stay in its buckets (there is one a band at most). That is linear in
+    a bucket, and enough for large groups of copies. What is left is compared in whole inside the tasks, where sketches
+    say which pairs may be alike; only those are confirmed, and of linked texts some stay in order of a hash.
     """
-    blob = F.sha2(text_or_empty(), 256).alias("blob")
-    prints = _by_text(docs.select("doc_id", blob, "text"), "keys", lambda t: band_keys(shingle_set(t)))
-    alike = prints.where(F.size("keys") > 0).groupBy("blob").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
-    nodes = materialize(alike.orderBy("least", "blob").select(F.monotonically_increasing_id().alias("node"), "blob", "keys"), "near-nodes")
+    found = signatures(docs).groupBy("blob").agg(F.min("doc_id").alias("least"), F.min(F.struct("keys", "sketch")).alias("s"))
+    nodes = materialize(found.orderBy("least", "blob").select(F.monotonically_increasing_id().alias("node"), "blob", "least", "s.keys", "s.sketch"), "near-nodes")
     rows = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-sizes")
     alive = materialize(rows.join(sizes, "key").select("node", "key"), "near-buckets")
-    met = nodes.join(alive.select("node").distinct(), "node", "left_semi").select("node", "blob")
-    sets = _by_text(docs.select(blob, "text").join(met, "blob").select("node", "text").dropDuplicates(["node"]), "shingles", lambda t: shingle_set(t).view(np.int64))
-    sets = materialize(sets, "near-sets")
+    met = materialize(nodes.join(alive.select("node").distinct(), "node", "left_semi").select("node", "blob"), "near-met")
+    sets = materialize(shingle_sets(docs.select(F.sha2(text_or_empty(), 256).alias("blob"), "text").join(met, "blob")), "near-sets")
+    if sets.count() > met.count():  # rows that repeat a text
+        sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
 
     gone = []
     for _ in range(STAR_ROUNDS):
         lows = materialize(alive.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-lows")
         if (lows.agg(F.max("n")).first()[0] or 0) <= STAR_FROM:
             break
-        pairs = materialize(alive.join(lows.drop("n"), "key").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "near-pairs")
-        stay = materialize(pairs.select("b").distinct().join(pairs.select(F.col("a").alias("b")).distinct(), "b", "left_anti"), "near-stay")
-        gone.append(materialize(_confirmed(pairs.join(stay, "b", "left_semi"), sets).select(F.col("a").alias("node")).distinct(), "near-gone"))
-        decided = stay.select(F.col("b").alias("node")).union(gone[-1])
+        here = alive.join(lows.drop("n"), "key")
+        stay = materialize(here.groupBy("node").agg(F.min("b").alias("b")).where("node = b").select("b"), "near-stay")
+        others = here.where("node != b").join(stay, "b", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("b")).alias("bs"))
+        others = materialize(others, "near-others")  # at most a candidate for each band
+        first = materialize(_confirmed(others.select(F.col("node").alias("a"), F.col("bs")[0].alias("b")), sets).select(F.col("a").alias("node")), "near-gone")
+        rest = others.where(F.size("bs") > 1).join(first, "node", "left_anti").select(F.col("node").alias("a"), F.explode(F.slice("bs", 2, BANDS)).alias("b"))
+        more = materialize(_confirmed(rest, sets).select(F.col("a").alias("node")).distinct(), "near-gone")
+        gone += [first, more]
+        decided = materialize(stay.select(F.col("b").alias("node")).union(first).union(more), "near-decided")
         alive = materialize(alive.join(decided, "node", "left_anti"), "near-buckets")
-    others = alive.select(F.col("node").alias("b"), "key")
-    pairs = materialize(alive.select(F.col("node").alias("a"), "key").join(others, "key").where("a < b").select("a", "b").distinct(), "near-pairs")
-    links = _confirmed(pairs, sets)
-    links = materialize(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-links")
+    likely = grouped(alive.join(nodes.select("node", "sketch"), "node"), ["key"], "node").select("g", "side", "node", "sketch").mapInArrow(_likely, "a long, b long")
+    links = materialize(_confirmed(likely.distinct(), sets), "near-confirmed")
+    links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     while not links.isEmpty():  # about the logarithm of the links in rounds, since a hash orders them
         order = lambda c: F.struct(F.xxhash64(c), F.col(c))
         stay = materialize(links.groupBy("a").agg(F.min(order("b")).alias("low")).where(order("a") < F.col("low")).select("a"), "near-stay")
         gone.append(materialize(links.join(stay, "a", "left_semi").select(F.col("b").alias("node")).distinct(), "near-gone"))
-        decided = stay.select(F.col("a").alias("node")).union(gone[-1])
+        decided = materialize(stay.select(F.col("a").alias("node")).union(gone[-1]), "near-decided")
         left = links.join(decided.withColumnRenamed("node", "a"), "a", "left_anti").join(decided.withColumnRenamed("node", "b"), "b", "left_anti")
         links = materialize(left.select("a", "b"), "near-links")
     if not gone:
         return nodes.limit(0).select("blob")
-    return nodes.join(reduce(DataFrame.union, gone), "node", "left_semi").select("blob")
+    return nodes.join(materialize(reduce(DataFrame.union, gone).distinct(), "near-gone"), "node", "left_semi").select("blob")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, but near copies: texts whose five-word shingles have a Jaccard similarity of at least ``SIMILAR`` with a text that stays.
 
     Equal texts stay or go together. A null or wordless text stays. Of pairs at 0.8 a share of ``BANDS`` and
-    ``BAND_ROWS`` (0.992) is found, more of closer ones; what goes is confirmed on all shingles.
+    ``BAND_ROWS`` (0.992) is found, more of closer ones; what goes is confirmed on all shingles. Columns of any names
+    pass unchanged. An empty table gives an empty result. Digests of texts that go are anti-joined, which leaves texts
+    where they are while those are few.
     """
-    keyed = docs.withColumn("_blob", F.sha2(text_or_empty(), 256))
-    return keyed.join(near_copies(docs).withColumnRenamed("blob", "_blob"), "_blob", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.sha2(text_or_empty(), 256).alias("blob"))
+    return keyed.join(materialize(near_copies(docs), "near-copies"), "blob", "left_anti").select("row.*")

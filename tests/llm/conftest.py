@@ -17,10 +17,21 @@ def odd_docs(spark):
         (6, "x" * 30_000), (7, "word " * 20_000), (8, "é漢字😀 ▁ <s>  end"), (None, "no id"), (9, "one"), (10, "A FIRST text. It says a little."), (11, None),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    extra = {c: F.lit("extra") for c in ("blob", "hash", "fp", "n", "ids", "row", "shard", "component_id", "score", "findings", "lang", "_id", "chunk")}
+    names = ("blob", "hash", "fp", "n", "ids", "row", "shard", "component_id", "score", "findings", "lang", "_id", "chunk", "_sha", "_blob", "_findings", "id", "no_id", "sha", "salt", "low", "root", "g", "side", "node", "key", "keys", "sketch", "block", "kept", "keep_id", "text_sha256", "clean", "path", "a.b")
+    extra = {c: F.lit("extra") for c in names}
     return docs.withColumns(extra)
 
 
+@pytest.fixture(scope="session")
+def unchanged(odd_docs):
+    """Whether a stage's rows have the columns of ``odd_docs``, its extra values among them."""
+
+    def test(found):
+        return found.columns == odd_docs.columns and all(v == "extra" for r in found.collect() for v in list(r)[2:])
+
+    return test
+
+
 @pytest.fixture(scope="session")
 def no_docs(odd_docs):
     return odd_docs.limit(0)

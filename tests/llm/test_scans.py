@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 
@@ -61,12 +62,24 @@ def test_ledger_scans_each_blob_once(spark, tmp_path):
     assert spark.read.parquet(ledger).groupBy("rule_version").count().count() == 2
 
 
-def test_redaction(spark, odd_docs):
+def test_versions_are_found_by_path(spark, tmp_path):
+    versions = spark.createDataFrame([("a", 1, "token=abcdef"), ("a", 2, "clean"), ("b", 1, "token=abcdef")], "path string, commit int, text string")
+    found = secret_scan.secret_scan(versions, f"{tmp_path}/ledger", keys=("path", "commit"))
+    assert sorted((r.path, r.commit, len(r.findings)) for r in found.collect()) == [("a", 1, 1), ("a", 2, 0), ("b", 1, 1)]
+    before = sorted(os.listdir(f"{tmp_path}/ledger"))
+    secret_scan.secret_scan(versions, f"{tmp_path}/ledger", keys=("path", "commit")).collect()
+    assert sorted(os.listdir(f"{tmp_path}/ledger")) == before  # nothing left to scan
+    spark.read.parquet(f"{tmp_path}/ledger").write.parquet(f"{tmp_path}/copy")
+    spark.read.parquet(f"{tmp_path}/copy").write.mode("append").parquet(f"{tmp_path}/ledger")  # as two writers that met
+    assert secret_scan.secret_scan(versions, f"{tmp_path}/ledger", keys=("path", "commit")).count() == 3
+
+
+def test_redaction(spark, odd_docs, unchanged):
     docs = spark.createDataFrame([(1, "a token=abcdef b", "k"), (2, "password=" + "0" * 30 + " end", "k"), (3, None, "k"), (4, "clean", "k"), (5, "token=abcdef", "k"), (6, "token=abcdef token=ghijkl!", "k")], "doc_id int, text string, blob string")
     clean = secret_scan.redact(docs)
     assert clean.columns == docs.columns
     assert {r.doc_id: r.text for r in clean.collect()} == {1: "a [secret] b", 2: "[secret] end", 3: None, 4: "clean", 5: "[secret]", 6: "[secret] [secret]!"}
-    assert secret_scan.redact(odd_docs).count() == odd_docs.count()
+    assert secret_scan.redact(odd_docs).count() == odd_docs.count() and unchanged(secret_scan.redact(odd_docs))
 
 
 @pytest.fixture(scope="module")
