@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from . import embedding_dedup, exact_dedup, language_id, license_scan, packing, secret_scan, sentencepiece_codec, simhash_dedup, toxicity, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
-#: The vocabulary of byte_bpe_50k.json as ranks; the ids are the same.
+#: A vocabulary, and the same as ranks.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), RANKS, PATTERN, VOCABULARY)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -123,7 +124,7 @@ ORACLE_SQL = {
         select page_id, size as payload_bytes, sha256(html) as payload_digest,
                case when size >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
                case when size >= 100 and page_id <> first then first end as refers_to,
-               1 as chunks
+               case when size >= 100 and page_id <> first then 1 else cast(greatest(1, ceil(size / 1048576)) as bigint) end as chunks
         from firsts
     """,
     "op6_exact_dedup": """

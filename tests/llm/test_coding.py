@@ -74,18 +74,40 @@ def reference():
 def test_ranks_give_the_same_ids(text):
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(test_ranks_give_the_same_ids, "kept") else test_ranks_give_the_same_ids.kept
     test_ranks_give_the_same_ids.kept = reference
-    own = packing.tokenizer(queries.RANKS, queries.PATTERN)
-    assert own.encode_ordinary(text) == reference.encode(text, add_special_tokens=False).ids
+    own = packing.tokenizer(queries.RANKS, queries.PATTERN, queries.VOCABULARY)
+    assert own.encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "  <|endoftext|>  <|ENDOFTEXT|> "])
 def test_special_strings_give_the_same_ids(spark, reference, text):
-    row = packing.tokenize(spark.createDataFrame([(1, text)], "doc_id long, text string"), queries.RANKS, queries.PATTERN).first()
+    row = packing.tokenize(spark.createDataFrame([(1, text)], "doc_id long, text string"), queries.RANKS, queries.PATTERN, queries.VOCABULARY).first()
     assert np.frombuffer(row.ids, "<u2").tolist() == [*reference.encode(text, add_special_tokens=False).ids, 0]
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a <|endoftext|>" + " " * 900_000 + "b"])
+def test_very_long_runs_give_the_same_ids(spark, reference, text):
+    row = packing.tokenize(spark.createDataFrame([(1, text)], "doc_id long, text string"), queries.RANKS, queries.PATTERN, queries.VOCABULARY).first()
+    assert np.frombuffer(row.ids, "<u2").tolist() == [*reference.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_related_documents_meet(spark):
+    """Two hundred documents of four topics in shards for fifty: with terms of its own, a topic fills its shards."""
+    rng = random.Random(1)
+    topics = [[f"{a}{b}" for b in ("tion", "ment", "ness", "ship", "hood")] for a in ("quartz", "magnet", "violet", "walrus")]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(topics[i % 4]) for _ in range(60))) for i in range(200)], "doc_id long, text string")
+    tokens = packing.tokenize(docs, queries.RANKS, queries.PATTERN, queries.VOCABULARY).withColumn("row", F.col("doc_id"))
+    total = tokens.agg(F.sum("n")).first()[0]
+    shards: dict = {}
+    for r in packing.deal(tokens, total // 4).collect():
+        shards.setdefault(r.shard, []).append((r.lead, r.doc_id % 4))
+    leads = [[lead for lead, _ in shards[s]] for s in sorted(shards)]
+    assert 3 <= len(shards) <= 6 and all(max(a) <= min(b) for a, b in zip(leads, leads[1:]))  # one line, cut
+    same = sum(max(sum(t == k for _, t in s) for k in range(4)) for s in shards.values())
+    assert same > 0.5 * 200  # dealt at random it is about 0.3
+
+
 def check_packing(docs, reference, window, **kw):
-    rows = packing.pack(docs, queries.RANKS, queries.PATTERN, window, **kw).collect()
+    rows = packing.pack(docs, queries.RANKS, queries.PATTERN, queries.VOCABULARY, window, **kw).collect()
     expected = sorted(((r.doc_id, tuple(reference.encode(r.text or "", add_special_tokens=False).ids) + (0,)) for r in docs.select("doc_id", "text").collect()), key=repr)
     by_sequence, by_doc = {}, {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
@@ -121,7 +143,7 @@ def test_packing_wastes_little(small, reference):
 
 
 def test_packing_empty(no_docs):
-    assert packing.pack(no_docs, queries.RANKS, queries.PATTERN).isEmpty()
+    assert packing.pack(no_docs, queries.RANKS, queries.PATTERN, queries.VOCABULARY).isEmpty()
 
 
 def test_neighbours_share_terms():
