@@ -1,34 +1,39 @@
 """Embedding near-deduplication by iterative quantisation and multi-index Hamming tables.
 
 A rotation is learnt on a bounded sample so that the signs of the rotated, centred unit vectors are balanced codes that
-keep angles. The code's bits are cut into pieces; each piece is a table, and vectors of one label that agree in a
-table's piece are candidates, which are compared by the cosine of their original vectors. Pairs made
+keep angles. The code's bits are cut into pieces; each piece is a table. Pairs made
 at the threshold from sampled vectors are coded with each rotation, and tables (of as many rotations as needed) are added
 until they find such a pair with probability ``recall``, closer pairs more surely; centred angles can be much wider than
 those of the vectors, so no formula is relied on. The bits of a piece grow with the
 logarithm of the number of vectors, so a bucket's expected size does not grow with the table.
 
+Only node numbers and codes of some 128 bits go to the buckets. There the Hamming distance tells which nodes have a
+partner that may be near (every made pair is within the distance allowed); only those fetch their vectors, once for each
+bucket, and are compared by the cosine of the original vectors.
+
 Equal vectors of one label are one node with a weight. A pair that meets in several tables is counted in the first one.
-A bucket is cut into blocks of ``BLOCK`` nodes, dealt by hash, and each pair of blocks is a group of its own, so no
-bucket needs one task. A group emits counts and a spanning forest, never its pairs.
+A bucket is cut into blocks, each pair of blocks a group of its own, so no bucket needs one task. A group emits nodes,
+then counts and a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import BLOCK, close_pairs, grouped, smallest_reached, whole_groups
 from .graph import connected_components
-from .shared import bounded_sample, materialize
+from .shared import bounded_sample, join_least, materialize
 
 THRESHOLD, RECALL = 0.93, 0.98
-#: Vectors on which rotations are learnt; rounds of learning; nodes in a block; expected nodes in a bucket.
-SAMPLE, ROUNDS, BLOCK, BUCKET = 10_000, 30, 512, 64
+#: Vectors on which rotations are learnt; rounds of learning; expected nodes in a bucket; least bits of a code (all, if there are fewer).
+SAMPLE, ROUNDS, BUCKET, CODE_BITS = 10_000, 30, 64, 128
 #: Sampled vectors from which pairs at the threshold are made.
 PROBES = 2000
 
@@ -96,6 +101,38 @@ def pieces(vectors: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]],
     return np.stack(out[:tables], axis=1)
 
 
+class Code:
+    """The first pieces of a vector, in 64-bit words: for Hamming distances, and for which tables a pair meets in."""
+
+    def __init__(self, bits: int, tables: int):
+        self.bits, self.pieces = bits, min(tables, -(-CODE_BITS // bits)) if bits else 0
+        self.per_word = 64 // bits if bits else 1
+
+    def pack(self, found: np.ndarray) -> np.ndarray:
+        words = np.zeros((len(found), max(1, -(-self.pieces // self.per_word))), np.uint64)
+        for k in range(self.pieces):
+            words[:, k // self.per_word] |= found[:, k].astype(np.uint64) << np.uint64(k % self.per_word * self.bits)
+        return words
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b).sum(axis=1)
+
+    def met_before(self, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Whether pairs agree in a piece before that of ``table``, as far as the code tells."""
+        other, out = a ^ b, np.zeros(len(a), bool)
+        for k in range(self.pieces):
+            piece = other[:, k // self.per_word] >> np.uint64(k % self.per_word * self.bits) & np.uint64((1 << self.bits) - 1)
+            out |= (piece == 0) & (k < table)
+        return out
+
+
+def widest(unit: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int, threshold: float) -> int:
+    """The largest Hamming distance between the codes of pairs made at the threshold."""
+    code, probes = Code(bits, tables), unit[:PROBES]
+    own, *near = (code.pack(pieces(v, rotations, bits, tables)) for v in (probes, *partners(probes, threshold)))
+    return int(max(code.distance(own, n).max() for n in near))
+
+
 def _unit(column: pa.Array, dims: int) -> np.ndarray:
     rows = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # so that squares of very large or small numbers are in range
@@ -108,6 +145,21 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
+def _may_link(batches: Iterator[pa.RecordBatch], code: Code, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of nodes with a partner in their group within the Hamming distance ``most``, in the first table where the two meet."""
+    for table in whole_groups(batches):
+        words = np.stack([np.frombuffer(x.as_py(), np.uint64) for x in table["code"]])
+        tab = table["tab"].to_numpy()
+
+        def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            near = code.distance(words[a], words[b]) <= most
+            near[near] = ~code.met_before(words[a[near]], words[b[near]], tab[a[near]])
+            return near
+
+        found = np.unique(np.concatenate(close_pairs(table["g"].to_numpy(), table["side"].to_numpy(), close)))
+        yield from table.take(found).select(["label", "tab", "piece", "i", "j", "side", "node"]).to_batches()
+
+
 def _compare(rows: pa.Table, dims: int, threshold: float) -> pa.Table:
     """Of one pair of blocks of one bucket: for each node its link count here and the smallest node it ties to."""
     table = rows["tab"][0].as_py()
@@ -123,66 +175,57 @@ def _compare(rows: pa.Table, dims: int, threshold: float) -> pa.Table:
     links = np.bincount(i, weight[j], len(node))
     if not (side == 2).any():
         links += np.bincount(j, weight[i], len(node))
-    root = np.arange(len(node))
-    while True:
-        least, before = np.minimum(root[i], root[j]), root.copy()
-        np.minimum.at(root, i, least)
-        np.minimum.at(root, j, least)
-        root = root[root]
-        if (root == before).all():
-            break
+    root = smallest_reached(len(node), i, j)
     kept = links > 0
     return pa.table({"node": node[kept], "links": links[kept].astype(np.int64), "other": node[root[kept]]})
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of ``vectors(vec_id, embedding, label)``.
-
-    Links join vectors of one label whose cosine in double precision is at least ``threshold``. A null label, or a
-    vector that is null, empty, zero, of another length than the commonest one, or holds null or non-finite components
-    links with nothing. Rows of equal vectors and labels link with each other. ``component_id`` is the smallest
-    ``vec_id`` that links reach, itself included; rows that repeat a ``vec_id`` are kept alike. Other columns are
-    ignored. An empty table gives an empty result.
-    """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    fine = usable(rows)
-    sizes = fine.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if sizes is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims, count = sizes
-    fine = fine.where(F.size("embedding") == dims)
-    nodes = materialize(fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-
+def links_of(nodes: DataFrame, dims: int, count: int, threshold: float, recall: float, sample: int) -> DataFrame:
+    """(node, links, other) of ``nodes(node, label, embedding, least, weight)``, all of ``dims`` components: links counted here or there, and a node tied to."""
     drawn = bounded_sample(nodes.select("least", "embedding"), "least", sample).select("embedding").toArrow()
-    bits, rotations, tables = plan(_unit(drawn["embedding"].combine_chunks(), dims), count, threshold, recall)
+    unit = _unit(drawn["embedding"].combine_chunks(), dims)
+    bits, rotations, tables = plan(unit, count, threshold, recall)
+    code, most = Code(bits, tables), widest(unit, rotations, bits, tables, threshold)
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 found = pieces(_unit(b.column(1), dims), rotations, bits, tables)
-                yield pa.record_batch([*b.columns, pa.array(found.tolist(), pa.list_(pa.int64()))], names=[*b.schema.names, "pieces"])
+                words = [w.tobytes() for w in code.pack(found)]
+                yield pa.record_batch([*b.columns, pa.array(found.tolist(), pa.list_(pa.int64())), pa.array(words, pa.binary())], names=[*b.schema.names, "pieces", "code"])
 
     label = nodes.schema["label"].dataType.simpleString()
-    coded = nodes.select("node", "embedding", "label", "weight").mapInArrow(code, f"node long, embedding array<double>, label {label}, weight long, pieces array<long>")
+    coded = nodes.select("node", "embedding", "label", "weight").mapInArrow(encode, f"node long, embedding array<double>, label {label}, weight long, pieces array<long>, code binary")
     coded = materialize(coded, "codes")
-    keys = coded.select("node", "label", F.posexplode("pieces").alias("tab", "piece"))
-    buckets = keys.groupBy("label", "tab", "piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = keys.join(buckets, ["label", "tab", "piece"]).select("node", "label", "tab", "piece", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    # A node goes to every pair of blocks that holds its own; pair (i, j) has i <= j.
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    side = F.when(F.col("p.i") == F.col("p.j"), 2).when(F.col("p.i") == F.col("own"), 0).otherwise(1).cast("long")
-    spread = placed.select("node", "label", "tab", "piece", "own", F.explode(pair).alias("p")).select("node", "label", "tab", "piece", "p.i", "p.j", side.alias("side"))
-    work = spread.join(coded.select("node", "weight", "embedding", "pieces"), "node")
-
-    def compare(table: pa.Table) -> pa.Table:
-        return _compare(table, dims, threshold)
-
-    found = materialize(work.groupBy("label", "tab", "piece", "i", "j").applyInArrow(compare, "node long, links long, other long"), "links")
+    keys = coded.select("node", "label", F.posexplode("pieces").alias("tab", "piece"), "code")
+    near = grouped(keys, ["label", "tab", "piece"], "node", BLOCK).mapInArrow(lambda batches: _may_link(batches, code, most), f"label {label}, tab int, piece long, i int, j int, side long, node long")
+    work = materialize(near, "near").join(coded.select("node", "weight", "embedding", "pieces"), "node")
+    return work.groupBy("label", "tab", "piece", "i", "j").applyInArrow(lambda t: _compare(t, dims, threshold), "node long, links long, other long")
+
+
+def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of ``vectors(vec_id, embedding, label)``.
+
+    Links join vectors of one label and one length whose cosine in double precision is at least ``threshold``. A null
+    label, or a vector that is null, empty, zero, or holds null or non-finite components links with nothing. Rows of
+    equal vectors (by 128 bits of hashes) and labels link with each other. Each length that occurs has codes and tables of its own.
+    ``component_id`` is the smallest ``vec_id`` that links reach, itself included; rows that repeat a ``vec_id`` are
+    kept alike. Other columns are ignored. An empty table gives an empty result.
+    """
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    same = ["label", "d1", "d2"]
+    fine = usable(rows).select("*", F.xxhash64("embedding").alias("d1"), F.xxhash64(F.lit(1), "embedding").alias("d2"))
+    nodes = fine.groupBy(*same).agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    lengths = nodes.groupBy(F.size("embedding").alias("dims")).count().where("count > 1").collect()
+    found = [links_of(nodes.where(F.size("embedding") == dims), dims, count, threshold, recall, sample) for dims, count in sorted(lengths)]
+    none = nodes.limit(0).select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("other"))
+    found = materialize(reduce(DataFrame.union, found, none), "links")
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    full = nodes.select("node", "label", "embedding", "least", "weight").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    smallest = materialize(full.groupBy("root").agg(F.min("least").alias("smallest")), "smallest")
-    classes = full.join(smallest, "root").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "smallest")
-    out = rows.join(classes, ["label", "embedding"], "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "vec_id").alias("component_id"))
+    linked = join_least(counts.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).join(nodes.select("node", "least"), "node"), "root", "least", "smallest")
+    classes = nodes.select(*same, "node", "least", "weight").join(linked.select("node", "links", "smallest"), "node", "left")
+    classes = materialize(classes.select(*same, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("smallest", "least").alias("smallest")), "classes")
+    keyed = rows.select("vec_id", "label", F.xxhash64("embedding").alias("d1"), F.xxhash64(F.lit(1), "embedding").alias("d2"))
+    out = keyed.join(classes, same, "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

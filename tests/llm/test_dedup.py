@@ -150,7 +150,7 @@ def brute_embeddings(rows):
         return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
     unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if fine(v) else None for _, v, _ in rows]
-    links = [(i, j) for j in range(len(rows)) for i in range(j) if unit[i] is not None and unit[j] is not None and rows[i][2] is not None and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.93]
+    links = [(i, j) for j in range(len(rows)) for i in range(j) if unit[i] is not None and unit[j] is not None and rows[i][2] is not None and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93]
     ids = [r[0] for r in rows]
     order = sorted(range(len(rows)), key=lambda i: ids[i])
     place = {i: k for k, i in enumerate(order)}
@@ -167,9 +167,10 @@ def test_embeddings(spark, monkeypatch, block):
         near = np.array(rows[i % 5][1]) + rng.normal(size=16) * 0.12
         rows.append((i, near.tolist(), rows[i % 5][2]))
     rows += [(100, rows[3][1], 0), (101, rows[3][1], 0), (102, None, 0), (103, [0.0] * 16, 0), (104, [float("nan")] + [1.0] * 15, 0), (105, [None] + [1.0] * 15, 0), (106, rows[3][1], None), (107, [], 0), (108, [float("inf")] * 16, 0), (109, [1e300] * 16, 1), (110, [2e300] * 16, 1)]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("extra") for c in ("node", "weight", "links", "pieces", "tab", "root", "least")})
+    rows += [(111, [1.0, 0.0], 0), (112, [1.0, 0.1], 0), (113, [1.0, 0.1], 1), (114, [-0.0, 1.0, 2.0], 0), (115, [0.0, 1.0, 2.0], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("extra") for c in ("node", "weight", "links", "pieces", "tab", "root", "least", "d1", "d2", "code", "smallest")})
     with np.errstate(over="ignore", invalid="ignore"):
-        expected = brute_embeddings([(i, [x / 1e300 if x and x >= 1e300 else x for x in v] if v and i >= 109 else v, c) for i, v, c in rows])
+        expected = brute_embeddings([(i, [x / 1e300 if x and x >= 1e300 else x for x in v] if v and i in (109, 110) else v, c) for i, v, c in rows])
     assert sorted(map(tuple, embedding_dedup.embedding_dedup(vectors, recall=0.99999).collect())) == expected
     assert embedding_dedup.embedding_dedup(vectors.limit(0)).isEmpty()
 
