@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, fold
+from .shared import bounded_sample, fold, pieces_over
 
-#: Folds of the split and the held-out one; documents that are learnt from, and windows and characters of each.
-FOLDS, HELD_OUT, TRAIN_ROWS, TRAIN_WINDOWS, TRAIN_CHARS = 4, 2, 4000, 3, 20_000
-#: Bytes of a window; widths of filters and how many of each; epochs, windows in a step, learning rate; windows at once in use.
-WINDOW, WIDTHS, FILTERS, EPOCHS, STEP, RATE, AT_ONCE = 256, (2, 3, 4), 8, 12, 64, 0.01, 64
+#: Folds of the split and the held-out one; documents that are learnt from and windows of each; pieces of a long text, evenly spread, that these come from, and characters of a piece.
+FOLDS, HELD_OUT, TRAIN_ROWS, TRAIN_WINDOWS, TRAIN_PIECES, PIECE_CHARS = 4, 2, 4000, 3, 8, 1024
+#: Bytes of a window; widths of filters and how many of each; epochs, windows in a step, learning rate; windows at once in use, and windows of several texts that are put together.
+WINDOW, WIDTHS, FILTERS, EPOCHS, STEP, RATE, AT_ONCE, TOGETHER = 256, (2, 3, 4), 8, 12, 64, 0.01, 64, 4096
 
 
 class Network(NamedTuple):
@@ -85,9 +85,9 @@ def train_network(x: np.ndarray, y: np.ndarray, langs: tuple[str, ...], seed: in
 def train(docs: DataFrame) -> Network | None:
     """Learn from a bounded sample of the rows outside the held-out fold that have a language; None if there are none.
 
-    Up to ``TRAIN_WINDOWS`` windows, evenly spread over its first ``TRAIN_CHARS`` characters, are taken from each.
+    Up to ``TRAIN_WINDOWS`` windows, evenly spread over its whole length, are taken from each.
     """
-    known = docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.trim("text") != "")).select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    known = docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.trim("text") != "")).select("doc_id", "lang", pieces_over(F.col("text"), TRAIN_PIECES, PIECE_CHARS).alias("text"))
     rows = sorted(((r[1], r[2]) for r in bounded_sample(known, "doc_id", TRAIN_ROWS).collect()))
     langs = tuple(sorted({lang for lang, _ in rows}))
     if not langs:
@@ -130,17 +130,29 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = Predictor(net) if net else None
         for b in batches:
-            langs, scores = [], []
-            for t in b.column(1):
+            langs, scores, held, count = ["und"] * b.num_rows, [0.0] * b.num_rows, [], 0
+
+            def settle() -> None:
+                """Run the held windows through the network together, and give each text the mean over its own."""
+                if not held:
+                    return
+                size = np.concatenate([s for _, _, s in held]).astype(np.float64)
+                starts = np.cumsum([0, *(len(s) for _, _, s in held[:-1])])
+                mean = np.add.reduceat(use.windows(np.concatenate([x for _, x, _ in held])) * size[:, None], starts) / np.add.reduceat(size, starts)[:, None]
+                for (i, _, _), m in zip(held, mean, strict=True):
+                    langs[i], scores[i] = use.net.langs[int(m.argmax())], min(1.0, float(m.max()))
+                held.clear()
+
+            for i, t in enumerate(b.column(1)):
                 text = t.as_py()
                 if use is None or not text or not any(map(str.isalpha, text)):
-                    langs.append("und")
-                    scores.append(0.0)
                     continue
-                x, size = windows(text)
-                mean = size @ use.windows(x) / size.sum()
-                langs.append(use.net.langs[int(mean.argmax())])
-                scores.append(min(1.0, float(mean.max())))
+                held.append((i, *windows(text)))
+                count += len(held[-1][2])
+                if count >= TOGETHER:
+                    settle()
+                    count = 0
+            settle()
             yield pa.record_batch([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

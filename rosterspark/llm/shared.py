@@ -72,7 +72,7 @@ def pieces_over(text: Column, pieces: int, size: int) -> Column:
     """The text, or of one longer than all pieces together as many of ``size`` characters, evenly spread from its start to its end, as lines."""
     step = (F.length(text) - size) / (pieces - 1)
     cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, (i * step).cast("int") + 1, F.lit(size)))
-    return F.when(F.length(text) <= pieces * size, text).otherwise(F.array_join(cut, "\n"))
+    return F.when(F.length(text) > pieces * size, F.array_join(cut, "\n")).otherwise(text)
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:

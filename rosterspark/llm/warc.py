@@ -15,6 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,6 +26,8 @@ from .shared import materialize, new_path
 
 #: Payloads of at least so many bytes may be revisits; bytes in a chunk; bytes after which a new archive begins.
 REVISIT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 100, 1 << 20, 256 << 20
+#: Tasks that read archives; beyond so many, a task reads several.
+MOST_READERS = 20_000
 #: All records carry one date, so that equal inputs give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,12 +47,13 @@ def record_plan(pages: DataFrame) -> DataFrame:
 
 
 def _record_id(page_id: object) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    """A record's name: percent-encoded, as an id may be any text; ``<urn:page>`` for a null id."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
 def _header(page_id: object, url: str | None, digest: str, refers_to: object, size: int) -> tuple[bytes, bytes]:
     """The record's header and the head of its block."""
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or f"urn:page:{'' if page_id is None else page_id}"
+    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or _record_id(page_id)[1:-1]
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response"]
     if refers_to is not None:
@@ -130,7 +134,11 @@ def read_chunks(stream: io.BufferedReader, chunk_bytes: int = CHUNK_BYTES) -> It
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """The chunk table of the archives in ``manifest(path)``, a file per task."""
+    """The chunk table of the archives in ``manifest(path)``, a file per task up to ``MOST_READERS``.
+
+    Archives are written and read by pyarrow's file systems, so the shared folder must be one that they open (a mounted
+    path, hdfs, s3, gs, abfs).
+    """
     paths = manifest.select("path")
     names = [x.split(":")[0].split(" ")[0] for x in CHUNK_SCHEMA.split(", ")]
     types = [pa.string()] * 5 + [pa.int64(), pa.bool_(), pa.binary(), pa.string(), pa.int64()]
@@ -153,7 +161,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return paths.repartition(max(1, paths.count())).mapInArrow(run, CHUNK_SCHEMA)
+    return paths.repartition(min(max(1, paths.count()), MOST_READERS)).mapInArrow(run, CHUNK_SCHEMA)
 
 
 def records(chunks: DataFrame) -> DataFrame:
@@ -172,10 +180,10 @@ def records(chunks: DataFrame) -> DataFrame:
 def warc_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, chunks.
 
-    A null html is empty, a null url becomes a name made of the id, a null id an empty name. Repeated rows are a record
-    each. Other columns are ignored. An empty table gives an empty result.
+    A null html is empty, a null url becomes a name made of the id, a null id a name without one. Ids may be of any type
+    that Spark casts from text. Repeated rows are a record each. Other columns are ignored. An empty table gives an empty result.
     """
     spark, kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
     manifest = write_archives(pages, folder or new_path(spark, "archives"))
-    page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:page:(.*)>$', 1), '') as {kind})")
+    page = lambda c: F.when(F.col(c).startswith("<urn:page:"), F.try_url_decode(F.expr(f"substring({c}, 11, length({c}) - 11)"))).try_cast(kind)
     return records(read_archives(spark, manifest)).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "chunks")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rosterspark.llm import language_id, toxicity
 
@@ -64,6 +65,31 @@ def test_language_odd_rows(odd_docs, no_docs, small):
     assert language_id.language_id(no_docs).isEmpty()
 
 
+def test_predictions_equal_a_plain_network(spark, small, monkeypatch):
+    """Every text by itself, window by window, filter by filter."""
+    monkeypatch.setattr(language_id, "TOGETHER", 7)
+    docs = small("documents").limit(40)
+    net, n = language_id.train(small("documents")), language_id.WINDOW
+    for r in language_id.predict(docs, net).join(docs.select("doc_id", "text"), "doc_id").collect():
+        data, total = r.text.lower().encode(), np.zeros(len(net.langs))
+        for at in range(0, len(data), n):
+            window = np.frombuffer(data[at : at + n].ljust(n, b"\0"), np.uint8)
+            best = np.max([sum(net.tables[j][window[i + j]] for j in range(len(net.tables))) for i in range(n - len(net.tables) + 1)], axis=0)
+            z = np.maximum(best + net.bias, 0) @ net.dense + net.dense_bias
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(data[at : at + n])
+        assert r.lang_pred == net.langs[int(total.argmax())] and abs(r.score - total.max() / len(data)) < 1e-4
+
+
+def test_training_text_is_spread_over_the_whole(spark):
+    from rosterspark.llm.shared import pieces_over
+
+    text = "".join(f"{i:05d}" for i in range(10_000))
+    found = spark.createDataFrame([(text,), ("short",), (None,)], "t string").select(pieces_over(F.col("t"), 5, 100)).collect()
+    parts = found[0][0].split("\n")
+    assert [len(p) for p in parts] == [100] * 5 and text.startswith(parts[0]) and text.endswith(parts[-1]) and all(p in text for p in parts)
+    assert found[1][0] == "short" and found[2][0] is None
+
+
 def test_joined_tables_give_the_network():
     rng = np.random.default_rng(1)
     x, y = rng.integers(97, 123, (40, language_id.WINDOW)).astype(np.uint8), rng.integers(0, 2, 40)

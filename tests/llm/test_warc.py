@@ -39,6 +39,12 @@ def test_round_trip(pages, small):
     assert warc.warc_round_trip(pages.limit(0)).isEmpty()
 
 
+def test_textual_ids(spark):
+    rows = [("a>b\nWARC-Type: revisit", None, "x" * 200), ("z %2B+ é", "u", "x" * 200), ("", "u", "short"), (None, "u", "short"), ("<urn:page:1>", "u", "y")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    assert round_trip(pages) == expected(rows)
+
+
 def test_chunks_hold_the_payloads(spark, pages, tmp_path):
     manifest = warc.write_archives(pages, f"file://{tmp_path}/archives")
     chunks = warc.read_archives(spark, manifest).where("record_id = '<urn:page:9>'").orderBy("chunk").collect()
