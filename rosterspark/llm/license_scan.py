@@ -1,24 +1,30 @@
 r"""Licence scan: a trained paragraph classifier, confirmed by template comparison, in DataFrame functions only.
 
 A sparse logistic regression over word 1- to 3-grams is trained on the driver from licence templates (varied by dropping
-and adding words), sentences that speak of licences without granting one, and a bounded sample of ordinary paragraphs.
-Its features are the grams of the templates, so its weight table has a fixed size and is broadcast. Texts are cut into
-paragraphs (lines, long ones at sentence ends); a paragraph without any word of ``GATE`` is ``none`` by definition.
-Others get the family of highest probability; below a threshold calibrated on varied templates that training has not
-seen, the family is ``unknown``. A prediction is confirmed if a template of that family shares enough of its grams.
+and adding words), the same with their names masked and notices of other licences (both ``unknown``), sentences that
+speak of licences without granting one, and a bounded sample of ordinary paragraphs (both ``none``). Its features are the
+grams of the templates that ordinary paragraphs hardly have, so its weight table has a fixed size and is broadcast.
+
+Texts are cut into paragraphs: lines, with wrapped ones joined, and long ones cut at sentence ends. Every paragraph is
+classified. One that holds no feature in favour of a licence is ``none`` by the classifier itself, whose bias is
+highest there; those that hold none of the words of such features are seen to be so without a score for each family.
+Others get the family of highest probability; below a threshold, calibrated on whole templates and whole families that
+training has not seen, the family is ``unknown``. A prediction is confirmed if a template of that family shares enough of
+its grams.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, materialize, text_or_empty
+from .shared import bounded_sample, materialize, pieces_over, text_or_empty
 
 # Licence families and the notices that name or grant them.
 TEMPLATES = {
@@ -26,36 +32,44 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
         "SPDX-License-Identifier: MIT",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
-        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "LGPL": (
         "This library is licensed under the GNU Lesser General Public License.",
-        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
     "AGPL-3.0": (
         "This work is licensed under the GNU Affero General Public License, version 3.",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "BSD": (
         "Released under the BSD License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "MPL-2.0": (
@@ -64,26 +78,53 @@ TEMPLATES = {
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
         "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "CC-BY-SA-4.0": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "Public-Domain": (
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work (CC0).",
     ),
 }
+# Notices of licences that are no family here; the first are trained as unknown, the others calibrate.
+OTHER_LICENCES = (
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0.",
+    "Licensed under the Educational Community License, Version 2.0.",
+    "This file is part of a package distributed under the Artistic License 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Released under the Open Software License.",
+    "SPDX-License-Identifier: EPL-1.0",
+    "SPDX-License-Identifier: Artistic-2.0",
+)
+UNSEEN_LICENCES = (
+    "Released under the Zlib License.",
+    "Licensed under the European Union Public Licence, Version 1.2.",
+    "This work is licensed under the Academic Free License, version 3.",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "SPDX-License-Identifier: Zlib",
+    "Subject to the terms of the Common Development and Distribution License.",
+    "Released under the Beerware License.",
+)
+# The words that name a family, masked to make notices of no family.
+NAMES = r"(?i)\b(apache|mit|gnu|gpl|lgpl|agpl|general|lesser|affero|bsd|mozilla|mpl|isc|cc|by|by-nc|by-sa|creative|commons|attribution\S*|noncommercial|sharealike|apache-\S+|gpl-\S+|lgpl-\S+|agpl-\S+|bsd-\S+|mpl-\S+|cc-\S+|cc0|version \d\S*|v\. \S+|4\.0|www\.\S+|http\S+)(?!\w)"
 # Sentences that speak of licences and grant none.
 NO_GRANT = (
     "See the license for details.",
@@ -97,32 +138,41 @@ NO_GRANT = (
     "Please read the terms of the license before use.",
     "Any version of the work may be used under these terms.",
 )
-GATE = r"(?i)licen[cs]|copyright|permission is|redistribut|public domain|spdx|creative commons|\bcc[ -]by|\bcc0"
-#: Characters after which a paragraph is cut at a sentence end, and at the latest.
-CUT_FROM, CUT_AT = 200, 600
-#: Documents of which ordinary paragraphs are taken and characters of each; varied copies of a template; share of a template's grams that confirms.
-SAMPLE_DOCS, SAMPLE_CHARS, VARIANTS, CONFIRM = 300, 2000, 30, 0.6
-#: Share of unseen varied templates that the threshold lets pass.
-PASS_SHARE = 0.98
-NONE = "none"
+#: Characters of a line from which it may be wrapped; after which a paragraph is cut at a sentence end, and at the latest.
+WRAP_FROM, CUT_FROM, CUT_AT = 40, 200, 2000
+#: Documents of which ordinary paragraphs are taken; pieces of a long one, evenly spread, and characters of a piece; paragraphs learnt from; filler words.
+SAMPLE_DOCS, SAMPLE_PIECES, PIECE_CHARS, ORDINARY, FILLER = 300, 8, 512, 800, 2000
+#: Varied copies of a template; share of ordinary paragraphs that may have a feature; folds of whole templates for the threshold; share of a template's grams that confirms.
+VARIANTS, COMMON, FOLDS, CONFIRM = 10, 0.005, 3, 0.6
+#: Share of right predictions for unseen templates that the threshold lets pass.
+PASS_SHARE = 0.95
+#: Rounds, step, momentum, and shrinkage of the fit.
+ROUNDS, STEP, MOMENTUM, SHRINK = 100, 2.0, 0.9, 6e-4
+NONE, UNKNOWN = "none", "unknown"
+WORD = r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
 
 
 class Model(NamedTuple):
+    """``gate``: of each gram whose weight speaks for a licence, the word that ordinary paragraphs have least."""
+
     families: tuple[str, ...]
     weights: dict[str, tuple[float, ...]]
     bias: tuple[float, ...]
     threshold: float
+    gate: tuple[str, ...]
 
 
 def grams(text: str) -> set[str]:
-    words = re.findall(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]", text.lower())
+    words = re.findall(WORD, text.lower())
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
-def _grams(text: Column) -> Column:
-    """The same grams as a set, in DataFrame functions."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"), F.lit(0))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
 
+def _grams(words: Column) -> Column:
+    """The same grams as a set, in DataFrame functions."""
     last = F.size(words)
 
     def runs(n: int) -> Column:
@@ -139,49 +189,115 @@ def _varied(text: str, rng: random.Random, filler: list[str]) -> str:
     return " ".join(words)
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _design(texts: list[str], place: dict[str, int]) -> np.ndarray:
+    x = np.zeros((len(texts), len(place)), np.float32)
+    for i, t in enumerate(texts):
+        x[i, [place[g] for g in grams(t) if g in place]] = 1
+    return x
+
+
+def fit(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse weights and biases by gradient descent with momentum, each class of equal weight; that of ``none``, the last, is at least as large as any other."""
+    target = np.eye(classes, dtype=np.float32)[y]
+    share = (1 / np.bincount(y, minlength=classes).clip(1))[y][:, None].astype(np.float32) / classes
+    w, b, mw, mb = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32), 0.0, 0.0
+    for _ in range(ROUNDS):
+        d = (_softmax(x @ w + b) - target) * share
+        mw, mb = MOMENTUM * mw + x.T @ d, MOMENTUM * mb + d.sum(0)
+        w, b = w - STEP * mw, b - STEP * mb
+        w = np.sign(w) * np.maximum(np.abs(w) - STEP * SHRINK, 0)
+        b[-1] = max(b)
+    return w, b
+
+
+def ordinary_paragraphs(docs: DataFrame, seed: int = 0) -> list[str]:
+    """Paragraphs of a bounded sample of ``docs``, drawn at random, without those that share a run of three words with a notice."""
+    text = pieces_over(text_or_empty(), SAMPLE_PIECES, PIECE_CHARS)
+    rows = bounded_sample(docs.select("doc_id", text.alias("text")), "doc_id", SAMPLE_DOCS).select(paragraphs(F.col("text")).alias("p")).collect()
+    known = {g for ts in (*TEMPLATES.values(), OTHER_LICENCES, UNSEEN_LICENCES) for t in ts for g in grams(t) if g.count(" ") == 2}
+    found = sorted({p for r in rows for p in r.p if p.strip() and not known & grams(p)})
+    random.Random(seed).shuffle(found)
+    return found[:ORDINARY]
+
+
+def calibrate(known: list[float], unknown: list[float]) -> float:
+    """The threshold that refuses most wrong predictions for unseen families among those that let ``PASS_SHARE`` of right ones for unseen templates pass; the lowest of equals."""
+    most = float(np.quantile(known, 1 - PASS_SHARE)) if known else 0.5
+    options = sorted({most, *(float(np.nextafter(u, 1)) for u in unknown if u < most)})
+    return max(options, key=lambda t: sum(u < t for u in unknown))
+
+
 def train(docs: DataFrame, seed: int = 0) -> Model:
-    """Train on varied templates, sentences without grant, and paragraphs of a bounded sample of ``docs`` that pass no gate."""
+    """Train on varied templates, masked and other notices, sentences without grant, and ordinary paragraphs of a bounded sample of ``docs``."""
+    return train_on(ordinary_paragraphs(docs, seed), seed)
+
+
+def train_on(ordinary: list[str], seed: int = 0) -> Model:
     rng = random.Random(seed)
-    rows = bounded_sample(docs.select("doc_id", F.substring(text_or_empty(), 1, SAMPLE_CHARS).alias("text")), "doc_id", SAMPLE_DOCS).collect()
-    ordinary = sorted(p for r in rows for p in r[1].split("\n") if p.strip() and not re.search(GATE, p))[: 4 * SAMPLE_DOCS]
-    filler = sorted({w for p in ordinary for w in p.split()})[:5000] or ["word"]
-    families = (*TEMPLATES, NONE)
-    texts = [(_varied(t, rng, filler), f) for f, ts in TEMPLATES.items() for t in ts for _ in range(VARIANTS)]
-    texts += [(t, f) for f, ts in TEMPLATES.items() for t in ts for _ in range(5)]
-    texts += [(_varied(t, rng, filler), NONE) for t in NO_GRANT for _ in range(VARIANTS)] + [(p, NONE) for p in ordinary]
-    rng.shuffle(texts)
-    place = {g: i for i, g in enumerate(sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(t)}))}
-    x, y = np.zeros((len(texts), len(place))), np.zeros((len(texts), len(families)))
-    for i, (t, f) in enumerate(texts):
-        x[i, [place[g] for g in grams(t) if g in place]] = 1
-        y[i, families.index(f)] = 1
-    cut = len(texts) * 3 // 4
-    w, b, mw, mb = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1]), 0.0, 0.0
-    for _ in range(400):  # gradient descent with momentum; weights shrink towards zero
-        z = x[:cut] @ w + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        d = (p / p.sum(1, keepdims=True) - y[:cut]) / cut
-        mw, mb = 0.9 * mw + x[:cut].T @ d, 0.9 * mb + d.sum(0)
-        w, b = np.sign(w - mw) * np.maximum(np.abs(w - mw) - 2e-4, 0), b - mb
-    z = x[cut:] @ w + b
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    right = p[(p.argmax(1) == y[cut:].argmax(1)) & (y[cut:, -1] == 0)].max(1)
-    threshold = float(np.quantile(right, 1 - PASS_SHARE)) if len(right) else 0.5
-    return Model(families, {g: tuple(w[i].tolist()) for g, i in place.items() if np.abs(w[i]).max() > 0}, tuple(b.tolist()), threshold)
+    common = Counter(g for p in ordinary for g in grams(p))
+    filler = rng.sample(words, min(FILLER, len(words))) if (words := sorted({w for p in ordinary for w in p.split()})) else ["word"]
+    families = (*TEMPLATES, UNKNOWN, NONE)
+    notices = [(t, f, i % FOLDS) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
+    mask = lambda t: re.sub(NAMES, lambda m: rng.choice(filler), t)
+
+    def rows(held: int | None) -> tuple[list[str], list[int]]:
+        """Training texts and classes, without the templates of fold ``held`` and what is made of them."""
+        out = []
+        for t, f, part in notices:
+            if part != held:
+                out += [(t, f)] * 3 + [(_varied(t, rng, filler), f) for _ in range(VARIANTS)]
+                if re.search(NAMES, t):
+                    out += [(_varied(mask(t), rng, filler), UNKNOWN) for _ in range(VARIANTS // 2)]
+        out += [(_varied(t, rng, filler), UNKNOWN) for t in OTHER_LICENCES for _ in range(VARIANTS)]
+        out += [(_varied(t, rng, filler), NONE) for t in NO_GRANT for _ in range(VARIANTS)] + [(p, NONE) for p in ordinary]
+        return [t for t, _ in out], [families.index(f) for _, f in out]
+
+    most = COMMON * len(ordinary)
+    features = sorted({g for ts in (*TEMPLATES.values(), OTHER_LICENCES, NO_GRANT) for t in ts for g in grams(t) if common[g] <= most})
+    place = {g: i for i, g in enumerate(features)}
+    right, wrong = [], []
+    for held in range(FOLDS):
+        texts, classes = rows(held)
+        w, b = fit(_design(texts, place), np.array(classes), len(families))
+        unseen = [(t, families.index(f)) for t, f, part in notices if part == held] + [(t, -1) for t in UNSEEN_LICENCES]
+        p = _softmax(_design([t for t, _ in unseen], place) @ w + b)
+        for row, (_, c) in zip(p, unseen, strict=True):
+            if c == -1 and row.argmax() < len(TEMPLATES):
+                wrong.append(float(row.max()))
+            elif row.argmax() == c:
+                right.append(float(row.max()))
+    texts, classes = rows(None)
+    w, b = fit(_design(texts, place), np.array(classes), len(families))
+    speaks = [g for g, i in place.items() if (w[i, :-1] > w[i, -1]).any()]
+    gate = sorted({min(g.split(), key=lambda x: (common[x], -len(x), x)) for g in speaks})
+    return Model(families, {g: tuple(map(float, w[i])) for g, i in place.items() if np.abs(w[i]).max() > 0}, tuple(map(float, b)), calibrate(right, wrong), tuple(gate))
+
+
+def probabilities(text: str, model: Model) -> np.ndarray:
+    """Of each family, for one paragraph; what ``classify`` gives, in numpy."""
+    z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams(text) if g in model.weights), np.zeros(len(model.bias)))
+    return _softmax(z[None])[0]
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines; those of over ``CUT_AT`` characters are cut, at a sentence end where there is one after ``CUT_FROM``."""
-    return F.regexp_extract_all(text, F.lit(rf"[^\n]{{{CUT_FROM},{CUT_AT}}}?[.!?](?=[ \n])|[^\n]{{1,{CUT_AT}}}"), F.lit(0))
+    """Lines, where one of ``WRAP_FROM`` characters or more that ends without a stop goes on in the next; those of over ``CUT_FROM`` characters are cut at a sentence end. (A wrapped line that happens to end with a stop is an end.)"""
+    joined = F.regexp_replace(text, rf"(?<=[^\n]{{{WRAP_FROM}}})(?<![.!?:;])\n(?=[^\s])", " ")
+    return F.regexp_extract_all(joined, F.lit(rf"[^\n]{{{CUT_FROM},{CUT_AT}}}?[.!?](?=[ \n])|[^\n]{{1,{CUT_AT}}}"), F.lit(0))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """(blob, pos, paragraph, family, probability, overlap, confirmed) of every gated paragraph of the distinct texts of ``docs(text)`` that is not ``none``."""
+    """(blob, pos, paragraph, family, probability, overlap, confirmed) of every paragraph of the distinct texts of ``docs(text)`` that is not ``none``."""
     spark = docs.sparkSession
-    blobs = docs.where(F.col("text").rlike(GATE)).select(F.sha2("text", 256).alias("blob"), F.posexplode(paragraphs(F.col("text"))).alias("pos", "paragraph"))
-    found = materialize(blobs.where(F.col("paragraph").rlike(GATE)).dropDuplicates(["blob", "pos"]), "paragraphs")
-    rows = found.select("blob", "pos", F.explode(_grams(F.col("paragraph"))).alias("gram"))
+    cut = docs.select(F.sha2(text_or_empty(), 256).alias("blob"), F.posexplode(paragraphs(text_or_empty())).alias("pos", "paragraph"))
+    gate = F.array(*map(F.lit, model.gate)) if model.gate else F.array().cast("array<string>")
+    found = cut.where(F.arrays_overlap(_words(F.col("paragraph")), gate)).dropDuplicates(["blob", "pos"])
+    found = materialize(found, "paragraphs")
+    rows = found.select("blob", "pos", _words(F.col("paragraph")).alias("words")).select("blob", "pos", F.explode(_grams(F.col("words"))).alias("gram"))
     # Both tables are as long as the templates have grams.
     weights = F.broadcast(spark.createDataFrame([(g, list(w)) for g, w in model.weights.items()], "gram string, w array<double>"))
     templates = [(f, t, grams(t)) for f, ts in TEMPLATES.items() for t in ts]
@@ -193,20 +309,20 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     names = F.array(*map(F.lit, model.families))
     named = sums.select("blob", "pos", scores.alias("scores")).select("blob", "pos", F.element_at(names, F.array_position("scores", best).cast("int")).alias("top"), share.alias("probability")).where(F.col("top") != NONE)
     overlaps = rows.join(parts, "gram").groupBy("blob", "pos", "of", "template").agg(F.sum("share").alias("share")).groupBy("blob", "pos", F.col("of").alias("top")).agg(F.max("share").alias("overlap"))
-    sure = F.col("probability") >= model.threshold
+    sure = (F.col("probability") >= model.threshold) & (F.col("top") != UNKNOWN)
     full = named.join(overlaps, ["blob", "pos", "top"], "left").join(found, ["blob", "pos"])
-    return full.select("blob", "pos", "paragraph", F.when(sure, F.col("top")).otherwise("unknown").alias("family"), "probability", F.coalesce("overlap", F.lit(0.0)).alias("overlap"), (sure & (F.coalesce("overlap", F.lit(0.0)) >= CONFIRM)).alias("confirmed"))
+    return full.select("blob", "pos", "paragraph", F.when(sure, F.col("top")).otherwise(UNKNOWN).alias("family"), "probability", F.coalesce("overlap", F.lit(0.0)).alias("overlap"), (sure & (F.coalesce("overlap", F.lit(0.0)) >= CONFIRM)).alias("confirmed"))
 
 
 def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, licences, n_confirmed, n_unconfirmed, n_unknown for each row of ``docs(doc_id, text)``.
 
-    ``licences`` lists the confirmed families, sorted, comma-joined, each once; the counts are of paragraphs. A null,
-    empty or gateless text has none. Equal texts are scanned once; each row, repeated ones too, gets its result. Other
+    ``licences`` lists the confirmed families, sorted, comma-joined, each once; the counts are of paragraphs. A null
+    or empty text has none. Equal texts get one result, and each row, repeated ones too, gets it. Other
     columns are ignored. An empty table gives an empty result.
     """
     found = classify(docs.select("text"), model or train(docs))
-    known = F.col("family") != "unknown"
+    known = F.col("family") != UNKNOWN
     by_blob = found.groupBy("blob").agg(
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"),
         F.count_if("confirmed").alias("n_confirmed"),

@@ -1,5 +1,6 @@
 import os
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -89,7 +90,7 @@ def model(small):
 
 def test_gram_functions_agree(spark):
     texts = ["Licensed under the Apache License, Version 2.0.", "a", "", "GPL-3.0-or-later  (x/y)", "é b c d"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", license_scan._grams(F.col("t")).alias("g")).collect()
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", license_scan._grams(license_scan._words(F.col("t"))).alias("g")).collect()
     assert {r.i: set(r.g) for r in rows} == {i: license_scan.grams(t) for i, t in enumerate(texts)}
 
 
@@ -107,6 +108,40 @@ def test_license_negatives_and_unknown(spark, model):
     assert [r.n_unknown for r in rows] == [0] * 5 + [1]
 
 
+def test_license_probabilities_equal_numpy(spark, model, small):
+    texts = [t for ts in license_scan.TEMPLATES.values() for t in ts] + list(license_scan.UNSEEN_LICENCES) + list(license_scan.NO_GRANT)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").union(small("documents").select("text"))
+    found = {(r.blob, r.pos): r for r in license_scan.classify(docs, model).collect()}
+    names, seen = list(model.families), 0
+    cut = docs.distinct().select(F.sha2("text", 256).alias("blob"), F.posexplode(license_scan.paragraphs(F.col("text"))).alias("pos", "p"))
+    for r in cut.collect():
+        p = license_scan.probabilities(r.p, model)
+        top = names[int(p.argmax())]
+        if top == license_scan.NONE:  # what the words of the gate leave out is none by the classifier too
+            assert (r.blob, r.pos) not in found
+            continue
+        row = found[r.blob, r.pos]
+        seen += 1
+        assert abs(row.probability - p.max()) < 1e-6 and row.paragraph == r.p
+        assert row.family == (top if top != license_scan.UNKNOWN and p.max() >= model.threshold else license_scan.UNKNOWN)
+    assert seen > 50
+
+
+def test_unseen_families_are_unknown(spark, model):
+    """Licences that neither training nor the threshold has seen."""
+    texts = ["Licensed under the Zorblax License, Version 9.", "This work is licensed under the Quarrel Public License.", "Released under the Wombat License.", "Distributed under the terms of the Ferret License, version 4."]
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()
+    assert all(r.licences == "" and r.n_unconfirmed == 0 for r in rows) and sum(r.n_unknown for r in rows) >= 3
+
+
+def test_wrapped_licences(spark, model):
+    """Whole notices in lines of 75 characters, between prose; one whose line happens to end with a stop may be cut there."""
+    cases = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts if len(t) > 100 and license_scan.probabilities(t, model).max() >= model.threshold]
+    docs = spark.createDataFrame([(i, "Some prose before.\n\n" + textwrap.fill(t, 75) + "\n\nand prose after.") for i, (_, t) in enumerate(cases)], "doc_id int, text string")
+    found = {r.doc_id: r.licences for r in license_scan.license_scan(docs, model).collect()}
+    assert len(cases) > 12 and sum(found[i] == f for i, (f, _) in enumerate(cases)) / len(cases) >= 0.9
+
+
 def test_license_documents(small, odd_docs, no_docs, model):
     lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
     docs = {r.doc_id: r.text for r in small("documents").collect()}
