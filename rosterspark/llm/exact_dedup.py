@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SALTS, materialize, text_or_empty
+from .shared import SALTS, materialize, split_by_slots, text_or_empty
 
 CHUNK_LEAST, CHUNK_MOST = 1024, 8192
 #: Rows that one row which stands for repeated ones is first turned into.
@@ -81,14 +81,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs``, all columns, of each group of equal texts: that of the largest ``doc_id``.
 
     A null text is empty, and a null id the smallest. Of rows that repeat both id and text one stays. Columns of any
-    names pass unchanged. An empty table gives an empty result. Ids and digests of rows that go are anti-joined, which
-    leaves texts where they are while those are few.
+    names pass unchanged. An empty table gives an empty result. Ids and digests of rows that go are
+    anti-joined; texts move only where a slot says that they may go.
     """
     found = materialize(copies(docs).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_sha256").alias("sha"), "kept", "n"), "copies")
     keys = ["id", "no_id", "sha"]
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.sha2(text_or_empty(), 256).alias("sha"))
-    stay = keyed.join(materialize(found.where("not kept").select(*keys), "gone"), keys, "left_anti")
+    gone = materialize(found.where("not kept").select(*keys), "gone")
+    clear, others = split_by_slots(keyed, gone)
+    stay = clear.unionByName(others.join(gone.hint("merge"), keys, "left_anti"))
     repeated = materialize(found.where("kept and n > 1").select(*keys), "repeated")
     if not repeated.isEmpty():
-        stay = stay.join(repeated, keys, "left_anti").union(stay.join(repeated, keys, "left_semi").dropDuplicates(keys))
+        stay = stay.join(repeated, keys, "left_anti").unionByName(stay.join(repeated, keys, "left_semi").dropDuplicates(keys))
     return stay.select("row.*")

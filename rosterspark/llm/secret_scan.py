@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, new_path, path_exists, shared_folder, text_or_empty
+from .shared import materialize, new_path, path_exists, shared_folder, split_by_slots, text_or_empty
 
 
 class Rule(NamedTuple):
@@ -143,8 +143,8 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     """``docs`` with every found span of ``text`` replaced by ``[secret]``; all columns and rows stay.
 
     Spans that overlap become one mark. Null and empty texts stay as they are; repeated rows and equal texts are
-    redacted alike. Columns of any names pass unchanged. An empty table gives an empty result. Texts are joined with
-    the findings, so they stay where they are while findings are few.
+    redacted alike. Columns of any names pass unchanged. An empty table gives an empty result. Texts move only
+    where a slot says that they may have findings.
     """
     ledger = ledger or new_path(docs.sparkSession, "secret-ledger")
     found = scan_blobs(docs.select("text"), ledger, rules).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
@@ -159,6 +159,7 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("findings", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.select(F.struct("*").alias("row"), blob_of(text_or_empty()).alias("blob")).join(found, "blob", "left")
-    changed = joined.select("row", F.when(F.col("findings").isNotNull(), clean).otherwise(text).alias("clean"))
+    clear, others = split_by_slots(docs.select(F.struct("*").alias("row"), blob_of(text_or_empty()).alias("blob")), found.select("blob"))
+    joined = others.join(found.hint("merge"), "blob", "left")
+    changed = joined.select("row", F.when(F.col("findings").isNotNull(), clean).otherwise(text).alias("clean")).union(clear.select("row", text))
     return changed.select(*(F.col("clean").alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in docs.columns))

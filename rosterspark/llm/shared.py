@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 LOCAL_FOLDER = "/tmp/checkpoints"
 #: Parts into which the rows of a hot group are dealt.
 SALTS = 64
+#: Slots by which rows are told from those that a join may concern: the table of slots in use has no more rows.
+SLOTS = 1 << 22
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -100,3 +102,17 @@ def join_least(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
     parts = salted.groupBy(group, salt).agg(F.min(value).alias(low))
     least = parts.groupBy(group).agg(F.min(low).alias(name))
     return salted.join(parts.select(group, salt).join(least, group), [group, salt]).drop(salt)
+
+
+def split_by_slots(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that certainly have none of ``keys`` (columns of both), and the others, which a join by key has to settle.
+
+    Keys are hashed to ``SLOTS`` slots; those in use are a table of bounded size, broadcast however many keys there are.
+    So wide rows move only where their slot is in use, in the same way at every size: nearly none while keys are few,
+    all when they are many more than slots.
+    """
+    name = free_name(rows, "slot")
+    slot = F.pmod(F.xxhash64(*keys.columns), F.lit(SLOTS)).cast("int").alias(name)
+    used = F.broadcast(keys.select(slot).distinct())
+    placed = rows.select("*", slot)
+    return placed.join(used, name, "left_anti").drop(name), placed.join(used, name, "left_semi").drop(name)

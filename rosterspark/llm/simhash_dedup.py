@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from .buckets import close_pairs, grouped, smallest_reached, whole_groups
 from .graph import connected_components
-from .shared import join_least, materialize, text_or_empty
+from .shared import join_least, materialize, split_by_slots, text_or_empty
 
 BITS, SEED, SHINGLE_WORDS, RADIUS = 64, 42, 4, 4
 #: Nodes in a bucket up to which it is compared in whole; and shingles hashed at once.
 BUCKET_MOST, SHINGLES_AT_ONCE = 1024, 1 << 18
-#: Near copies (``keep_one``): words of a shingle, similarity, bands of minima and minima of each; shingles hashed at once; rounds of stars, and nodes in a bucket above which there are any.
-NEAR_WORDS, SIMILAR, BANDS, BAND_ROWS, MINIMA_AT_ONCE, STAR_ROUNDS, STAR_FROM = 5, 0.8, 16, 6, 4096, 4, 64
+#: Near copies (``keep_one``): words of a shingle, similarity, bands of minima and minima of each; shingles hashed at once; most rounds of stars, and pairs for each row of the buckets above which there are any.
+NEAR_WORDS, SIMILAR, BANDS, BAND_ROWS, MINIMA_AT_ONCE, STAR_ROUNDS, PAIRS_A_ROW = 5, 0.8, 16, 6, 4096, 40, 4
 #: Share of minima that a pair's sketches have in common at least to be confirmed: three deviations below ``SIMILAR``.
 SKETCH_SHARE = SIMILAR - 3 * (SIMILAR * (1 - SIMILAR) / (BANDS * BAND_ROWS)) ** 0.5
 
@@ -192,11 +192,17 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group whose sketches agree in at least ``SKETCH_SHARE`` of their places."""
+    """Pairs of a group whose sketches agree in at least ``SKETCH_SHARE`` of their places, in the first band where the two meet."""
     for table in whole_groups(batches):
-        node, sketch = table["node"].to_numpy(), np.stack([np.frombuffer(x.as_py(), "<u2") for x in table["sketch"]])
+        node, band, sketch = table["node"].to_numpy(), table["band"].to_numpy(), np.stack([np.frombuffer(x.as_py(), "<u2") for x in table["sketch"]])
         bar = SKETCH_SHARE * sketch.shape[1]
-        a, b = close_pairs(table["g"].to_numpy(), table["side"].to_numpy(), lambda a, b: (sketch[a] == sketch[b]).sum(axis=1) >= bar)
+
+        def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            same = sketch[a] == sketch[b]
+            met = same.reshape(len(a), BANDS, BAND_ROWS).all(axis=2) & (np.arange(BANDS) < band[a][:, None])
+            return (same.sum(axis=1) >= bar) & ~met.any(axis=1)
+
+        a, b = close_pairs(table["g"].to_numpy(), table["side"].to_numpy(), close)
         yield pa.record_batch([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
 
@@ -212,26 +218,28 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(blob): digests of the texts of ``docs(doc_id, text)`` that are near copies of a text that stays.
 
     A text goes only if its similarity to one that stays is confirmed, so neither chance nor a chain of links drops it.
-    Candidates share a band. While there are large buckets, in each of the first rounds a text that is the smallest of
+    Candidates share a band. While buckets hold many more pairs than rows, a text that is the smallest of
     all its buckets stays, and every other text of those buckets is compared with it: first with the smallest such text,
     then, if they are not alike, with the others that stay in its buckets (there is one a band at most). That is linear in
-    a bucket, and enough for large groups of copies. What is left is compared in whole inside the tasks, where sketches
+    a bucket, and each round halves a large group or more. What is left is compared in whole inside the tasks, where sketches
     say which pairs may be alike; only those are confirmed, and of linked texts some stay in order of a hash.
     """
     found = signatures(docs).groupBy("blob").agg(F.min("doc_id").alias("least"), F.min(F.struct("keys", "sketch")).alias("s"))
     nodes = materialize(found.orderBy("least", "blob").select(F.monotonically_increasing_id().alias("node"), "blob", "least", "s.keys", "s.sketch"), "near-nodes")
-    rows = nodes.select("node", F.explode("keys").alias("key"))
+    rows = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-sizes")
-    alive = materialize(rows.join(sizes, "key").select("node", "key"), "near-buckets")
+    alive = materialize(rows.join(sizes, "key").select("node", "band", "key"), "near-buckets")
     met = materialize(nodes.join(alive.select("node").distinct(), "node", "left_semi").select("node", "blob"), "near-met")
-    sets = materialize(shingle_sets(docs.select(F.sha2(text_or_empty(), 256).alias("blob"), "text").join(met, "blob")), "near-sets")
+    _, texts = split_by_slots(docs.select(F.sha2(text_or_empty(), 256).alias("blob"), "text"), met.select("blob"))
+    sets = materialize(shingle_sets(texts.join(met.hint("merge"), "blob")), "near-sets")
     if sets.count() > met.count():  # rows that repeat a text
         sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
 
     gone = []
     for _ in range(STAR_ROUNDS):
         lows = materialize(alive.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-lows")
-        if (lows.agg(F.max("n")).first()[0] or 0) <= STAR_FROM:
+        pairs, size = lows.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
+        if (pairs or 0) <= PAIRS_A_ROW * (size or 0):
             break
         here = alive.join(lows.drop("n"), "key")
         stay = materialize(here.groupBy("node").agg(F.min("b").alias("b")).where("node = b").select("b"), "near-stay")
@@ -243,7 +251,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         gone += [first, more]
         decided = materialize(stay.select(F.col("b").alias("node")).union(first).union(more), "near-decided")
         alive = materialize(alive.join(decided, "node", "left_anti"), "near-buckets")
-    likely = grouped(alive.join(nodes.select("node", "sketch"), "node"), ["key"], "node").select("g", "side", "node", "sketch").mapInArrow(_likely, "a long, b long")
+    likely = grouped(alive.join(nodes.select("node", "sketch"), "node"), ["key"], "node").select("g", "side", "node", "band", "sketch").mapInArrow(_likely, "a long, b long")
     links = materialize(_confirmed(likely.distinct(), sets), "near-confirmed")
     links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     while not links.isEmpty():  # about the logarithm of the links in rounds, since a hash orders them
@@ -263,8 +271,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Equal texts stay or go together. A null or wordless text stays. Of pairs at 0.8 a share of ``BANDS`` and
     ``BAND_ROWS`` (0.992) is found, more of closer ones; what goes is confirmed on all shingles. Columns of any names
-    pass unchanged. An empty table gives an empty result. Digests of texts that go are anti-joined, which leaves texts
-    where they are while those are few.
+    pass unchanged. An empty table gives an empty result. Digests of texts that go are anti-joined; texts move
+    only where a slot says that they may go.
     """
-    keyed = docs.select(F.struct("*").alias("row"), F.sha2(text_or_empty(), 256).alias("blob"))
-    return keyed.join(materialize(near_copies(docs), "near-copies"), "blob", "left_anti").select("row.*")
+    gone = materialize(near_copies(docs), "near-copies")
+    clear, others = split_by_slots(docs.select(F.struct("*").alias("row"), F.sha2(text_or_empty(), 256).alias("blob")), gone)
+    return clear.unionByName(others.join(gone.hint("merge"), "blob", "left_anti")).select("row.*")

@@ -227,7 +227,7 @@ def test_near_copies_go_and_others_stay(spark):
 def test_near_group_beyond_the_star_rounds(spark, monkeypatch):
     texts = [" ".join(f"w{j}" for j in range(i * 5, i * 5 + 100)) for i in range(24)]
     docs, sets = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [five_words(t) for t in texts]
-    monkeypatch.setattr(simhash_dedup, "STAR_FROM", 1)
+    monkeypatch.setattr(simhash_dedup, "PAIRS_A_ROW", 0)
     monkeypatch.setattr(simhash_dedup, "STAR_ROUNDS", 1)
     stay = {r.doc_id for r in simhash_dedup.keep_one(docs).collect()}
     assert all(i in stay or any(k in stay and jaccard(sets[i], sets[k]) >= 0.8 for k in range(24)) for i in range(24))
