@@ -131,7 +131,7 @@ def simhash_dedup(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, radius
     roots = materialize(connected_components(near_edges(nodes.select("fp"), radius)).withColumnRenamed("node", "fp"), "roots")
     linked = join_least(roots.join(nodes, "fp"), "component", "least", "component_id").select("fp", "component_id")
     classes = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(materialize(classes, "classes"), "fp").select("doc_id", "fp", "component_id")  # a table, so that a hot fingerprint can be split
 
 
 def shingle_set(text: str) -> np.ndarray:
