@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import free_name
 from .text import parse_integer
 
 # Two Hangul syllables side by side, anywhere in a name; the ends of ages and grades.
@@ -39,10 +40,9 @@ def split_valid(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted records and rejected rows of ``answers``, whose fields are texts as a user typed them.
 
     A row is accepted if its name matches and its age is an integer in range; its grade is clamped, 1 where it is no
-    integer. Rejected rows keep their texts and get ``reason``.
+    integer. Rejected rows keep their texts and get ``reason`` (``_reason`` if they have a column of that name).
     """
     age = parse_integer(F.col("age"))
     bad_name, bad_age = ~matches(F.col("name"), NAME_PATTERN), ~in_range(age, AGE_LOW, AGE_HIGH)
-    marked = answers.withColumn("reason", F.when(bad_name, "name").when(bad_age, "age"))
-    accepted = marked.where("reason is null").withColumns({"age": age.cast("int"), "grade": parse_or_default(F.col("grade"))}).drop("reason")
-    return accepted, marked.where("reason is not null")
+    accepted = answers.where(~bad_name & ~bad_age).withColumns({"age": age.cast("int"), "grade": parse_or_default(F.col("grade"))})
+    return accepted, answers.where(bad_name | bad_age).withColumn(free_name(answers, "reason"), F.when(bad_name, "name").otherwise("age"))

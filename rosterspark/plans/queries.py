@@ -11,6 +11,7 @@ from ..functions import checks, sequences, text
 from ..operators import table
 from ..sinks import files
 from ..sources.text import decode_lines, load_backup, load_delimited
+from ..streaming.session import last_deletes
 from .session import command, replay
 from .shared import scratch
 
@@ -47,8 +48,18 @@ def delete_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delete_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    answers = rows.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "y").otherwise("n").alias("answer"))
-    return table.delete_confirmed(rows, "c_mktsegment", "BUILDING", answers.where(text.is_yes(F.col("answer"))), "c_custkey")
+    return table.delete_confirmed(rows, "c_mktsegment", "BUILDING", confirmed(rows), "c_custkey")
+
+
+def confirmed(rows: DataFrame) -> DataFrame:
+    """The ids whose made-up answer is a yes: of ``y``, ``Y``, a padded one, ``n`` and an empty one."""
+    answers = F.array(*map(F.lit, ("y", "Y", " y", "n", "")))
+    return rows.select("c_custkey", F.get(answers, (F.col("c_custkey") % 5).cast("int")).alias("answer")).where(text.is_yes(F.col("answer")))
+
+
+def deleted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return table.deleted(rows, "c_mktsegment", "BUILDING", confirmed(rows), "c_custkey")
 
 
 def insert_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +67,12 @@ def insert_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.insert(read(spark, sf_dir, "region"), new)
 
 
+def insert_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = read(spark, sf_dir, "region").select("r_name", F.col("r_regionkey").cast("long").alias("seq"))
+    new = read(spark, sf_dir, "nation").select(F.col("n_name").alias("r_name"), F.col("n_nationkey").alias("at"))
+    return table.insert_numbered(old, new, "seq", "at").select("r_name", "seq")
+
+
 def range_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", checks.in_range(F.col("p_size"), 0, 30).alias("ok"))
 
@@ -92,6 +109,37 @@ def table_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.rendered(customers(spark, sf_dir))
 
 
+def centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", text.centre(F.col("p_name"), 21).alias("centred"))
+
+
+def or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, F.col("p_name"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.or_default(names, files.EXPORT_NAME).alias("name"))
+
+
+def export_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export without a name, and none for an empty table: the names of what was written."""
+    folder = scratch(spark, "exports")
+    made = files.export_csv(customers(spark, sf_dir), folder), files.export_csv(customers(spark, sf_dir).limit(0), folder, "empty.csv")
+    return load_delimited(spark, made[0]).select("email", F.lit(made[0].rpartition("/")[2]).alias("name"), F.lit(made[1] is None).alias("skipped"))
+
+
+def nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether find gives anything, for a key that is there and one that is not."""
+    rows = read(spark, sf_dir, "customer")
+    found = [(key, not table.find(rows, "c_mktsegment", key).isEmpty()) for key in ("BUILDING", "none")]
+    return spark.createDataFrame(found, "key string, found boolean")
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.report(customers(spark, sf_dir), "age")
+
+
+def fib_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.fibonacci(spark).select("n", F.col("value").cast("long").alias("value"))
+
+
 def fib(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.fibonacci(spark, 200).select("n", F.col("value").cast("long").alias("value"))
 
@@ -123,6 +171,22 @@ def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(log, "event_id", "user_id", "event_type = 'signup'", "event_type = 'error'")
 
 
+def session_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return replay(log, "event_id", "user_id", "event_type = 'signup'", "event_type = 'error'", "event_type = 'purchase' and user_id % 50 = 7")
+
+
+def streamed_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last delete of each key in a stream of commands, as of its last batch."""
+    source = f"{sf_dir}/events.parquet"
+    log = spark.readStream.schema(spark.read.parquet(source).schema).option("recursiveFileLookup", "true").parquet(source)
+    path, kept = scratch(spark, "deletes"), scratch(spark, "stream")
+    state = last_deletes(log, "event_id", "user_id", "event_type = 'error'")
+    write = state.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    write.option("checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(state.schema).parquet(path)
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "csv")
     files.save_csv(customers(spark, sf_dir), path)
@@ -148,7 +212,7 @@ def record_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        list_all, find_exact, find_count, delete_exact, delete_confirmed, insert_append, range_check, clamp, parse_clamp, regex_search, validate, line_encode,
+        list_all, find_exact, find_count, delete_exact, delete_confirmed, deleted_rows, insert_append, insert_numbered, centre, or_default, export_default, nonempty, report, fib_default, session_end, streamed_deletes, range_check, clamp, parse_clamp, regex_search, validate, line_encode,
         line_decode, table_row, fib, fib_line, safe_index_array, safe_index_str, repeat_lines, positions, session_replay, csv_roundtrip, csv_roundtrip_multiline,
         text_roundtrip, record_unpivot,
     )
@@ -159,7 +223,27 @@ ORACLE_SQL = {
     "find_exact": "select o_orderkey, o_orderpriority, o_totalprice from orders where o_orderpriority = '5-LOW'",
     "find_count": "select count(*) as n from customer where c_mktsegment = 'BUILDING'",
     "delete_exact": "select c_custkey, c_name, c_mktsegment from customer where c_mktsegment is distinct from 'BUILDING'",
-    "delete_confirmed": "select c_custkey, c_name, c_mktsegment from customer where not (c_mktsegment = 'BUILDING' and c_custkey % 2 = 0)",
+    "delete_confirmed": "select c_custkey, c_name, c_mktsegment from customer where not (c_mktsegment = 'BUILDING' and c_custkey % 5 in (0, 1))",
+    "deleted_rows": "select c_custkey, c_name, c_mktsegment from customer where c_mktsegment = 'BUILDING' and c_custkey % 5 in (0, 1)",
+    "insert_numbered": "select r_name, cast(r_regionkey as bigint) as seq from region union all select n_name, (select max(r_regionkey) from region) + row_number() over (order by n_nationkey) from nation",
+    "centre": "select p_partkey, repeat(' ', greatest(21 - length(p_name), 0) // 2) || p_name || repeat(' ', greatest(21 - length(p_name), 0) - greatest(21 - length(p_name), 0) // 2) as centred from part",
+    "or_default": "select p_partkey, case when p_partkey % 3 = 1 then p_name else 'records.csv' end as name from part",
+    "export_default": f"select email, 'records.csv' as name, true as skipped from ({CUSTOMERS})",
+    "nonempty": "select key, exists (select 1 from customer where c_mktsegment = key) as found from (values ('BUILDING'), ('none')) v(key)",
+    "report": f"""
+        select 0 as part, place, line from (values
+            (0, repeat('=', 70)), (1, repeat(' ', 31) || 'RECORDS' || repeat(' ', 32)), (2, repeat('-', 70)),
+            (3, printf('%5s\t%-3s\t%-13s\t%-10s\tAGE\tETC', 'GRADE', 'NAME', 'PHONE', 'EMAIL')), (4, repeat('-', 70))) head(place, line)
+        union all select 1, age, printf('%5s\t%-3s\t%-13s\t%-10s\t%3d\t%s', repeat('*', grade), name, phone, email, age, etc) from ({CUSTOMERS})
+        union all select 2, 0, repeat('=', 70)
+    """,
+    "fib_default": "with recursive f(n, a, b) as (select 0, 0::bigint, 1::bigint union all select n + 1, b, a + b from f where b < 100) select n, a as value from f",
+    "session_end": """
+        with log as (select * from events where event_id < coalesce((select min(event_id) from events where event_type = 'purchase' and user_id % 50 = 7), 9223372036854775807))
+        select event_id, user_id, event_type from log i where event_type = 'signup'
+        and not exists (select 1 from log d where d.event_type = 'error' and d.user_id = i.user_id and d.event_id > i.event_id)
+    """,
+    "streamed_deletes": "select user_id, max(event_id) as last from events where event_type = 'error' group by user_id",
     "insert_append": "select r_regionkey, r_name from region union all select 5, 'ARCTIC'",
     "range_check": "select p_partkey, p_size between 0 and 30 as ok from part",
     "clamp": "select p_partkey, least(greatest(p_size, 1), 5) as held from part",

@@ -28,14 +28,18 @@ def command(name: str) -> Callable:
     return COMMANDS[name]
 
 
-def replay(log: DataFrame, order: str, key: str, is_insert: Column | str, is_delete: Column | str) -> DataFrame:
+def replay(log: DataFrame, order: str, key: str, is_insert: Column | str, is_delete: Column | str, is_end: Column | str | None = None) -> DataFrame:
     """The inserts of ``log`` that no later delete of the same key takes back.
 
     Only the last delete of a key matters, so deletes are first reduced to one row for each key; then one equi-join on
-    the key remains. A null key matches a null key. ``order`` must be unique.
+    the key remains. A null key matches a null key. ``order`` must be unique. Commands after the first that ``is_end``
+    accepts are ignored.
     """
     test = lambda c: F.expr(c) if isinstance(c, str) else c
-    last = log.where(test(is_delete)).groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_last"))
-    inserts = log.where(test(is_insert))
-    joined = inserts.join(last, inserts[key].eqNullSafe(last["_key"]), "left")
-    return joined.where(F.col("_last").isNull() | (F.col("_last") < F.col(order))).drop("_key", "_last")
+    if is_end is not None:
+        end = log.where(test(is_end)).agg(F.min(order)).first()[0]
+        log = log if end is None else log.where(F.col(order) < F.lit(end))
+    last = log.where(test(is_delete)).groupBy(F.col(key).alias("deleted")).agg(F.max(order).alias("last"))
+    inserts = log.where(test(is_insert)).select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(order).alias("at"))
+    joined = inserts.join(last, F.col("key").eqNullSafe(F.col("deleted")), "left")
+    return joined.where(F.col("last").isNull() | (F.col("last") < F.col("at"))).select("row.*")

@@ -11,6 +11,8 @@ LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, or below a local folder where it is unset."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
-    return f"{folder}/tables/{name}-{uuid.uuid4().hex}"
+    """A new path of this session below ``spark.checkpoint.dir``, or below a local folder where it is unset and Spark runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(folder or LOCAL_FOLDER).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Phone stays text: leading zeros count.
@@ -18,3 +19,11 @@ RECORD = T.StructType(
 FIELDS = RECORD.fieldNames()
 #: The position of a row where order matters; Spark tables have none of their own.
 SEQ = "seq"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

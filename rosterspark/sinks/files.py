@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ROW_FORMAT, encode_line, narrow, row_line
+from ..functions.text import ROW_FORMAT, centre, encode_line, narrow, row_line
 from ..schema import FIELDS
 
 #: Quote only where needed, double quotes inside, keep blanks and empty texts as they are.
 CSV = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 # The width of rulers and titles, and a table's head.
 RULER = 70
+#: The name of an export that is given none.
+EXPORT_NAME = "records.csv"
 HEAD = ("GRADE", "NAME", "PHONE", "EMAIL", "AGE", "ETC")
 
 
@@ -23,6 +25,12 @@ def save_csv(records: DataFrame, path: str, keep_if_empty: bool = True) -> bool:
     return True
 
 
+def export_csv(records: DataFrame, folder: str, name: str | None = None, keep_if_empty: bool = True) -> str | None:
+    """Save the records as CSV in ``folder`` under ``name``, ``EXPORT_NAME`` where that is empty; the path, or None if nothing was written."""
+    path = f"{folder.rstrip('/')}/{name or EXPORT_NAME}"
+    return path if save_csv(records, path, keep_if_empty) else None
+
+
 def lines_of(records: DataFrame) -> DataFrame:
     """``value``: a backup line for each record."""
     return records.select(encode_line([narrow(F.col(c)) if c in ("age", "grade") else F.col(c) for c in FIELDS]).alias("value"))
@@ -41,8 +49,16 @@ def rendered(records: DataFrame) -> DataFrame:
     return records.select(row_line(*(F.col(c) for c in ("grade", "name", "phone", "email", "age", "etc"))).alias("line"))
 
 
-def render_table(records: DataFrame, title: str = "RECORDS") -> str:
-    """The whole table as text, for a terminal. Rows come to the driver one partition at a time."""
-    head = f"{ROW_FORMAT % HEAD[:4]}{HEAD[4]}\t{HEAD[5]}"
-    body = [r.line for r in rendered(records).toLocalIterator()]
-    return "\n".join(["=" * RULER, title.center(RULER), "-" * RULER, head, "-" * RULER, *body, "=" * RULER])
+def report(records: DataFrame, order: str, title: str = "RECORDS") -> DataFrame:
+    """(part, place, line): the whole table as lines, to be read by part and place: title and head (0), a line for each record at its ``order`` (1), the last ruler (2)."""
+    spark, kind = records.sparkSession, records.schema[order].dataType
+    ruler = lambda c: F.repeat(F.lit(c), F.lit(RULER))
+    head = F.array(ruler("="), centre(F.lit(title), RULER), ruler("-"), F.lit(f"{ROW_FORMAT % HEAD[:4]}{HEAD[4]}\t{HEAD[5]}"), ruler("-"))
+    first = spark.range(1).select(F.lit(0).alias("part"), F.posexplode(head).alias("place", "line")).withColumn("place", F.col("place").cast(kind))
+    body = records.select(F.lit(1).alias("part"), F.col(order).alias("place"), row_line(*(F.col(c) for c in ("grade", "name", "phone", "email", "age", "etc"))).alias("line"))
+    return first.union(body).union(spark.range(1).select(F.lit(2), F.lit(0).cast(kind), ruler("=")))
+
+
+def render_table(records: DataFrame, most: int, order: str, title: str = "RECORDS") -> str:
+    """The first ``most`` rows by ``order`` as text, for a terminal; no other row comes to the driver."""
+    return "\n".join(r.line for r in report(records.orderBy(order).limit(most), order, title).orderBy("part", "place").collect())

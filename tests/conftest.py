@@ -23,5 +23,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
-    shutil.rmtree("/tmp/checkpoints/tables", ignore_errors=True)
+    shutil.rmtree(f"/tmp/checkpoints/tables/{session.sparkContext.applicationId}", ignore_errors=True)
     session.stop()

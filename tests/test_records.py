@@ -64,8 +64,10 @@ def test_answers_and_defaults(spark):
 def test_rendering_pads_and_never_cuts(records):
     lines = [r.line for r in files.rendered(records).collect()]
     assert lines == ["{:>5}\t{:3}\t{:13}\t{:10}\t{:3}\t{}".format("*" * g, n, p, e, a, x) for n, p, e, a, g, x in ROWS]
-    whole = files.render_table(records).split("\n")
-    assert len(whole) == 5 + len(ROWS) + 1 and whole[0] == whole[-1] == "=" * 70
+    numbered = records.withColumn("at", F.monotonically_increasing_id())
+    whole = files.render_table(numbered, 3, "at").split("\n")
+    assert len(whole) == 5 + 3 + 1 and whole[0] == whole[-1] == "=" * 70 and whole[1].strip() == "RECORDS"
+    assert files.report(records.limit(0).withColumn("at", F.lit(1)), "at").count() == 6
 
 
 def test_centre(spark):
@@ -95,6 +97,8 @@ def test_bad_lines(spark, bad):
     lines = spark.createDataFrame([("n,1,e,5,1,z",), (bad,)], "value string")
     with pytest.raises(Exception, match="too few fields|not an integer"):
         sources.decode_lines(lines).collect()
+    with pytest.raises(Exception, match="too few fields|not an integer"):
+        sources.decode_lines(lines).count()
     rows = sources.decode_lines(lines, permissive=True).collect()
     assert sorted((r.rejected is None, r.age) for r in rows) == [(False, None), (True, 5)]
 
@@ -104,6 +108,20 @@ def test_ordered_backup(spark, tmp_path):
     assert [(r.seq, r.name) for r in sources.load_backup_ordered(spark, f"{tmp_path}/b.txt").orderBy("seq").collect()] == [(0, "a"), (1, "b")]
 
 
+def test_ordered_backup_in_blocks(spark, tmp_path):
+    for k, n in enumerate((700, 0, 1300)):
+        (tmp_path / f"{k}.txt").write_text("".join(f"n{k}-{i}, 1, e, {i % 100}, 1, x \n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = sources.load_backup_ordered(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    expected = [f"n{k}-{i}" for k, n in enumerate((700, 0, 1300)) for i in range(n)]
+    assert [r.name for r in sorted(rows, key=lambda r: r.seq)] == expected and sorted(r.seq for r in rows) == list(range(2000))
+
+
 def test_missing_backup_is_empty(spark, tmp_path):
     rows = sources.load_backup(spark, f"{tmp_path}/none")
     assert rows.isEmpty() and rows.columns == FIELDS
@@ -142,7 +160,30 @@ def test_find_delete_and_nulls(spark):
     confirmed = spark.createDataFrame([(4,), (5,)], "id int")
     assert ids(table.delete_confirmed(rows, "name", "a", confirmed, "id")) == [1, 2, 3, 5]
     assert [(r.id, r.position) for r in table.positions(rows, "name", "a", "id").orderBy("id").collect()] == [(1, 0), (4, 3)]
+    assert [(r.id, r.name, r.confirmed) for r in table.deleted(rows.withColumn("confirmed", F.lit("k")), "name", "a", confirmed, "id").collect()] == [(4, "a", "k")]
     assert table.insert(rows, rows).count() == 10
+    new = spark.createDataFrame([("x", 9), ("y", 3)], "name string, at int")
+    assert sorted((r.name, r.id) for r in table.insert_numbered(rows, new, "id", "at").where("name in ('x', 'y')").select("name", "id").collect()) == [("x", 7), ("y", 6)]
+    assert [r.id for r in table.insert_numbered(rows.limit(0), new, "id", "at").orderBy("id").collect()] == [0, 1]
+
+
+def test_clashing_names_keep_their_values(spark):
+    names = ("_range", "_at", "_start", "range", "at", "start", "row", "rank", "position", "_key", "_last", "key", "last", "deleted", "reason")
+    extra = {c: F.lit(f"my {c}") for c in names}
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, name string").withColumns(extra)
+    found = table.positions(rows, "name", "a", "id").collect()
+    assert [(r.id, r["_position"]) for r in found] == [(1, 0), (3, 2)] and all(r[c] == f"my {c}" for r in found for c in names)
+    kept = replay(rows, "id", "name", "true", "id = 2").collect()
+    assert sorted(r.id for r in kept) == [1, 3] and all(r[c] == f"my {c}" for r in kept for c in names)
+    raw = spark.createDataFrame([("홍길동", "20", "1"), ("Ann", "20", "1")], "name string, age string, grade string").withColumns(extra)
+    good, bad = (x.collect() for x in checks.split_valid(raw))
+    assert [r["_reason"] for r in bad] == ["name"] and all(r[c] == f"my {c}" for r in [*good, *bad] for c in names)
+
+
+def test_sessions_end(spark):
+    log = spark.createDataFrame([(1, "i", 7), (2, "i", 8), (3, "9", 0), (4, "d", 7), (5, "9", 0), (6, "i", 9)], "seq int, op string, key int")
+    ends = lambda end: sorted(r.seq for r in replay(log, "seq", "key", "op = 'i'", "op = 'd'", end).collect())
+    assert ends("op = '9'") == [1, 2] and ends(None) == [2, 6] and ends("op = 'none'") == [2, 6]
 
 
 def test_replay_equals_a_fold(spark):
