@@ -10,22 +10,23 @@ seen it; the dictionaries in use are then learnt from all of them.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import bounded_sample, fold, text_or_empty
+from .shared import bounded_sample, fold, pieces_over, text_or_empty
 
-#: Folds of the label split; the held-out one. Labelled rows of each class that are learnt from, and characters of each.
-FOLDS, HELD_OUT, TOXIC_ROWS, ORDINARY_ROWS, TRAIN_CHARS = 5, 0, 2000, 4000, 20_000
-#: Parts of the training rows for calibration, and rows of each part and class that are calibrated on.
+#: Folds of the label split; the held-out one. Labelled rows of each class that are learnt from; pieces of a long text, evenly spread, that are, and characters of a piece.
+FOLDS, HELD_OUT, TOXIC_ROWS, ORDINARY_ROWS, TRAIN_PIECES, PIECE_CHARS = 5, 0, 2000, 4000, 10, 2000
+#: Parts of the training rows for calibration, and rows of each part and class that are calibrated on, the first by a hash of their ids.
 PARTS, CALIBRATED = 3, 500
 #: Bytes of a window; of a word start (its blank included); how much commoner it must be in its class; least documents (count, share); bytes of a dictionary.
 WINDOW, SHORTEST, LONGEST, ODDS, LEAST, LEAST_SHARE, DICTIONARY = 56, 6, 14, 20.0, 4, 0.008, 8192
@@ -49,24 +50,47 @@ def _starts(text: str) -> set[bytes]:
     return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
-def learn_dictionary(own: list[str], other: list[str]) -> bytes:
+class Sample:
+    """A training text and the hashes of its word starts, sorted, so that the texts are gone through once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in _starts(text)], np.uint64))
+
+
+def _found(marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``marks`` are in ``starts``, as places."""
+    at = np.searchsorted(marks, starts)
+    return at[(at < len(marks)) & (marks[np.minimum(at, len(marks) - 1)] == starts)] if len(marks) else at[:0]
+
+
+def _counts(marks: np.ndarray, texts: list[Sample]) -> np.ndarray:
+    """In how many texts each mark is."""
+    out = np.zeros(len(marks), np.int64)
+    for t in texts:
+        out[_found(marks, t.starts)] += 1
+    return out
+
+
+def learn_dictionary(own: list[Sample], other: list[Sample]) -> bytes:
     """Word starts that mark ``own`` texts, the strongest last, where zstd finds them cheapest.
 
     They are taken greedily by the texts that they mark; a text that has marks already counts half as much for each, so
-    that many copies of one text do not bring in all of its words. Texts are gone through one at a time, and of the
-    other class only word starts that can be marks are counted, which keeps the driver's memory small.
+    that many copies of one text do not bring in all of its words.
     """
     least, bar = max(LEAST, LEAST_SHARE * len(own)), ODDS * (len(own) + 1) / (len(other) + 1)
-    own_df: Counter = Counter()
+    seen, df = np.unique(np.concatenate([t.starts for t in own]), return_counts=True)
+    seen, df = seen[df >= least], df[df >= least]
+    chosen = df + 0.5 >= bar * (_counts(seen, other) + 0.5)
+    seen, wanted, names = seen[chosen], set(seen[chosen].tolist()), {}
     for t in own:
-        own_df.update(_starts(t))
-    own_df = Counter({w: n for w, n in own_df.items() if n >= least})
-    other_df: Counter = Counter()
-    for t in other:
-        other_df.update(own_df.keys() & _starts(t))
-    marks = sorted((w for w, n in own_df.items() if n + 0.5 >= bar * (other_df[w] + 0.5)), key=lambda w: (-len(w), w))
+        if len(names) == len(wanted):
+            break
+        names |= {h: w for w in _starts(t.text) if (h := xxhash.xxh64_intdigest(w)) in wanted and h not in names}
+    marks = sorted(names.values(), key=lambda w: (-len(w), w))
     place = {w: i for i, w in enumerate(marks)}
-    pairs = np.array([(place[w], k) for k, t in enumerate(own) for w in place.keys() & _starts(t)], np.int64).reshape(-1, 2)
+    rank = np.array([place[names[h]] for h in seen.tolist()], np.int64)
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *(np.c_[rank[found], np.full(len(found), k)] for k, t in enumerate(own) if len(found := _found(seen, t.starts)))])
     share, taken, open_ = np.ones(len(own)), [], np.ones(len(marks), bool)
     while marks and sum(map(len, taken)) < DICTIONARY:
         gain = np.where(open_, np.bincount(pairs[:, 0], share[pairs[:, 1]], len(marks)), 0)
@@ -129,16 +153,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from a bounded sample of the labelled rows outside the held-out fold.
 
-    A document with several labels is toxic if any of them says so. Without labelled rows of both classes nothing can be
+    A document with several labels is toxic if any of them says so; of several texts of one id the smallest is learnt from.
+    Of a long text, pieces over its whole length are. Without labelled rows of both classes nothing can be
     told apart: then every text scores the share of toxic labels.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = [known.where(F.col("toxic") == value).count() for value in (1, 0)]
     drawn = [bounded_sample(known.where(F.col("toxic") == value), "doc_id", rows) for value, rows in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
     ids = F.broadcast(drawn[0].union(drawn[1]))  # at most twice both bounds
-    found = docs.select("doc_id", F.substring(text_or_empty(), 1, TRAIN_CHARS).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted(found.collect(), key=lambda r: r.doc_id)
-    texts = [[r.text for r in rows if r.toxic == value] for value in (1, 0)]
+    found = docs.select("doc_id", pieces_over(text_or_empty(), TRAIN_PIECES, PIECE_CHARS).alias("text")).join(ids, "doc_id")
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # ids may repeat
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    texts = [[Sample(r.text) for r in rows if r.toxic == value] for value in (1, 0)]
     toxic, ordinary = texts
     prior = totals[0] / max(sum(totals), 1)
     if min(len(toxic), len(ordinary)) < 3:
@@ -149,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         rest = [[t for i, t in enumerate(c) if i % PARTS == part][:CALIBRATED] for c in texts]
         dictionaries = [learn_dictionary(seen[k], seen[1 - k]) for k in (0, 1)]
         for c, value, total in zip(rest, (1.0, 0.0), totals, strict=True):
-            x += [savings(t, *dictionaries) for t in c]
+            x += [savings(t.text, *dictionaries) for t in c]
             y += [value] * len(c)
             weight += [total / max(len(c), 1)] * len(c)
     x, y, weight = map(np.array, (x, y, weight))
@@ -172,19 +198,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs(doc_id, text)``; ``labels(doc_id, toxic)``.
 
-    Repeated rows are scored each; other columns are ignored; an empty table gives an empty result.
+    A null text is empty, and an empty one scores like a text without any evidence. Repeated rows are scored each; other
+    columns are ignored; an empty table gives an empty result.
     """
     return score(docs, train(docs, labels)).select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is under 0.5."""
-    model = train(docs, labels)
-    at = docs.columns.index("text")
+    """The rows of ``docs``, all columns, whose score is under 0.5.
+
+    Null and empty texts are scored like any other, equal texts alike; repeated rows stay or go together. Columns of any
+    names pass unchanged. An empty table gives an empty result.
+    """
+    model, at = train(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([savings(t.as_py() or "", model.toxic, model.ordinary) for t in b.column(at)]).reshape(-1, len(model.weights))
+            x = np.array([savings(t.as_py() or "", model.toxic, model.ordinary) for t in b.column(0).field(at)]).reshape(-1, len(model.weights))
             yield b.filter(pa.array(x @ np.array(model.weights) + model.bias < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so that any names pass
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from rosterspark.llm import language_id, toxicity
@@ -36,13 +37,55 @@ def test_toxicity_held_out_accuracy(spark):
     assert np.mean(clean) < 0.05 and np.mean([r.predicted for r in rows if r.toxic]) > 0.6
 
 
-def test_toxicity_odd_rows(odd_docs, no_docs, small):
+def test_toxicity_odd_rows(odd_docs, no_docs, small, unchanged):
     labels = small("labels")
     rows = toxicity.toxicity(odd_docs, labels).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
     assert toxicity.toxicity(no_docs, labels).isEmpty()
     assert {r.predicted for r in toxicity.toxicity(odd_docs, labels.limit(0)).collect()} == {0}
-    assert toxicity.keep_ordinary(odd_docs, labels).columns == odd_docs.columns
+    assert unchanged(toxicity.keep_ordinary(odd_docs, labels)) and toxicity.keep_ordinary(no_docs, labels).isEmpty()
+
+
+def plain_dictionary(own, other):
+    """The marks of a class with sets of words alone."""
+    sets, others = [[toxicity._starts(t) for t in c] for c in (own, other)]
+    least, bar = max(toxicity.LEAST, toxicity.LEAST_SHARE * len(own)), toxicity.ODDS * (len(own) + 1) / (len(other) + 1)
+    df = lambda w, c: sum(w in s for s in c)
+    marks = {w for w in set().union(*sets) if df(w, sets) >= least and df(w, sets) + 0.5 >= bar * (df(w, others) + 0.5)}
+    share, taken = [1.0] * len(own), []
+    while marks and sum(map(len, taken)) < toxicity.DICTIONARY:
+        gain = {w: sum(share[k] for k, s in enumerate(sets) if w in s) for w in marks}
+        best = min(marks, key=lambda w: (-gain[w], -len(w), w))
+        if gain[best] < least / 2:
+            break
+        taken.append(best)
+        share = [x / 2 if best in s else x for x, s in zip(share, sets)]
+        marks = {w for w in marks if not best.startswith(w)}
+    return b"\n".join(reversed(taken))
+
+
+def test_dictionaries_and_scores_equal_plain_ones(spark, monkeypatch):
+    """Marks by sets of words; scores window by window with compressors made here."""
+    monkeypatch.setattr(toxicity, "LEAST", 2)
+    rng = np.random.default_rng(3)
+    common = ["".join(rng.choice(list("etaoinsrh"), 7)) for _ in range(60)]
+    make = lambda extra: [" ".join(list(rng.choice(common, 25)) + list(rng.choice(extra, 2))) for _ in range(30)]
+    own, other = make(["grumblefitz", "nastyworts", "vilepudding"]), make(["kindlyword", "goodpudding"])
+    a, b = [toxicity.Sample(t) for t in own], [toxicity.Sample(t) for t in other]
+    toxic, ordinary = toxicity.learn_dictionary(a, b), toxicity.learn_dictionary(b, a)
+    assert b"grumblefitz"[:9] in toxic and toxic == plain_dictionary(own, other) and ordinary == plain_dictionary(other, own)
+    model = toxicity.Model(toxic, ordinary, (0.1, 0.2, 0.3, 0.4, 0.5), -1.0)
+    rows = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate([*own[:5], *other[:5], "", None])), "doc_id int, text string"), model).collect()}
+    for i, text in enumerate([*own[:5], *other[:5], "", None]):
+        lengths = []
+        for d in (toxic, ordinary):
+            shape = zstandard.ZstdCompressionParameters.from_level(3, min_match=6, strategy=zstandard.STRATEGY_GREEDY, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
+            c = zstandard.ZstdCompressor(compression_params=shape, dict_data=zstandard.ZstdCompressionDict(d + b"\n" + toxicity.PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            lengths.append([len(c.compress(toxicity.PRIMER + w)) for w in toxicity.windows(text or "")])
+        saved = [max(0, o - t) for t, o in zip(*lengths)] or [0]
+        strong = [max(0, x - toxicity.STRONG) for x in saved]
+        x = np.log1p([20 * np.mean(saved), max(saved), sum(saved), 20 * np.mean(strong), sum(strong)])
+        assert abs(rows[i] - 1 / (1 + np.exp(-(x @ np.array(model.weights) - 1.0)))) < 1e-9
 
 
 def test_windows_hold_the_whole_text():
