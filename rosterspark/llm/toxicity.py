@@ -26,8 +26,8 @@ from .shared import bounded_sample, fold, pieces_over, text_or_empty
 
 #: Folds of the label split; the held-out one. Labelled rows of each class that are learnt from; pieces of a long text, evenly spread, that are, and characters of a piece.
 FOLDS, HELD_OUT, TOXIC_ROWS, ORDINARY_ROWS, TRAIN_PIECES, PIECE_CHARS = 5, 0, 2000, 4000, 10, 2000
-#: Parts of the training rows for calibration, and rows of each part and class that are calibrated on, the first by a hash of their ids.
-PARTS, CALIBRATED = 3, 500
+#: Parts of the training rows for calibration.
+PARTS = 3
 #: Bytes of a window; of a word start (its blank included); how much commoner it must be in its class; least documents (count, share); bytes of a dictionary.
 WINDOW, SHORTEST, LONGEST, ODDS, LEAST, LEAST_SHARE, DICTIONARY = 56, 6, 14, 20.0, 4, 0.008, 8192
 #: Bytes that a window must save to count as strong evidence: a chance match saves less.
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ids = F.broadcast(drawn[0].union(drawn[1]))  # at most twice both bounds
     found = docs.select("doc_id", pieces_over(text_or_empty(), TRAIN_PIECES, PIECE_CHARS).alias("text")).join(ids, "doc_id")
     found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # ids may repeat
-    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = found.orderBy("doc_id").collect()
     texts = [[Sample(r.text) for r in rows if r.toxic == value] for value in (1, 0)]
     toxic, ordinary = texts
     prior = totals[0] / max(sum(totals), 1)
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     x, y, weight = [], [], []
     for part in range(PARTS):  # texts are calibrated under dictionaries that have not seen them
         seen = [[t for i, t in enumerate(c) if i % PARTS != part] for c in texts]
-        rest = [[t for i, t in enumerate(c) if i % PARTS == part][:CALIBRATED] for c in texts]
+        rest = [[t for i, t in enumerate(c) if i % PARTS == part] for c in texts]
         dictionaries = [learn_dictionary(seen[k], seen[1 - k]) for k in (0, 1)]
         for c, value, total in zip(rest, (1.0, 0.0), totals, strict=True):
             x += [savings(t.text, *dictionaries) for t in c]
