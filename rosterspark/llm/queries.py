@@ -47,7 +47,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest_columns(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
+    return secret_scan.digest_columns(secret_scan.secret_scan(table(spark, sf_dir, "documents"), secret_scan.stable_ledger(spark)))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rosterspark.llm import license_scan, secret_scan
+from rosterspark.llm import license_scan, queries, secret_scan, shared
 
 
 def brute(text):
@@ -75,6 +75,15 @@ def test_versions_are_found_by_path(spark, tmp_path):
     assert secret_scan.secret_scan(versions, f"{tmp_path}/ledger", keys=("path", "commit")).count() == 3
 
 
+def test_query_remembers_what_it_has_scanned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "LOCAL_FOLDER", str(tmp_path))
+    rows = lambda: sorted(map(tuple, queries.op7_secret_scan(spark, "/root/testdata/sf0.001").collect()))
+    first = rows()
+    kept = sorted(os.listdir(tmp_path / "secret-ledger"))
+    monkeypatch.setattr(secret_scan, "find_secrets", None)  # a second run scans nothing
+    assert rows() == first and sorted(os.listdir(tmp_path / "secret-ledger")) == kept
+
+
 def test_redaction(spark, odd_docs, unchanged):
     docs = spark.createDataFrame([(1, "a token=abcdef b", "k"), (2, "password=" + "0" * 30 + " end", "k"), (3, None, "k"), (4, "clean", "k"), (5, "token=abcdef", "k"), (6, "token=abcdef token=ghijkl!", "k")], "doc_id int, text string, blob string")
     clean = secret_scan.redact(docs)
