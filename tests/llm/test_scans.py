@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rosterspark.llm import license_scan, queries, secret_scan, shared
+from rosterspark.llm import license_scan, queries, secret_scan
 
 
 def brute(text):
@@ -76,7 +76,7 @@ def test_versions_are_found_by_path(spark, tmp_path):
 
 
 def test_query_remembers_what_it_has_scanned(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(shared, "LOCAL_FOLDER", str(tmp_path))
+    monkeypatch.setattr(secret_scan, "shared_folder", lambda spark: str(tmp_path))
     rows = lambda: sorted(map(tuple, queries.op7_secret_scan(spark, "/root/testdata/sf0.001").collect()))
     first = rows()
     kept = sorted(os.listdir(tmp_path / "secret-ledger"))
