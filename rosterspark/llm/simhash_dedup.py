@@ -33,10 +33,10 @@ from .shared import join_least, materialize, split_by_slots, text_or_empty
 BITS, SEED, SHINGLE_WORDS, RADIUS = 64, 42, 4, 4
 #: Nodes in a bucket up to which it is compared in whole; and shingles hashed at once.
 BUCKET_MOST, SHINGLES_AT_ONCE = 1024, 1 << 18
-#: Near copies (``keep_one``): words of a shingle, similarity, bands of minima and minima of each; shingles hashed at once; most rounds of stars, and pairs for each row of the buckets above which there are any.
-NEAR_WORDS, SIMILAR, BANDS, BAND_ROWS, MINIMA_AT_ONCE, STAR_ROUNDS, PAIRS_A_ROW = 5, 0.8, 16, 6, 4096, 40, 4
-#: Share of minima that a pair's sketches have in common at least to be confirmed: three deviations below ``SIMILAR``.
-SKETCH_SHARE = SIMILAR - 3 * (SIMILAR * (1 - SIMILAR) / (BANDS * BAND_ROWS)) ** 0.5
+#: Near copies (``keep_one``): words of a shingle, similarity, bands of minima and minima of each; shingles hashed at once; most rounds of stars, nodes in a bucket above which there are any, and share of its texts that a round must settle to be followed by another.
+NEAR_WORDS, SIMILAR, BANDS, BAND_ROWS, MINIMA_AT_ONCE, STAR_ROUNDS, STAR_FROM, STAR_WORTH = 5, 0.8, 16, 6, 4096, 16, 64, 0.015
+#: Share of minima that a pair's sketches have in common at least to be confirmed: two and a half deviations below ``SIMILAR``.
+SKETCH_SHARE = SIMILAR - 2.5 * (SIMILAR * (1 - SIMILAR) / (BANDS * BAND_ROWS)) ** 0.5
 
 
 def fingerprint(text: str, words_in_shingle: int = SHINGLE_WORDS) -> int:
@@ -207,8 +207,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` whose shingle sets have a Jaccard similarity of at least ``SIMILAR``."""
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"), F.size("shingles").alias(f"n_{c}")) for c in "ab")
+    """The ``pairs(a, b)``, a written table, whose shingle sets have a Jaccard similarity of at least ``SIMILAR``; only their own sets move."""
+    left, right = (split_by_slots(sets, pairs.select(F.col(c).alias("node")))[1].select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"), F.size("shingles").alias(f"n_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     near = F.greatest("n_a", "n_b") * SIMILAR <= F.least("n_a", "n_b")
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "n_a", "n_b", both.alias("both")).where(F.col("both") >= SIMILAR * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
@@ -218,10 +218,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(blob): digests of the texts of ``docs(doc_id, text)`` that are near copies of a text that stays.
 
     A text goes only if its similarity to one that stays is confirmed, so neither chance nor a chain of links drops it.
-    Candidates share a band. While buckets hold many more pairs than rows, a text that is the smallest of
-    all its buckets stays, and every other text of those buckets is compared with it: first with the smallest such text,
-    then, if they are not alike, with the others that stay in its buckets (there is one a band at most). That is linear in
-    a bucket, and each round halves a large group or more. What is left is compared in whole inside the tasks, where sketches
+    Candidates share a band. While there are large buckets, in each round a text that is the smallest of
+    all its buckets stays, and every other text of those buckets is compared with it (with one a band at most). That is
+    linear in a bucket; it is repeated while it settles many texts, as it does in groups of near copies. What is left is compared in whole inside the tasks, where sketches
     say which pairs may be alike; only those are confirmed, and of linked texts some stay in order of a hash.
     """
     found = signatures(docs).groupBy("blob").agg(F.min("doc_id").alias("least"), F.min(F.struct("keys", "sketch")).alias("s"))
@@ -238,21 +237,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     gone = []
     for _ in range(STAR_ROUNDS):
         lows = materialize(alive.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-lows")
-        pairs, size = lows.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
-        if (pairs or 0) <= PAIRS_A_ROW * (size or 0):
+        if (lows.agg(F.max("n")).first()[0] or 0) <= STAR_FROM:
             break
-        here = alive.join(lows.drop("n"), "key")
+        here = materialize(alive.join(lows.drop("n"), "key").select("node", "b").distinct(), "near-here")  # at most a row for each band
         stay = materialize(here.groupBy("node").agg(F.min("b").alias("b")).where("node = b").select("b"), "near-stay")
-        others = here.where("node != b").join(stay, "b", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("b")).alias("bs"))
-        others = materialize(others, "near-others")  # at most a candidate for each band
-        first = materialize(_confirmed(others.select(F.col("node").alias("a"), F.col("bs")[0].alias("b")), sets).select(F.col("a").alias("node")), "near-gone")
-        rest = others.where(F.size("bs") > 1).join(first, "node", "left_anti").select(F.col("node").alias("a"), F.explode(F.slice("bs", 2, BANDS)).alias("b"))
-        more = materialize(_confirmed(rest, sets).select(F.col("a").alias("node")).distinct(), "near-gone")
-        gone += [first, more]
-        decided = materialize(stay.select(F.col("b").alias("node")).union(first).union(more), "near-decided")
+        pairs = materialize(here.where("node != b").join(stay, "b", "left_semi").select(F.col("node").alias("a"), "b"), "near-pairs")
+        gone.append(materialize(_confirmed(pairs, sets).select(F.col("a").alias("node")).distinct(), "near-gone"))
+        decided = materialize(stay.select(F.col("b").alias("node")).union(gone[-1]), "near-decided")
         alive = materialize(alive.join(decided, "node", "left_anti"), "near-buckets")
+        if decided.count() < STAR_WORTH * here.select("node").distinct().count():
+            break
     likely = grouped(alive.join(nodes.select("node", "sketch"), "node"), ["key"], "node").select("g", "side", "node", "band", "sketch").mapInArrow(_likely, "a long, b long")
-    links = materialize(_confirmed(likely.distinct(), sets), "near-confirmed")
+    links = materialize(_confirmed(materialize(likely.distinct(), "near-pairs"), sets), "near-confirmed")
     links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     while not links.isEmpty():  # about the logarithm of the links in rounds, since a hash orders them
         order = lambda c: F.struct(F.xxhash64(c), F.col(c))
