@@ -146,6 +146,8 @@ SAMPLE_DOCS, SAMPLE_PIECES, PIECE_CHARS, ORDINARY, FILLER = 300, 8, 512, 800, 20
 VARIANTS, COMMON, FOLDS, CONFIRM = 10, 0.005, 3, 0.6
 #: Share of right predictions for unseen templates that the threshold lets pass.
 PASS_SHARE = 0.95
+#: Letters of a word that may make a feature though it names no family.
+TELLING = 5
 #: Rounds, step, momentum, and shrinkage of the fit.
 ROUNDS, STEP, MOMENTUM, SHRINK = 100, 2.0, 0.9, 6e-4
 NONE, UNKNOWN = "none", "unknown"
@@ -167,6 +169,11 @@ def grams(text: str) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
+def telling(gram: str) -> list[str]:
+    """The words of a gram that may say something of a licence: names of families, and words of ``TELLING`` letters or more. A gram without one that ordinary paragraphs hardly have is no feature."""
+    return [w for w in gram.split() if len(w) >= TELLING or re.fullmatch(NAMES, w)]
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
@@ -258,7 +265,8 @@ def train_on(ordinary: list[str], seed: int = 0) -> Model:
         return [t for t, _ in out], [families.index(f) for _, f in out]
 
     most = COMMON * len(ordinary)
-    features = sorted({g for ts in (*TEMPLATES.values(), OTHER_LICENCES, NO_GRANT) for t in ts for g in grams(t) if common[g] <= most})
+    rare = lambda g: [w for w in telling(g) if common[w] <= most]
+    features = sorted({g for ts in (*TEMPLATES.values(), OTHER_LICENCES, NO_GRANT) for t in ts for g in grams(t) if common[g] <= most and rare(g)})
     place = {g: i for i, g in enumerate(features)}
     right, wrong = [], []
     for held in range(FOLDS):
@@ -274,7 +282,7 @@ def train_on(ordinary: list[str], seed: int = 0) -> Model:
     texts, classes = rows(None)
     w, b = fit(_design(texts, place), np.array(classes), len(families))
     speaks = [g for g, i in place.items() if (w[i, :-1] > w[i, -1]).any()]
-    gate = sorted({min(g.split(), key=lambda x: (common[x], -len(x), x)) for g in speaks})
+    gate = sorted({min(rare(g), key=lambda x: (common[x], -len(x), x)) for g in speaks})
     return Model(families, {g: tuple(map(float, w[i])) for g, i in place.items() if np.abs(w[i]).max() > 0}, tuple(map(float, b)), calibrate(right, wrong), tuple(gate))
 
 
