@@ -14,7 +14,7 @@ LOCAL_FOLDER = "/tmp/checkpoints"
 #: Parts into which the rows of a hot group are dealt.
 SALTS = 64
 #: Slots by which rows are told from those that a join may concern: the table of slots in use has no more rows.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 
 
 def shared_folder(spark: SparkSession) -> str:
