@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import materialize
+from .shared import in_parts, materialize
 
 WINDOW, SHARD_TOKENS, END_ID = 1024, 1 << 19, 0
 #: Added tokens of byte_bpe_50k.json: their strings are one id wherever a text holds them.
@@ -76,7 +76,7 @@ def tokenize(docs: DataFrame, ranks: str, pattern: str, vocabulary: str, end_id:
         coder = tokenizer(ranks, pattern, vocabulary)
         if coder.largest >= 1 << 16:
             raise ValueError("the vocabulary has over 65536 ids")
-        for b in batches:
+        for b in in_parts(batches):
             ids = [np.append(coder.encode(t.as_py() or ""), end_id).astype("<u2") for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(map(len, ids), pa.int64()), pa.array(map(lead, ids), pa.int32())], names=["doc_id", "ids", "n", "lead"])
 

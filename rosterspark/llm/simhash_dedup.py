@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .buckets import close_pairs, grouped, smallest_reached, whole_groups
 from .graph import connected_components
-from .shared import join_least, materialize, split_by_slots, text_or_empty
+from .shared import in_parts, join_least, materialize, split_by_slots, text_or_empty
 
 BITS, SEED, SHINGLE_WORDS, RADIUS = 64, 42, 4, 4
 #: Nodes in a bucket up to which it is compared in whole; and shingles hashed at once.
@@ -171,7 +171,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             sets = [shingle_set(t.as_py() or "") for t in b.column(2)]
             full = np.flatnonzero([len(s) > 0 for s in sets])
             least = [minima(sets[i]) for i in full]
@@ -184,7 +184,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     """(node, shingles) of ``rows(node, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             found = pa.array([shingle_set(t.as_py() or "").view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
             yield pa.record_batch([b.column(0), found], names=["node", "shingles"])
 
