@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, license_scan, packing, secret_scan, sentencepiece_codec, simhash_dedup, toxicity, warc
+from . import embedding_dedup, exact_dedup, language_id, license_scan, merkle_manifest, packing, secret_scan, sentencepiece_codec, simhash_dedup, toxicity, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: A vocabulary, and the same as ranks.
@@ -62,6 +62,54 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle_manifest.merkle_manifest(table(spark, sf_dir, "documents"), merkle_manifest.tampered())
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of ASCII text in SQL, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end"
+    return f"xor(list_reduce({steps}, {step}, 4294967295::bigint), 4294967295)"
+
+
+def merkle_sql() -> str:
+    """The manifest in SQL: levels by recursion, then each row's siblings and its fold."""
+    field = lambda c: f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')"
+    leaf = lambda n: f"sha256({field('doc_id')} || {field('source')} || {field('lang')} || {field(n)} || {field('text')})"
+    tree = """
+        select {key}0 as lvl, pos, digest, n from {leaves} union all
+        select {key}lvl + 1, pos // 2, sha256(digest || coalesce(next, '')), (n + 1) // 2
+        from (select *, lead(digest) over (partition by {part} order by pos) as next from {name} where n > 1) where pos % 2 = 0
+    """
+    return f"""
+        with recursive docs as (select *, row_number() over () as r, {leaf("n_chars")} as leaf,
+                case when {crc32_sql("doc_id::varchar")} % 7 = 0 then {leaf("(n_chars + 1)")} else {leaf("n_chars")} end as found from documents),
+        placed as (select r, doc_id, leaf, found, dense_rank() over (order by lang nulls first) - 1 as tree,
+                row_number() over (partition by lang order by doc_id nulls first, leaf, r) - 1 as pos, count(*) over (partition by lang) as n from docs),
+        leaves as (select tree, pos, leaf as digest, n from placed),
+        nodes(tree, lvl, pos, digest, n) as ({tree.format(key="tree, ", leaves="leaves", part="tree", name="nodes")}),
+        subroots as (select tree as pos, digest, count(*) over () as n from nodes where n = 1),
+        tops(lvl, pos, digest, n) as ({tree.format(key="", leaves="subroots", part="lvl", name="tops")}),
+        below as (select r, nodes.lvl as step, (p.pos >> nodes.lvl) & 1 as odd, s.digest as side
+                from placed p join nodes on nodes.tree = p.tree and nodes.pos = p.pos >> nodes.lvl and nodes.n > 1
+                left join nodes s on s.tree = p.tree and s.lvl = nodes.lvl and s.pos = xor(nodes.pos, 1)),
+        above as (select r, 100 + tops.lvl as step, (p.tree >> tops.lvl) & 1 as odd, s.digest as side
+                from placed p join tops on tops.pos = p.tree >> tops.lvl and tops.n > 1
+                left join tops s on s.lvl = tops.lvl and s.pos = xor(tops.pos, 1)),
+        steps as (select r, row_number() over (partition by r order by step) as i, odd, side from (from below union all from above)),
+        folds(r, i, digest) as (select r, 0, found from docs union all
+                select f.r, f.i + 1, case when odd = 1 then sha256(side || digest) else sha256(digest || coalesce(side, '')) end
+                from folds f join steps s on s.r = f.r and s.i = f.i + 1),
+        ends as (select r, max_by(digest, i) as folded_root from folds group by r),
+        proofs as (select r, string_agg(side, '' order by i) as proof from steps group by r)
+        select doc_id, leaf, subroots.digest as subroot, (select digest from tops where n = 1) as root, sha256(coalesce(proof, '')) as proof_sha256,
+               folded_root, folded_root = (select digest from tops where n = 1) as verified
+        from placed join subroots on subroots.pos = tree join ends using (r) left join proofs using (r)
+    """
+
+
 def secret_sql() -> str:
     """The secret scan in SQL: stretches between matches and matches give the spans, as in the operator."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
@@ -104,9 +152,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
+    "op11_merkle_manifest": merkle_sql(),
     "op7_secret_scan": secret_sql(),
     "op10_embedding_dedup": """
         with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
