@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, license_scan, merkle_manifest, packing, secret_scan, sentencepiece_codec, simhash_dedup, toxicity, warc
+from . import conversation_repair, embedding_dedup, exact_dedup, language_id, license_scan, merkle_manifest, packing, pii_scan, secret_scan, sentencepiece_codec, simhash_dedup, toxicity, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: A vocabulary, and the same as ranks.
@@ -67,6 +67,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan.digest_columns(pii_scan.pii_scan(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def crc32_sql(text: str) -> str:
     """The CRC-32 of ASCII text in SQL, bit by bit."""
     steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
@@ -110,6 +118,50 @@ def merkle_sql() -> str:
     """
 
 
+def repair_sql() -> str:
+    """The forward pass in SQL: a recursion over turns that carries the best (cost, audit, text) of each state."""
+    step = lambda a, cost, letter, text, when="true": f"case when {a} is not null and {when} then {{'cost': {a}.cost + {cost}, 'audit': {a}.audit || '{letter}', 'out': {a}.out || {text}}} end"
+    best = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda w: w is not null))"
+    written = lambda role, text: f"chr(10) || {role} || ':' || {text}"
+    user, helper = written("'user'", "''"), written("'assistant'", "''")
+
+    def close(source: str, twice: bool = True) -> str:
+        once = f"""select * exclude (s2, s3),
+            {best("s2", *(step(f"s{a}", 3, "I", user) for a in (0, 1, 3)))} as s2, {best("s3", step("s2", 3, "I", helper))} as s3 from ({source})"""
+        return close(once, False) if twice else once
+
+    more, go = "case when fault = 'truncated' then 3 else 0 end", "fault not in ('blank', 'duplicate')"
+    keep = lambda a, c: step(f"s{a}", more, "K", written("role", "text"), f"{go} and c = '{c}'")
+    change = lambda a, role: step(f"s{a}", f"3 + {more}", "R", written(f"'{role}'", "text"), go)
+    drop = lambda a: step(f"s{a}", 4, "D", "''")
+    turn = f"""select w.conv_id, w.i + 1 as i, {drop(0)} as s0, {best(drop(1), keep(0, "s"))} as s1,
+        {best(drop(2), *(keep(a, "u") for a in (0, 1, 3)), *(change(a, "user") for a in (0, 1, 3)))} as s2,
+        {best(drop(3), keep(2, "a"), change(2, "assistant"))} as s3
+        from ways w join faults f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1"""
+    way = "struct(cost int, audit varchar, \"out\" varchar)"
+    start = f"select distinct conv_id, 0 as i, {{'cost': 0, 'audit': '', 'out': ''}}::{way} as s0, null::{way} as s1, null::{way} as s2, null::{way} as s3 from conversations"
+    columns = "conv_id, i, s0, s1, s2, s3"
+    return f"""
+        with recursive coded as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as code from conversations),
+        damaged as (select conv_id, turn, case when code = 4 then 'user' else role end as role,
+                case code when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+                unnest(case code when 0 then [] when 3 then [1, 2] else [1] end) as copy from coded),
+        placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+        marked as (select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as shown, left(role, 1) as c,
+                row_number() over (partition by conv_id, role, text order by i) > 1 as seen, lag(left(role, 1)) over (partition by conv_id order by i) as before from placed),
+        faults as (select *, case when shown = '' then 'blank' when seen then 'duplicate' when right(shown, 1) in ('.', '!', '?') then '' else 'truncated' end as fault from marked),
+        counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+                count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+                count(*) filter (before is not null and before || c not in ('su', 'ua', 'au')) as illegal from faults group by conv_id),
+        ways({columns}) as (select {columns} from ({close(start)}) union all select {columns} from ({close(turn)})),
+        ends as (select conv_id, {best("s0", "s3")} as w, i from ways qualify i = max(i) over (partition by conv_id))
+        select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+               coalesce(illegal, 0) as illegal, w.cost::bigint as cost, w.audit as audit, sha256(substr(w.out, 2)) as repaired_sha256
+        from ends e left join counts c on c.conv_id is not distinct from e.conv_id
+    """
+
+
 def secret_sql() -> str:
     """The secret scan in SQL: stretches between matches and matches give the spans, as in the operator."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
@@ -153,10 +205,13 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_pii_scan": op12_pii_scan,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
     "op11_merkle_manifest": merkle_sql(),
+    "op13_conversation_repair": repair_sql(),
     "op7_secret_scan": secret_sql(),
     "op10_embedding_dedup": """
         with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
