@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import free_name
-from .text import parse_integer
+from .text import INTEGER, parse_integer, strip
 
 # Two Hangul syllables side by side, anywhere in a name; the ends of ages and grades.
 NAME_PATTERN = "[가-힣]{2,}"
@@ -29,10 +29,11 @@ def clamp(c: Column, low: int, high: int) -> Column:
 
 
 def parse_or_default(c: Column, low: int = GRADE_LOW, high: int = GRADE_HIGH, default: int = GRADE_LOW) -> Column:
-    """An integer held within the ends, ``default`` where ``c`` is none. It is clamped before it is narrowed."""
+    """An integer of any size held within the ends, ``default`` where ``c`` is none. It is clamped before it is narrowed."""
     wide = [F.lit(v).cast("decimal(38,0)") for v in (low, high)]
-    number = parse_integer(c)
-    held = F.when(number.isNotNull(), F.least(F.greatest(number, wide[0]), wide[1]))
+    bare, number = strip(c), parse_integer(c)
+    long = bare.rlike(INTEGER) & (F.length(F.regexp_replace(bare, "^[+-]?[0_]*|_", "")) > 37)  # sign and length tell where it lies
+    held = F.when(long, F.when(bare.startswith("-"), wide[0]).otherwise(wide[1])).when(number.isNotNull(), F.least(F.greatest(number, wide[0]), wide[1]))
     return F.coalesce(held.cast("int"), F.lit(default))
 
 

@@ -14,8 +14,8 @@ INTEGER = r"^[+-]?[0-9]+(_[0-9]+)*$"
 
 
 def strip(c: Column) -> Column:
-    """Without white space (any of Unicode's) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end: any of Unicode's, and the four separators that Python counts too."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def parse_integer(c: Column) -> Column:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, sequences, text
-from ..operators import table
+from ..operators import asof, intervals, table
 from ..sinks import files
 from ..sources.text import decode_lines, load_backup, load_delimited
+from ..streaming import arrivals, fold, windows
 from ..streaming.session import last_deletes
-from .session import command, replay
+from .session import answered, command, replay
 from .shared import scratch
 
 
@@ -187,6 +188,68 @@ def streamed_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(state.schema).parquet(path)
 
 
+def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of a log, some of which there are not, and what answers them."""
+    names = F.array(*map(F.lit, ("1", "2", "3", "4", "5", "9", " 4", "x", None)))
+    log = read(spark, sf_dir, "events").select("event_id", F.get(names, (F.col("user_id") % 9).cast("int")).alias("command"))
+    return answered(log, "command")
+
+
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last order of an event's user before the event."""
+    events, orders = read(spark, sf_dir, "events").select("event_id", "user_id", "ts"), read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    return asof.asof_join(events, orders, ("user_id", "ts"), ("o_custkey", "o_orderdate"), ties=("o_orderkey",)).select("event_id", "user_id", "o_orderkey", "o_orderdate")
+
+
+def asof_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the customer's last one before it, if that was within half a year."""
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    found = asof.asof_join(orders, orders, ("o_custkey", "o_orderdate"), ("o_custkey", "o_orderdate"), ties=("o_orderkey",), strict=True, within="interval 180 days")
+    return found.select("o_orderkey", F.col("_o_orderkey").alias("previous"), F.col("_o_orderdate").alias("previous_date"))
+
+
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items shipped within 30 days of their order."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderdate") + F.expr("interval 30 days")).alias("until"))
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return intervals.interval_join(items, orders, ("l_shipdate", "l_shipdate"), ("o_orderdate", "until"), (("l_orderkey", "o_orderkey"),)).drop("o_orderkey")
+
+
+def interval_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order how many items of any order were shipped on its day or the next."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderdate") + F.expr("interval 1 day")).alias("until"))
+    items = read(spark, sf_dir, "lineitem").select("l_shipdate")
+    met = intervals.interval_join(items, orders, ("l_shipdate", "l_shipdate"), ("o_orderdate", "until")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return orders.join(met, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("shipped"))
+
+
+def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+
+
+def streamed_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session's commands folded as they arrive, up to three hours late: the records that are left."""
+    kind = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete")
+    log = timed_events(fold.stateful_session(spark), sf_dir).select("event_id", "ts", "user_id", kind.alias("command"))
+    folder = scratch(spark, "fold")
+    arrivals.replayed(log, "ts", "event_id", 3 * 3600, lambda s: fold.fold_commands(s, "ts", "4 hours", "event_id", "user_id", "command"), folder)
+    left = fold.table_of(spark.read.schema(fold.OUT).parquet(f"{folder}/out"))
+    return left.select(F.col("order").alias("event_id"), F.col("key").cast("long").alias("user_id"), F.lit("signup").alias("event_type"))
+
+
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users with gaps of six hours, from events that arrive up to three hours late."""
+    total = F.sum(F.col("value").cast("decimal(20,4)")).alias("total")
+    found = arrivals.replayed(timed_events(spark, sf_dir), "ts", "event_id", 3 * 3600, lambda s: windows.session_windows(s, "ts", "user_id", "6 hours", "4 hours", total), scratch(spark, "sessions"))
+    return found.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n", F.col("total").cast("double").alias("total"))
+
+
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by kind in windows of a day that start every six hours, from events that arrive up to three hours late."""
+    found = arrivals.replayed(timed_events(spark, sf_dir), "ts", "event_id", 3 * 3600, lambda s: windows.time_windows(s, "ts", "event_type", "24 hours", "6 hours", "4 hours"), scratch(spark, "windows"))
+    return found.select("event_type", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "csv")
     files.save_csv(customers(spark, sf_dir), path)
@@ -214,7 +277,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         list_all, find_exact, find_count, delete_exact, delete_confirmed, deleted_rows, insert_append, insert_numbered, centre, or_default, export_default, nonempty, report, fib_default, session_end, streamed_deletes, range_check, clamp, parse_clamp, regex_search, validate, line_encode,
         line_decode, table_row, fib, fib_line, safe_index_array, safe_index_str, repeat_lines, positions, session_replay, csv_roundtrip, csv_roundtrip_multiline,
-        text_roundtrip, record_unpivot,
+        text_roundtrip, record_unpivot, command_log, asof_join, asof_previous, interval_join, interval_counts, streamed_fold, session_windows, sliding_windows,
     )
 }
 
@@ -272,6 +335,41 @@ ORACLE_SQL = {
         select event_id, user_id, event_type from events i where event_type = 'signup'
         and not exists (select 1 from events d where d.event_type = 'error' and d.user_id = i.user_id and d.event_id > i.event_id)
     """,
+    "command_log": """
+        with log as (select event_id, ['1', '2', '3', '4', '5', '9', ' 4', 'x', null][user_id % 9 + 1] as command from events)
+        select event_id, command, case command when '1' then 'insert' when '2' then 'rendered' when '3' then 'delete_confirmed' when '4' then 'find' when '5' then 'save_csv' when '9' then 'save_backup' end as operator,
+               case when command in ('1', '2', '3', '4', '5', '9') then null else 'no such command: ' || coalesce(command, 'null') end as error
+        from log
+    """,
+    "asof_join": """
+        with last as (select * from orders qualify row_number() over (partition by o_custkey, o_orderdate order by o_orderkey desc) = 1)
+        select event_id, user_id, o_orderkey, o_orderdate from events asof left join last on user_id = o_custkey and ts >= o_orderdate
+    """,
+    "asof_previous": """
+        with last as (select o_custkey as c, o_orderdate as d, o_orderkey as k from orders qualify row_number() over (partition by o_custkey, o_orderdate order by o_orderkey desc) = 1),
+        found as (select o_orderkey, k, d, d >= o_orderdate - interval 180 days as near from orders asof left join last on o_custkey = c and o_orderdate > d)
+        select o_orderkey, case when near then k end as previous, case when near then d end as previous_date from found
+    """,
+    "interval_join": """
+        select l_orderkey, l_linenumber, l_shipdate, o_orderdate, o_orderdate + interval 30 days as until
+        from lineitem join orders on l_orderkey = o_orderkey and l_shipdate between o_orderdate and o_orderdate + interval 30 days
+    """,
+    "interval_counts": """
+        select o_orderkey, count(l_shipdate) as shipped from orders left join lineitem on l_shipdate between o_orderdate and o_orderdate + interval 1 day group by o_orderkey
+    """,
+    "streamed_fold": """
+        select event_id, user_id, event_type from events i where event_type = 'signup'
+        and not exists (select 1 from events d where d.event_type = 'error' and d.user_id = i.user_id and d.event_id > i.event_id)
+    """,
+    "session_windows": """
+        with steps as (select *, case when ts <= lag(ts) over w + interval 6 hours then 0 else 1 end as first from events window w as (partition by user_id order by ts)),
+        named as (select *, sum(first) over (partition by user_id order by ts rows unbounded preceding) as s from steps)
+        select user_id, min(ts) as start, max(ts) + interval 6 hours as "end", count(*) as n, cast(sum(cast(value as decimal(20, 4))) as double) as total from named group by user_id, s
+    """,
+    "sliding_windows": """
+        with starts as (select event_type, unnest(list_transform([0, 1, 2, 3], lambda i: time_bucket(interval 6 hours, ts) - i * interval 6 hours)) as start from events)
+        select event_type, start, start + interval 24 hours as "end", count(*) as n from starts group by event_type, start
+    """,
     "csv_roundtrip": CUSTOMERS,
     "csv_roundtrip_multiline": "select doc_id, text from documents",
     "text_roundtrip": CUSTOMERS,

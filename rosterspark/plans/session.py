@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import table
+from ..schema import free_name
 from ..sinks import files
 
 #: Commands by the names that a menu shows.
@@ -28,6 +29,17 @@ def command(name: str) -> Callable:
     return COMMANDS[name]
 
 
+def answered(log: DataFrame, column: str) -> DataFrame:
+    """``log`` with ``operator``, the name of the operator behind each command, and ``error``, an answer where there is none.
+
+    Names match exactly, without trimming; a null is no command either. Columns whose names are taken get an underscore.
+    """
+    known = F.create_map(*(F.lit(x) for name, f in COMMANDS.items() for x in (name, f.__name__)))
+    operator = F.element_at(known, F.coalesce(F.col(column), F.lit("")))
+    error = F.when(operator.isNull(), F.concat(F.lit("no such command: "), F.coalesce(F.col(column), F.lit("null"))))
+    return log.select("*", operator.alias(free_name(log, "operator")), error.alias(free_name(log, "error")))
+
+
 def replay(log: DataFrame, order: str, key: str, is_insert: Column | str, is_delete: Column | str, is_end: Column | str | None = None) -> DataFrame:
     """The inserts of ``log`` that no later delete of the same key takes back.
 

@@ -1,4 +1,4 @@
-"""Sources: line-based record backups, other delimited text, JSON and Parquet."""
+"""Sources: line-based record backups, other delimited text, JSON."""
 
 from __future__ import annotations
 
@@ -74,7 +74,3 @@ def load_delimited(spark: SparkSession, path: str, schema: T.StructType | str =
 def load_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Files that hold a JSON array of objects each."""
     return spark.read.schema(schema).json(path, multiLine=True)
-
-
-def load_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterspark.functions import checks, sequences, text
 from rosterspark.operators import table
-from rosterspark.plans.session import command, replay
+from rosterspark.plans.session import answered, command, replay
 from rosterspark.schema import FIELDS, RECORD
 from rosterspark.sinks import files
 from rosterspark.sources import text as sources
@@ -39,6 +39,24 @@ def test_strict_integer_fails(spark):
         column(spark, ["1", "x"], text.strict_integer)
 
 
+def test_strip_takes_what_python_strips(spark):
+    blanks = [chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000 and chr(i).isspace()]
+    assert column(spark, [f"{c}x{c}y{c}{c}" for c in blanks], text.strip) == [f"x{c}y" for c in blanks] and len(blanks) > 25
+
+
+def test_parse_or_default_takes_integers_of_any_size(spark):
+    nines = "9" * 40
+    cases = {nines: 5, f"-{nines}": 1, f" +{nines} ": 5, "0" * 50 + "3": 3, "-" + "0" * 50 + "3": 1, "9_9" * 20: 5, "9" * 38: 5, "1" + "0" * 37: 5, f"{nines}x": 1, f"{nines}.5": 1, "_" + nines: 1}
+    assert column(spark, list(cases), checks.parse_or_default) == list(cases.values())
+
+
+def test_unknown_commands_are_error_rows(spark):
+    log = spark.createDataFrame([(1, "4", "x"), (2, " 4", "x"), (3, None, "x"), (4, "", "x"), (5, "9", "x"), (5, "9", "x")], "seq int, command string, error string")
+    rows = answered(log, "command").orderBy("seq").collect()
+    assert [(r.operator, r._error) for r in rows] == [("find", None), (None, "no such command:  4"), (None, "no such command: null"), (None, "no such command: "), ("save_backup", None), ("save_backup", None)]
+    assert answered(log.limit(0), "command").isEmpty()
+
+
 def test_parse_or_default_clamps_before_narrowing(spark):
     assert column(spark, ["0", "-3", "3", "9", "99999999999", "x", None, "2.5"], checks.parse_or_default) == [1, 1, 3, 5, 5, 1, 1, 1]
 
