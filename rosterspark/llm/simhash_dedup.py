@@ -6,7 +6,7 @@ given a nonzero vector of ``radius + 1`` bits, and table ``v`` keeps the positio
 them all, so the two agree in table ``v``: no pair within the radius is missed.
 
 Equal fingerprints are one node, however many texts share them. A bucket with up to ``BUCKET_MOST`` nodes is compared
-in whole and emits a spanning forest, never all its pairs. For a larger bucket, each node names every value within half
+in a task, what is tied already with nothing but the rest, and emits a spanning forest, never its pairs. For a larger bucket, each node names every value within half
 the radius of it over the positions that the table leaves free; two nodes name a common value exactly if they are within
 the radius, so joining on those values is exact, linear in the bucket, and spread over the cluster.
 
@@ -32,7 +32,9 @@ from .shared import in_parts, join_least, materialize, split_by_slots, text_or_e
 
 BITS, SEED, SHINGLE_WORDS, RADIUS = 64, 42, 4, 4
 #: Nodes in a bucket up to which it is compared in whole; and shingles hashed at once.
-BUCKET_MOST, SHINGLES_AT_ONCE = 1024, 1 << 18
+BUCKET_MOST, SHINGLES_AT_ONCE = 1 << 15, 1 << 18
+#: Nodes of a bucket from which on it is compared by itself, node by node, instead of along with others.
+ALONE = 64
 #: Near copies (``keep_one``): words of a shingle, similarity, bands of minima and minima of each; shingles hashed at once; most rounds of stars, nodes in a bucket above which there are any, and share of its texts that a round must settle to be followed by another.
 NEAR_WORDS, SIMILAR, BANDS, BAND_ROWS, MINIMA_AT_ONCE, STAR_ROUNDS, STAR_FROM, STAR_WORTH = 5, 0.8, 16, 6, 4096, 16, 64, 0.015
 #: Share of minima that a pair's sketches have in common at least to be confirmed: two and a half deviations below ``SIMILAR``.
@@ -76,12 +78,36 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
+def roots_of(bits: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint of a bucket a place of one that it is tied to, the same for all that are tied.
+
+    What has been reached is compared with nothing but what has not, so a bucket of near copies needs about one
+    comparison a node, and no pairs are kept.
+    """
+    root, left, rest = np.arange(len(bits)), np.arange(len(bits)), bits
+    while len(left):
+        seed, reached, left, rest = left[0], [bits[left[0]]], left[1:], rest[1:]
+        while reached and len(left):
+            near = np.bitwise_count(rest ^ reached.pop()) <= radius
+            if near.any():
+                root[left[near]] = seed
+                reached.extend(rest[near])
+                left, rest = left[~near], rest[~near]
+    return root
+
+
 def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Edges that span the linked nodes of each bucket; rows come sorted by group, a bucket has bounded size."""
     for table in whole_groups(batches):
-        fp = table["fp"].to_numpy()
+        g, fp = table["g"].to_numpy(), table["fp"].to_numpy()
         bits = fp.view(np.uint64)
-        root = smallest_reached(len(fp), *close_pairs(table["g"].to_numpy(), None, lambda a, b: np.bitwise_count(bits[a] ^ bits[b]) <= radius))
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        sizes = np.diff(np.r_[starts, len(g)])
+        root, few = np.arange(len(fp)), np.flatnonzero(np.repeat(sizes < ALONE, sizes))
+        own = bits[few]
+        root[few] = few[smallest_reached(len(few), *close_pairs(g[few], None, lambda a, b, own=own: np.bitwise_count(own[a] ^ own[b]) <= radius))]
+        for at, size in zip(starts[sizes >= ALONE], sizes[sizes >= ALONE], strict=True):
+            root[at : at + size] = at + roots_of(bits[at : at + size], radius)
         tied = root != np.arange(len(fp))
         yield pa.record_batch([pa.array(fp[tied]), pa.array(fp[root[tied]])], names=["a", "b"])
 
