@@ -23,36 +23,51 @@ def safe_index_text(text: Column, part: Column) -> Column:
     return F.coalesce(F.instr(text, part), F.lit(0)) - 1
 
 
-def fibonacci(spark: SparkSession, below: int = 100) -> DataFrame:
-    """(n, value): the terms less than ``below``, from 0, 1, 1 on; none for zero or less.
+#: The limit where none is given.
+BELOW = 100
 
-    A bound beyond the term after F(183) is an error: larger terms do not fit the type.
-    """
+
+def _terms() -> Column:
+    """All terms that are available, an array that does not depend on any row."""
     wide = "decimal(38,0)"
     start = F.struct(F.lit(0).cast(wide).alias("a"), F.lit(1).cast(wide).alias("b"), F.array().cast(f"array<{wide}>").alias("r"))
-    fold = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(0), F.lit(LAST_TERM)),
         start,
         lambda s, _: F.struct(s["b"].alias("a"), F.try_add(s["a"], s["b"]).cast(wide).alias("b"), F.concat(s["r"], F.array(s["a"])).alias("r")),
         lambda s: s["r"],
     )
-    if below > _fibonacci_limit():
-        raise ValueError(f"terms beyond F({LAST_TERM}) do not fit DECIMAL(38,0)")
-    return spark.range(1).select(F.posexplode(fold).alias("n", "value")).where(F.col("value") < F.lit(str(below)).cast("decimal(38,0)"))
 
 
-def _fibonacci_limit() -> int:
-    a, b = 0, 1
-    for _ in range(LAST_TERM + 1):
-        a, b = b, a + b
-    return a
+def fibonacci_below(limit: Column) -> Column:
+    """The terms less than ``limit``, an integer, as an array: from 0, 1, 1 on, ``BELOW`` being the limit of a null; none for zero or less.
 
+    A limit of 38 digits, the longest that its type holds, is still less than the term after F(183).
+    """
+    below = F.coalesce(limit.cast("decimal(38,0)"), F.lit(BELOW).cast("decimal(38,0)"))
+    return F.filter(_terms(), lambda t: t < below)
 
-def fibonacci_line(spark: SparkSession, below: int = 100) -> DataFrame:
+
+def fibonacci_text(limit: Column) -> Column:
     """The same terms as one text, a blank after each."""
-    ordered = F.array_sort(F.collect_list(F.struct("n", "value")))
-    joined = F.array_join(F.transform(ordered, lambda x: x["value"].cast("string")), " ")
-    return fibonacci(spark, below).agg(F.when(F.count(F.lit(1)) > 0, F.concat(joined, F.lit(" "))).otherwise("").alias("line"))
+    return F.array_join(F.transform(fibonacci_below(limit), lambda t: F.concat(t.cast("string"), F.lit(" "))), "")
+
+
+def fibonacci(spark: SparkSession, below: int = BELOW) -> DataFrame:
+    """(n, value): the terms less than ``below``."""
+    if below >= 10**38:
+        raise ValueError(f"terms beyond F({LAST_TERM}) do not fit DECIMAL(38,0)")
+    return spark.range(1).select(F.posexplode(fibonacci_below(F.lit(str(below)))).alias("n", "value"))
+
+
+def fibonacci_line(spark: SparkSession, below: int = BELOW) -> DataFrame:
+    """The same terms as one text, a blank after each."""
+    return spark.range(1).select(fibonacci_text(F.lit(str(below))).alias("line"))
+
+
+def repeated(count: Column, lines: Sequence[str] = LINES) -> Column:
+    """The lines ``count`` times, in turn, as an array; an empty one for a null, zero or less."""
+    return F.flatten(F.array_repeat(F.array(*map(F.lit, lines)), F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)).cast("int")))
 
 
 def repeat_lines(spark: SparkSession, count: int, lines: Sequence[str] = LINES) -> DataFrame:

@@ -95,3 +95,14 @@ def deleted(records: DataFrame, column: str, key: Any, confirmed: DataFrame, ord
 def unpivot(records: DataFrame, columns: list[str], ids: list[str]) -> DataFrame:
     """Each record as rows of key and value (text), in the order of ``columns``."""
     return records.select(*ids, *(F.col(c).cast("string").alias(c) for c in columns)).unpivot(ids, columns, "key", "value")
+
+
+def top_k(records: DataFrame, keys: list[str], order: list[Column], k: int, ties: bool = False) -> DataFrame:
+    """The first ``k`` rows of each key by ``order``, which should tell rows apart; with ``ties`` also those equal to the k-th.
+
+    A limit by rank is one that Spark takes in two steps: each task keeps ``k`` rows a key before the shuffle (more only
+    for ties), so of a hot key no more than that moves. A null key is a key like others.
+    """
+    rank, place = (F.rank() if ties else F.row_number()), free_name(records, "place")
+    ranked_rows = records.withColumn(place, rank.over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked_rows.where(F.col(place) <= k)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, sequences, text
-from ..operators import asof, intervals, table
+from ..operators import asof, intervals, rolling, sets, sketches, table
 from ..sinks import files
+from ..sources import backup_format
 from ..sources.text import decode_lines, load_backup, load_delimited
 from ..streaming import arrivals, fold, windows
 from ..streaming.session import last_deletes
@@ -137,16 +138,27 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.report(customers(spark, sf_dir), "age")
 
 
-def fib_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.fibonacci(spark).select("n", F.col("value").cast("long").alias("value"))
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a limit each; every third has none."""
+    price = F.floor("p_retailprice").cast("long")
+    return read(spark, sf_dir, "part").select("p_partkey", price.alias("price"), F.when(F.col("p_partkey") % 3 > 0, price).alias("limit"))
 
 
 def fib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.fibonacci(spark, 200).select("n", F.col("value").cast("long").alias("value"))
+    """The terms below each part's price."""
+    terms = limits(spark, sf_dir).select("p_partkey", F.posexplode(sequences.fibonacci_below(F.col("price"))).alias("n", "value"))
+    return terms.withColumn("value", F.col("value").cast("long"))
+
+
+def fib_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many terms a part's limit has, where some have none, and the last."""
+    terms = limits(spark, sf_dir).select("p_partkey", sequences.fibonacci_below(F.col("limit")).alias("terms"))
+    return terms.select("p_partkey", F.size("terms").alias("n"), F.element_at("terms", -1).cast("long").alias("last"))
 
 
 def fib_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.fibonacci_line(spark, 10)
+    """The terms below each part's size as one line."""
+    return read(spark, sf_dir, "part").select("p_partkey", sequences.fibonacci_text(F.col("p_size")).alias("line"))
 
 
 def safe_index_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +171,8 @@ def safe_index_str(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.repeat_lines(spark, 3)
+    """The fixed lines as often as each part's size is above 45."""
+    return read(spark, sf_dir, "part").select("p_partkey", F.posexplode(sequences.repeated(F.col("p_size") - 45)).alias("seq", "line"))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,6 +263,83 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_type", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
 
 
+def cube_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items over every subset of flag, status and year, with the suppliers and parts that they name."""
+    items = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year"), "l_suppkey", "l_partkey", F.col("l_quantity").cast("decimal(18,2)").alias("quantity"))
+    keys = ["l_returnflag", "l_linestatus", "year"]
+    found = sets.grouping_sets(items, keys, sets.cube(keys), {"n": ("count", "*"), "quantity": ("sum", "quantity")}, {"suppliers": "l_suppkey", "parts": "l_partkey"})
+    return found.withColumn("quantity", F.col("quantity").cast("double"))
+
+
+def rollup_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by kind and day, by kind, and all, with their users."""
+    events = read(spark, sf_dir, "events").select("event_type", F.col("ts").cast("date").alias("day"), "user_id", "value")
+    keys = ["event_type", "day"]
+    return sets.grouping_sets(events, keys, sets.rollup(keys), {"n": ("count", "*"), "most": ("max", "value")}, {"users": "user_id"})
+
+
+def rolling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's events of the three days before it."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("value").cast("decimal(18,4)").alias("value"))
+    found = rolling.rolling_totals(events, "user_id", "ts", "interval 3 days", {"total": "value"})
+    return found.select("event_id", "n", F.col("total").cast("double").alias("total"))
+
+
+def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's three dearest orders."""
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return table.top_k(orders, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3)
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Segment and nation of customers, before and after: those in debt have left, those of one nation are there twice."""
+    rows = read(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey", "c_acctbal")
+    after = rows.where("c_acctbal >= 0").union(rows.where("c_nationkey = 3"))
+    return rows.drop("c_acctbal"), after.drop("c_acctbal")
+
+
+def bag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.bag_counts(*snapshots(spark, sf_dir))
+
+
+def bag_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.added(*snapshots(spark, sf_dir))
+
+
+def bag_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.added(*reversed(snapshots(spark, sf_dir)))
+
+
+def bag_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.common(*snapshots(spark, sf_dir))
+
+
+def day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by kind and day of events, written once and read back."""
+    path = scratch(spark, "sketches")
+    events = read(spark, sf_dir, "events").select("event_type", F.col("ts").cast("date").alias("day"), "user_id", "value")
+    made = sketches.sketch_table(events, ["event_type", "day"], "user_id", "value")
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def sketch_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and users by week, and how many users both signed up and bought, from sketches of days alone."""
+    weeks = sketches.merged(day_sketches(spark, sf_dir), [F.date_trunc("week", "day").cast("date").alias("week"), "event_type"])
+    kind = lambda name: F.max(F.when(F.col("event_type") == name, F.col("users")))
+    both = weeks.groupBy("week").agg(F.sum("n").alias("n"), F.theta_union_agg("users", sketches.LOG_ENTRIES).alias("users"), kind("signup").alias("a"), kind("purchase").alias("b"))
+    return both.select("week", "n", sketches.distinct_of().alias("users"), F.coalesce(sketches.shared("a", "b"), F.lit(0)).cast("long").alias("converted"))
+
+
+def sketch_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the median of each kind, from sketches of days, has a rank within 3 % of the middle."""
+    kinds = sketches.merged(day_sketches(spark, sf_dir), ["event_type"]).select("event_type", sketches.quantile_of(0.5).alias("median"))
+    events = read(spark, sf_dir, "events").select("event_type", "value").join(kinds, "event_type")
+    share = lambda test: F.avg(test.cast("double"))
+    near = (share(F.col("value") < F.col("median")) <= 0.53) & (share(F.col("value") <= F.col("median")) >= 0.47)
+    return events.groupBy("event_type").agg(near.alias("near"))
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "csv")
     files.save_csv(customers(spark, sf_dir), path)
@@ -268,16 +358,35 @@ def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_backup(spark, path)
 
 
+def format_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written over an older backup in the format of its own, and read back in blocks of some kilobytes."""
+    backup_format.register(spark)
+    path = scratch(spark, "format")
+    for rows in (customers(spark, sf_dir).where("age < 10"), customers(spark, sf_dir)):
+        rows.write.format("roster").mode("overwrite").save(path)
+    return spark.read.format("roster").option("blockBytes", 1 << 16).load(path)
+
+
 def record_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.unpivot(read(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"], ["c_custkey"])
 
 
+#: Terms in SQL.
+FIBONACCI = "with recursive f(n, a, b) as (select 0, 0::bigint, 1::bigint union all select n + 1, b, a + b from f where n < 60)"
+
+#: The two snapshots in SQL.
+SNAPSHOTS = """
+    with old as (select c_mktsegment, c_nationkey from customer),
+    new as (select c_mktsegment, c_nationkey from customer where c_acctbal >= 0 union all select c_mktsegment, c_nationkey from customer where c_nationkey = 3)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         list_all, find_exact, find_count, delete_exact, delete_confirmed, deleted_rows, insert_append, insert_numbered, centre, or_default, export_default, nonempty, report, fib_default, session_end, streamed_deletes, range_check, clamp, parse_clamp, regex_search, validate, line_encode,
         line_decode, table_row, fib, fib_line, safe_index_array, safe_index_str, repeat_lines, positions, session_replay, csv_roundtrip, csv_roundtrip_multiline,
         text_roundtrip, record_unpivot, command_log, asof_join, asof_previous, interval_join, interval_counts, streamed_fold, session_windows, sliding_windows,
+        format_roundtrip, cube_distinct, rollup_distinct, rolling_totals, top_orders, bag_counts, bag_added, bag_removed, bag_common, sketch_users, sketch_medians,
     )
 }
 
@@ -300,7 +409,9 @@ ORACLE_SQL = {
         union all select 1, age, printf('%5s\t%-3s\t%-13s\t%-10s\t%3d\t%s', repeat('*', grade), name, phone, email, age, etc) from ({CUSTOMERS})
         union all select 2, 0, repeat('=', 70)
     """,
-    "fib_default": "with recursive f(n, a, b) as (select 0, 0::bigint, 1::bigint union all select n + 1, b, a + b from f where b < 100) select n, a as value from f",
+    "fib_default": f"""{FIBONACCI}
+        select p_partkey, cast(count(*) as int) as n, max(a) as last from part join f on a < coalesce(case when p_partkey % 3 > 0 then floor(p_retailprice) end, 100) group by p_partkey
+    """,
     "session_end": """
         with log as (select * from events where event_id < coalesce((select min(event_id) from events where event_type = 'purchase' and user_id % 50 = 7), 9223372036854775807))
         select event_id, user_id, event_type from log i where event_type = 'signup'
@@ -322,14 +433,20 @@ ORACLE_SQL = {
     "line_encode": f"select name || ', ' || phone || ', ' || email || ', ' || age || ', ' || grade || ', ' || etc || ' ' as value from ({CUSTOMERS})",
     "line_decode": CUSTOMERS,
     "table_row": f"select printf('%5s\t%-3s\t%-13s\t%-10s\t%3d\t%s', repeat('*', grade), name, phone, email, age, etc) as line from ({CUSTOMERS})",
-    "fib": "with recursive f(n, a, b) as (select 0, 0::bigint, 1::bigint union all select n + 1, b, a + b from f where b < 200) select n, a as value from f",
-    "fib_line": "select '0 1 1 2 3 5 8 ' as line",
+    "fib": f"""{FIBONACCI}
+        select p_partkey, n, a as value from part join f on a < floor(p_retailprice)
+    """,
+    "fib_line": f"""{FIBONACCI}
+        select p_partkey, string_agg(a || ' ', '' order by n) as line from part join f on a < p_size group by p_partkey
+    """,
     "safe_index_array": """
         select p_partkey, cast(coalesce(list_position(w, w[2]), 0) - 1 as int) as second, -1 as absent, array_to_string(list_reverse(w), ' ') as reversed
         from (select p_partkey, string_split(p_name, ' ') as w from part)
     """,
     "safe_index_str": "select p_partkey, cast(instr(p_name, 'ri') - 1 as int) as at from part",
-    "repeat_lines": "select 2 * i + j as seq, case j when 0 then 'Hello, Python' else 'Hello, World' end as line from range(3) a(i), range(2) b(j)",
+    "repeat_lines": """
+        select p_partkey, cast(2 * i + j as int) as seq, case j when 0 then 'Hello, Python' else 'Hello, World' end as line from part join range(5) a(i) on i < p_size - 45, range(2) b(j)
+    """,
     "positions": "select c_custkey, position from (select c_custkey, c_mktsegment, row_number() over (order by c_custkey) - 1 as position from customer) where c_mktsegment = 'BUILDING'",
     "session_replay": """
         select event_id, user_id, event_type from events i where event_type = 'signup'
@@ -370,8 +487,40 @@ ORACLE_SQL = {
         with starts as (select event_type, unnest(list_transform([0, 1, 2, 3], lambda i: time_bucket(interval 6 hours, ts) - i * interval 6 hours)) as start from events)
         select event_type, start, start + interval 24 hours as "end", count(*) as n from starts group by event_type, start
     """,
+    "cube_distinct": """
+        with items as (select *, cast(year(l_shipdate) as int) as year from lineitem)
+        select l_returnflag, l_linestatus, year, cast(grouping(l_returnflag, l_linestatus, year) as int) as grouping, count(*) as n,
+               cast(sum(cast(l_quantity as decimal(18, 2))) as double) as quantity, count(distinct l_suppkey) as suppliers, count(distinct l_partkey) as parts
+        from items group by cube (l_returnflag, l_linestatus, year)
+    """,
+    "rollup_distinct": """
+        with e as (select *, cast(ts as date) as day from events)
+        select event_type, day, cast(grouping(event_type, day) as int) as grouping, count(*) as n, max(value) as most, count(distinct user_id) as users from e group by rollup (event_type, day)
+    """,
+    "rolling_totals": """
+        select event_id, count(*) over w as n, cast(sum(cast(value as decimal(18, 4))) over w as double) as total from events
+        window w as (partition by user_id order by ts range between interval 3 days preceding and current row)
+    """,
+    "top_orders": """
+        select o_custkey, o_orderkey, o_totalprice, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as int) as place from orders qualify place <= 3
+    """,
+    "bag_counts": f"""{SNAPSHOTS}
+        select c_mktsegment, c_nationkey, cast(sum(b) as bigint) as before, cast(sum(a) as bigint) as after
+        from (select c_mktsegment, c_nationkey, 1 as b, 0 as a from old union all select c_mktsegment, c_nationkey, 0, 1 from new) group by all
+    """,
+    "bag_added": f"{SNAPSHOTS} select * from new except all select * from old",
+    "bag_removed": f"{SNAPSHOTS} select * from old except all select * from new",
+    "bag_common": f"{SNAPSHOTS} select * from old intersect all select * from new",
+    "sketch_users": """
+        with e as (select *, cast(date_trunc('week', ts) as date) as week from events)
+        select week, count(*) as n, count(distinct user_id) as users,
+               (select count(*) from (select user_id from e s where s.week = e.week and event_type = 'signup' intersect select user_id from e p where p.week = e.week and event_type = 'purchase')) as converted
+        from e group by week
+    """,
+    "sketch_medians": "select distinct event_type, true as near from events",
     "csv_roundtrip": CUSTOMERS,
     "csv_roundtrip_multiline": "select doc_id, text from documents",
     "text_roundtrip": CUSTOMERS,
+    "format_roundtrip": CUSTOMERS,
     "record_unpivot": "select c_custkey, 'c_name' as key, c_name as value from customer union all select c_custkey, 'c_mktsegment', c_mktsegment from customer",
 }

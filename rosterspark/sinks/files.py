@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ROW_FORMAT, centre, encode_line, narrow, row_line
@@ -17,11 +20,31 @@ EXPORT_NAME = "records.csv"
 HEAD = ("GRADE", "NAME", "PHONE", "EMAIL", "AGE", "ETC")
 
 
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill a folder beside ``path``, and only then put it in the place of what was there.
+
+    If the write fails, or the driver is lost, the old folder is whole: at ``path``, or for a moment beside it. So a table
+    may also be saved over the folder that it is read from.
+    """
+    to = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    files, mark = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), uuid.uuid4().hex
+    bare = path.rstrip("/")
+    new, old = f"{bare}.new-{mark}", f"{bare}.old-{mark}"
+    try:
+        write(new)
+    except BaseException:
+        files.delete(to(new), True)
+        raise
+    if files.exists(to(bare)) and not files.rename(to(bare), to(old)) or not files.rename(to(new), to(bare)):
+        raise OSError(f"{path} could not be replaced; what it held is at {old}, and the new table at {new}")
+    files.delete(to(old), True)
+
+
 def save_csv(records: DataFrame, path: str, keep_if_empty: bool = True) -> bool:
     """Replace ``path`` by the records as CSV. An empty table leaves an older export in place, unless told otherwise; the answer says whether it was written."""
     if keep_if_empty and records.isEmpty():
         return False
-    records.write.mode("overwrite").options(**CSV).csv(path)
+    replace_folder(records.sparkSession, path, lambda new: records.write.options(**CSV).csv(new))
     return True
 
 
@@ -40,7 +63,7 @@ def save_backup(records: DataFrame, path: str, keep_if_empty: bool = True) -> bo
     """Replace ``path`` by a backup. Fields that hold a comma do not survive a backup (use CSV for those)."""
     if keep_if_empty and records.isEmpty():
         return False
-    lines_of(records).write.mode("overwrite").text(path)
+    replace_folder(records.sparkSession, path, lambda new: lines_of(records).write.text(new))
     return True
 
 

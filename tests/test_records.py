@@ -238,6 +238,15 @@ def test_fibonacci(spark, below):
     assert sequences.fibonacci_line(spark, below).first().line == "".join(f"{t} " for t in terms)
 
 
+def test_sequences_by_row(spark):
+    rows = spark.createDataFrame([(0,), (1,), (2,), (-7,), (14,), (None,)], "n int").select("n", sequences.fibonacci_below(F.col("n")).alias("terms"), sequences.fibonacci_text(F.col("n")).alias("line"), sequences.repeated(F.col("n"), ["x", "y"]).alias("lines")).collect()
+    known = [0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89]
+    for r in rows:
+        terms = [t for t in known if t < (100 if r.n is None else r.n)]
+        assert [int(t) for t in r.terms] == terms and r.line == "".join(f"{t} " for t in terms) and r.lines == ["x", "y"] * max(r.n or 0, 0)
+    assert spark.range(1).select(F.size(sequences.fibonacci_below(F.lit("9" * 38)))).first()[0] == 184
+
+
 def test_fibonacci_ends_where_the_type_ends(spark):
     assert int(sequences.fibonacci(spark, 10**37 * 9).orderBy(F.desc("n")).first().value) == 78569350599398894027251472817058687522
     with pytest.raises(ValueError, match="do not fit"):
