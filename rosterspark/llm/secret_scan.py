@@ -17,10 +17,10 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, new_path, path_exists, shared_folder, split_by_slots, text_or_empty
+from .shared import materialize, new_path, path_exists, split_by_slots, text_or_empty
 
 
 class Rule(NamedTuple):
@@ -56,36 +56,36 @@ FINDINGS = "array<struct<start:int,ord:int,kind:string,end:int>>"
 LEDGER = f"blob string, rule_version string, findings {FINDINGS}"
 
 
-#: Raised whenever spans are found in another way under the same rules, so that ledgers scan anew.
-FINDER = 1
+#: Raised whenever spans are found in another way under the same rules, so that ledgers scan anew; and characters of a chunk in which a cut is looked for.
+FINDER, CHUNK = 2, 1024
 
 
 def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
     return hashlib.sha256(repr([FINDER, *(tuple(r) for r in rules)]).encode()).hexdigest()[:16]
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, order, kind, end) of one rule's matches, leftmost and non-overlapping, short ones dropped."""
+def _steps(text: Column, rule: Rule) -> Column:
+    """Array of (gap, size, counted): the lengths of the stretch before each match of a rule, of the match, and of what must be long enough."""
     pattern = F.lit(rule.pattern)
-    between = F.split(text, rule.pattern, -1)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     counted = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    sizes = F.zip_with(whole, counted, lambda w, c: F.struct(F.length(w).alias("size"), F.length(c).alias("counted")))
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), sizes, lambda gap, m: F.struct(F.length(gap).alias("gap"), m["size"].alias("size"), m["counted"].alias("counted")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FINDINGS).alias("out"))
+    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
+    steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("size"), F.transform(counted, F.length).alias("counted"))
+    kind = "array<struct<gap:int,size:int,counted:int>>"
+    return F.when(text.rlike(rule.hint), steps.cast(kind)).otherwise(F.array().cast(kind))
 
-    def add(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        end = begin + m["size"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(m["counted"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.hint), F.aggregate(steps, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(FINDINGS))
+def find_secrets(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, findings) of the ``texts(blob, text)`` that have any: array of (start, ord, kind, end), by start, then by the order of the rules.
 
-
-def find_secrets(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All findings of a text as array of (start, ord, kind, end), by start, then by the order of the rules."""
-    return F.sort_array(F.concat(*(_spans(text, r, i) for i, r in enumerate(rules))))
+    Matches become rows, and their places running sums over the rows of a text, so the work is linear in its findings.
+    """
+    found = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), _steps(F.col("text"), r).alias("steps")) for i, r in enumerate(rules)))
+    rows = texts.select("blob", F.explode(found).alias("r")).select("blob", "r.ord", "r.kind", "r.least", F.posexplode("r.steps").alias("pos", "m")).repartition("blob")
+    upto = Window.partitionBy("blob", "ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.size")).over(upto).cast("int")).where("m.counted >= least")
+    span = F.struct((F.col("end") - F.col("m.size")).alias("start"), "ord", "kind", "end")
+    return ends.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("findings"))
 
 
 def blob_of(text: Column) -> Column:
@@ -110,16 +110,17 @@ def scan_blobs(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES
     if not known or not unseen.isEmpty():
         hinted = reduce(Column.__or__, (F.col("text").rlike(r.hint) for r in rules))
         texts = rows.where(hinted).withColumn("blob", blob_of(F.col("text"))).join(unseen, "blob", "left_semi").dropDuplicates(["blob"])
-        found = materialize(texts.select("blob", find_secrets(F.col("text"), rules).alias("findings")).where(F.size("findings") > 0), "found-blobs")
+        found = materialize(find_secrets(texts, rules), "found-blobs")
         none = F.array().cast(FINDINGS)
         full = unseen.join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("findings", none).alias("findings"))
         full.write.mode("append").parquet(ledger)
     return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == version)
 
 
-def stable_ledger(spark: SparkSession) -> str:
-    """The ledger in the shared folder that scans share from run to run."""
-    return f"{shared_folder(spark)}/secret-ledger"
+def findings_of(versions: DataFrame, ledger: str | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, findings) of the blobs of ``versions(text)`` that have any, as a written table, so that a join with it can split a hot blob."""
+    ledger = ledger or new_path(versions.sparkSession, "secret-ledger")
+    return materialize(scan_blobs(versions, ledger, rules).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"]), "findings")
 
 
 def secret_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -129,8 +130,7 @@ def secret_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, .
     findings. Repeated rows and equal texts under several keys share one scan and each get a row. Other columns are
     ignored. An empty table gives an empty result.
     """
-    ledger = ledger or new_path(docs.sparkSession, "secret-ledger")
-    found = scan_blobs(docs.select("text"), ledger, rules).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+    found = findings_of(docs.select("text"), ledger, rules)
     paths = docs.select(*keys, blob_of(text_or_empty()).alias("blob"))
     return paths.join(found, "blob", "left").select(*keys, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
@@ -143,27 +143,39 @@ def digest_columns(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *(count(r.kind) for r in BASE_RULES), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
 
 
+def _marks(found: DataFrame) -> DataFrame:
+    """(blob, starts, ends) of (blob, findings): spans that meet or overlap as one, in order."""
+    spans = found.select("blob", F.explode("findings").alias("f")).select("blob", "f.start", "f.ord", "f.end").repartition("blob")
+    order = Window.partitionBy("blob").orderBy("start", "ord")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = spans.withColumn("apart", F.when(F.col("start") <= reach, 0).otherwise(1))
+    numbered = parted.withColumn("mark", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marks = numbered.groupBy("blob", "mark").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    whole = marks.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("marks"))
+    return whole.select("blob", F.col("marks.start").alias("starts"), F.col("marks.end").alias("ends"))
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end`` of a text given as chunks, looked for in two chunks alone."""
+    first, last, off = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int"), start % CHUNK + 1
+    chunk = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    between = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    several = F.concat(F.substring(chunk(first), off, F.lit(CHUNK)), between, F.substring(chunk(last), F.lit(1), end % CHUNK))
+    return F.when(first == last, F.substring(chunk(first), off, end - start)).otherwise(several)
+
+
 def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``[secret]``; all columns and rows stay.
 
-    Spans that overlap become one mark. Null and empty texts stay as they are; repeated rows and equal texts are
-    redacted alike. Columns of any names pass unchanged. An empty table gives an empty result. Texts move only
-    where a slot says that they may have findings.
+    Spans that meet or overlap become one mark. Null and empty texts stay as they are; repeated rows and equal texts are
+    redacted alike. The work is linear in a text and its findings. Columns of any names pass unchanged. An empty table
+    gives an empty result. Texts move only where a slot says that they may have findings.
     """
-    ledger = ledger or new_path(docs.sparkSession, "secret-ledger")
-    found = scan_blobs(docs.select("text"), ledger, rules).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
-    found = materialize(found, "findings")
-    text = F.col("row.text")
-
-    def cut(acc: Column, f: Column) -> Column:
-        """Copy what lies between the end so far and this finding; an overlapping finding only moves the end."""
-        gap = F.substring(text, acc["at"] + 1, F.greatest(f["start"] - acc["at"], F.lit(0)))
-        apart = (f["start"] > acc["at"]) | (acc["at"] == 0)
-        return F.struct(F.greatest(acc["at"], f["end"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit("[secret]"))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("findings", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    clear, others = split_by_slots(docs.select(F.struct("*").alias("row"), blob_of(text_or_empty()).alias("blob")), found.select("blob"))
-    joined = others.join(found.hint("merge"), "blob", "left")
-    changed = joined.select("row", F.when(F.col("findings").isNotNull(), clean).otherwise(text).alias("clean")).union(clear.select("row", text))
+    marks = materialize(_marks(findings_of(docs.select("text"), ledger, rules)), "marks")
+    clear, others = split_by_slots(docs.select(F.struct("*").alias("row"), blob_of(text_or_empty()).alias("blob")), marks.select("blob"))
+    chunks = F.regexp_extract_all("row.text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    joined = others.join(marks.hint("merge"), "blob", "left").withColumn("chunks", F.when(F.col("starts").isNotNull(), chunks))
+    froms, upto = F.concat(F.array(F.lit(0)), F.col("ends")), F.concat(F.col("starts"), F.array(F.length("row.text")))
+    kept = F.zip_with(froms, upto, lambda a, b: _cut(F.col("chunks"), a, b))
+    changed = joined.select("row", F.when(F.col("starts").isNotNull(), F.array_join(kept, "[secret]")).otherwise(F.col("row.text")).alias("clean")).union(clear.select("row", "row.text"))
     return changed.select(*(F.col("clean").alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in docs.columns))
