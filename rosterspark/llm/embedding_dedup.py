@@ -34,8 +34,8 @@ from .shared import bounded_sample, join_least, materialize
 THRESHOLD, RECALL = 0.93, 0.98
 #: Vectors on which rotations are learnt; rounds of learning; expected nodes in a bucket; least bits of a code (all, if there are fewer).
 SAMPLE, ROUNDS, BUCKET, CODE_BITS = 10_000, 30, 64, 128
-#: Sampled vectors from which pairs at the threshold are made.
-PROBES = 2000
+#: Sampled vectors from which pairs at the threshold are made; and tables that are tried at most before pieces get shorter.
+PROBES, MOST_TABLES = 2000, 512
 
 
 def learn_rotation(sample: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,29 +71,29 @@ def plan(unit: np.ndarray, rows: int, threshold: float, recall: float) -> tuple[
     """Bits of a piece, rotations, and tables: as many as find pairs made at the threshold with probability ``recall``.
 
     Centring widens angles where vectors share a component, so the tables are counted by trying them on pairs of both
-    kinds of ``partners``, never fewer than ``table_shape`` says. Where the tables would compare as many pairs as there
-    are, no bits are used: every pair of a label is compared.
+    kinds of ``partners``, never fewer than ``table_shape`` says. Where ``MOST_TABLES`` are too few, pieces get a bit less.
     """
     bits, least = table_shape(rows, unit.shape[1], threshold, recall)
     probes = unit[:PROBES]
-    found, rotations, tables = np.zeros((2, len(probes)), bool), [], 0
     near = partners(probes, threshold)
-    while tables * BUCKET < rows:
-        rotations.append(learn_rotation(unit, len(rotations)))
+    while True:
+        found, rotations, tables = np.zeros((2, len(probes)), bool), [], 0
         per = unit.shape[1] // bits
-        own, *others = (pieces(v, rotations[-1:], bits, per) for v in (probes, *near))
-        for t in range(per):
-            found |= np.stack([own[:, t] == o[:, t] for o in others])
-            tables += 1
-            if tables >= least and found.mean(axis=1).min() >= recall:
-                return bits, rotations, tables
-    return 0, [], 1
+        while tables < MOST_TABLES:
+            rotations.append(learn_rotation(unit, len(rotations)))
+            own, *others = (pieces(v, rotations[-1:], bits, per) for v in (probes, *near))
+            for t in range(per):
+                found |= np.stack([own[:, t] == o[:, t] for o in others])
+                tables += 1
+                if tables >= least and found.mean(axis=1).min() >= recall:
+                    return bits, rotations, tables
+        if bits == 1:
+            return bits, rotations, tables
+        bits -= 1
 
 
 def pieces(vectors: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> np.ndarray:
     """The pieces of each unit vector's codes, an integer for each table."""
-    if not bits:
-        return np.zeros((len(vectors), tables), np.int64)
     weights, out = 1 << np.arange(bits, dtype=np.int64), []
     for mean, rotation in rotations:
         code = ((vectors - mean) @ rotation >= 0).astype(np.int64)
@@ -105,8 +105,8 @@ class Code:
     """The first pieces of a vector, in 64-bit words: for Hamming distances, and for which tables a pair meets in."""
 
     def __init__(self, bits: int, tables: int):
-        self.bits, self.pieces = bits, min(tables, -(-CODE_BITS // bits)) if bits else 0
-        self.per_word = 64 // bits if bits else 1
+        self.bits, self.pieces = bits, min(tables, -(-CODE_BITS // bits))
+        self.per_word = 64 // bits
 
     def pack(self, found: np.ndarray) -> np.ndarray:
         words = np.zeros((len(found), max(1, -(-self.pieces // self.per_word))), np.uint64)
