@@ -124,6 +124,7 @@ UNSEEN_LICENCES = (
     "Released under the Beerware License.",
 )
 # The words that name a family, masked to make notices of no family.
+SPEAKS = r"(?i)licen[cs]|spdx|copyright|\bwarrant|redistribut|all rights reserved|public domain"
 NAMES = r"(?i)\b(apache|mit|gnu|gpl|lgpl|agpl|general|lesser|affero|bsd|mozilla|mpl|isc|cc|by|by-nc|by-sa|creative|commons|attribution\S*|noncommercial|sharealike|apache-\S+|gpl-\S+|lgpl-\S+|agpl-\S+|bsd-\S+|mpl-\S+|cc-\S+|cc0|version \d\S*|v\. \S+|4\.0|www\.\S+|http\S+)(?!\w)"
 # Sentences that speak of licences and grant none.
 NO_GRANT = (
@@ -223,11 +224,14 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndar
 
 
 def ordinary_paragraphs(docs: DataFrame, seed: int = 0) -> list[str]:
-    """Paragraphs of a bounded sample of ``docs``, drawn at random, without those that share a run of three words with a notice."""
+    """Paragraphs of a bounded sample of ``docs``, drawn at random, without those that speak of licences (``SPEAKS``) or share a run of three words with a notice.
+
+    So no licence of the corpus, however short its line, is learnt as ``none`` or makes a licence's words seem common.
+    """
     text = pieces_over(text_or_empty(), SAMPLE_PIECES, PIECE_CHARS)
     rows = bounded_sample(docs.select("doc_id", text.alias("text")), "doc_id", SAMPLE_DOCS).select(paragraphs(F.col("text")).alias("p")).collect()
     known = {g for ts in (*TEMPLATES.values(), OTHER_LICENCES, UNSEEN_LICENCES) for t in ts for g in grams(t) if g.count(" ") == 2}
-    found = sorted({p for r in rows for p in r.p if p.strip() and not known & grams(p)})
+    found = sorted({p for r in rows for p in r.p if p.strip() and not re.search(SPEAKS, p) and not known & grams(p)})
     random.Random(seed).shuffle(found)
     return found[:ORDINARY]
 
@@ -292,9 +296,16 @@ def probabilities(text: str, model: Model) -> np.ndarray:
     return _softmax(z[None])[0]
 
 
+#: What may stand before the text of a line in a comment or an indented block.
+COMMENT = r"[\x20\t]*(?:(?:\*|#|//|--|;|%)[*#/;%-]*[\x20\t]+)?"
+
+
 def paragraphs(text: Column) -> Column:
-    """Lines, where one of ``WRAP_FROM`` characters or more that ends without a stop goes on in the next; those of over ``CUT_FROM`` characters are cut at a sentence end. (A wrapped line that happens to end with a stop is an end.)"""
-    joined = F.regexp_replace(text, rf"(?<=[^\n]{{{WRAP_FROM}}})(?<![.!?:;])\n(?=[^\s])", " ")
+    """Lines, where one of ``WRAP_FROM`` characters or more that ends without a stop goes on in the next; those of over ``CUT_FROM`` characters are cut at a sentence end.
+
+    The next line may be indented or start with the mark of a comment. (A wrapped line that happens to end with a stop is an end.)
+    """
+    joined = F.regexp_replace(text, rf"(?<=[^\n]{{{WRAP_FROM}}})(?<![.!?:;])\n{COMMENT}(?=[^\s])", " ")
     return F.regexp_extract_all(joined, F.lit(rf"[^\n]{{{CUT_FROM},{CUT_AT}}}?[.!?](?=[ \n])|[^\n]{{1,{CUT_AT}}}"), F.lit(0))
 
 
@@ -337,6 +348,7 @@ def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         F.count_if(known & ~F.col("confirmed")).alias("n_unconfirmed"),
         F.count_if(~known).alias("n_unknown"),
     )
+    by_blob = materialize(by_blob, "licences")  # so that a join can split a hot blob
     zero = F.lit(0).cast("long")
     joined = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob")).join(by_blob, "blob", "left")
     return joined.select("doc_id", F.coalesce("licences", F.lit("")).alias("licences"), *(F.coalesce(c, zero).alias(c) for c in ("n_confirmed", "n_unconfirmed", "n_unknown")))
