@@ -172,6 +172,7 @@ def records(chunks: DataFrame) -> DataFrame:
     own = chunks.where("last").select("record_id", "record_type", "refers_to", "payload_digest", F.col("digest_so_far").alias("digest"), F.col("bytes_so_far").alias("size"), (F.col("chunk") + 1).alias("chunks"))
     own = materialize(own, "records")
     there = own.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), F.col("digest").alias("payload_digest")).agg(F.max("size").alias("full"))
+    there = materialize(there, "responses")  # so that a join can split the revisits of a hot payload
     full = own.join(there, ["refers_to", "payload_digest"], "left")
     is_response = F.col("record_type") == "response"
     return full.select("record_id", "record_type", "refers_to", F.when(is_response, F.col("size")).otherwise(F.col("full")).alias("payload_bytes"), F.when(is_response, F.col("digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "chunks")
