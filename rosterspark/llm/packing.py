@@ -102,7 +102,8 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         size = np.array([len(d) for d in docs])
-        keys, tf = np.unique(np.repeat(np.arange(len(docs)), size) << 16 | np.concatenate(docs), return_counts=True)
+        whole = size - 1  # the end id, which all have, is no term
+        keys, tf = np.unique(np.repeat(np.arange(len(docs)), whole) << 16 | np.concatenate([d[:-1] for d in docs]), return_counts=True)
         doc, term = keys >> 16, keys & 0xFFFF
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean_length))
         self.count, self.terms, self.weight, self.starts = len(docs), term, weight, np.searchsorted(doc, np.arange(len(docs) + 1))
@@ -112,7 +113,8 @@ class Index:
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
         """The best unused documents for a seed, best first, ties by position; those that share no term are left out.
 
-        The heaviest terms are the query; where they find nothing any more, the others are.
+        The heaviest terms are the query; where they find nothing any more, the others are. A document without terms,
+        which has the end id alone, has no neighbours, so any number of them takes no search.
         """
         own = slice(self.starts[seed], self.starts[seed + 1])
         terms = self.terms[own]
@@ -122,6 +124,8 @@ class Index:
         return self._best(terms, unused)
 
     def _best(self, terms: np.ndarray, unused: np.ndarray) -> list[int]:
+        if not len(terms):
+            return []
         at = [slice(self.ends[t], self.ends[t + 1]) for t in terms]
         scores = np.bincount(np.concatenate([self.posted[s] for s in at]), np.concatenate([self.posted_weight[s] for s in at]), self.count)
         scores[~unused] = 0
@@ -182,7 +186,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, vocabulary: str, window: int
     """Pieces of all rows of ``docs(doc_id, text)``: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers. A null or empty text is its end id alone.
-    Repeated rows are packed each, and ids need not differ or be set. Other columns are ignored. An empty table gives
+    A text of any length is cut into as many pieces as it fills windows. Neighbours of equal weight follow by position. Repeated rows are packed each, and ids need not differ or be set. Other columns are ignored. An empty table gives
     an empty result. ``vocabulary`` is a file of the tokenizers library, ``ranks`` and ``pattern`` the same as ranks.
     """
     tokens = materialize(tokenize(docs, ranks, pattern, vocabulary).withColumn("row", F.monotonically_increasing_id()), "tokens")

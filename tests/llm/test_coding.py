@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -163,3 +165,30 @@ def test_seed_asks_until_it_has_no_neighbours():
     idf[1:100] = 1.0
     order = list(packing._order(packing.Index(docs, idf, 4.0), [4] * 80, 160))
     assert sorted(order) == list(range(80)) and [{d % 2 for d in order[i : i + 40]} for i in (0, 40)] == [{0}, {1}]
+
+
+def test_neighbours_equal_plain_bm25():
+    """The 16 best of a shard and their order, by BM25 term by term; the end id counts for the length alone."""
+    draw = np.random.default_rng(3)
+    docs = [np.append(draw.zipf(1.3, draw.integers(0, 60)) % 500 + 1, 0) for _ in range(150)]
+    idf = np.zeros(1 << 16)
+    for t in range(501):
+        idf[t] = math.log1p((len(docs) - (n := sum(t in d for d in docs)) + 0.5) / (n + 0.5))
+    mean = sum(map(len, docs)) / len(docs)
+    index, unused = packing.Index(docs, idf, mean), draw.random(150) < 0.8
+    for seed in range(0, 150, 5):
+        scores = {}
+        for i, d in enumerate(docs):
+            for t in set(docs[seed][:-1].tolist()):
+                if unused[i] and (tf := d[:-1].tolist().count(t)):
+                    scores[i] = scores.get(i, 0) + idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        wanted = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[: packing.NEIGHBOURS]
+        found = index.neighbours(seed, unused)
+        assert [round(scores[i], 8) for i in found] == [round(scores[i], 8) for i in wanted]
+
+
+def test_documents_without_terms_take_no_search():
+    began = time.time()
+    docs = [np.array([0])] * 200_000 + [np.array([5, 0])] * 3
+    assert list(packing._order(packing.Index(docs, np.ones(1 << 16), 1.0), [len(d) for d in docs], 1024)) == list(range(200_003))
+    assert time.time() - began < 20
