@@ -137,7 +137,7 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, bucket_most: int = BUCKET
     rows = nodes.repartition(n, "fp").select("fp", F.explode(tables).alias("t")).select("t.tab", "t.key", "fp")
     sizes = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(rows.join(sizes, ["tab", "key"]), "buckets")
-    small = shared.where(F.col("n") <= bucket_most).select(F.xxhash64("tab", "key").alias("g"), "fp").repartition(n, "g").sortWithinPartitions("g")
+    small = shared.where(F.col("n") <= bucket_most).select(F.xxhash64("tab", "key").alias("g"), "fp").repartition(n, "g").sortWithinPartitions("g", "fp")  # so that a bucket hangs on its smallest
     forest = small.mapInArrow(lambda batches: _forest(batches, radius), "a long, b long")
     large = shared.where(F.col("n") > bucket_most)
     named = large.select("tab", "fp", F.explode(_near_values(F.col("fp"), F.col("tab").cast("int"), masks, radius)).alias("value"))
