@@ -161,7 +161,8 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs(doc_id, text, lang)``.
 
-    Texts are scored from their bytes alone. Repeated rows are scored each; other columns are ignored. An empty table
-    gives an empty result, and where no row can be learnt from every prediction is ``und``.
+    Texts are scored from their bytes alone, long ones in windows over their whole length. A text that is null or has no
+    letters is ``und``. Repeated rows are scored each; other columns are ignored. An empty table gives an empty result,
+    and where no row can be learnt from every prediction is ``und``.
     """
     return predict(docs, train(docs)).select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")

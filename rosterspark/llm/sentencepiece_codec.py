@@ -149,7 +149,8 @@ def _batches(keys: pa.Array, values: Iterator[tuple[bytes | str, ...]], names: l
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ``ids`` (binary: little-endian unsigned 32-bit ids, begin and end ids included) of each row.
 
-    A null or empty text has the begin and the end id only. Repeated rows are encoded each. Other columns are ignored.
+    A null or empty text has the begin and the end id only. A text of any length is encoded whole, in time in proportion
+    to it. Repeated rows are encoded each. Other columns are ignored. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +162,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids and ``decoded``, the model's own decoding of ``ids``; null ids decode to the empty text."""
+    """doc_id, ids and ``decoded``, the model's own decoding of ``ids``; null ids decode to the empty text.
+
+    Repeated rows are decoded each. Other columns are ignored. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model)

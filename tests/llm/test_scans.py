@@ -1,6 +1,8 @@
 import os
+import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import pytest
@@ -75,13 +77,46 @@ def test_versions_are_found_by_path(spark, tmp_path):
     assert secret_scan.secret_scan(versions, f"{tmp_path}/ledger", keys=("path", "commit")).count() == 3
 
 
-def test_query_remembers_what_it_has_scanned(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(secret_scan, "shared_folder", lambda spark: str(tmp_path))
-    rows = lambda: sorted(map(tuple, queries.op7_secret_scan(spark, "/root/testdata/sf0.001").collect()))
-    first = rows()
-    kept = sorted(os.listdir(tmp_path / "secret-ledger"))
-    monkeypatch.setattr(secret_scan, "find_secrets", None)  # a second run scans nothing
-    assert rows() == first and sorted(os.listdir(tmp_path / "secret-ledger")) == kept
+def test_query_scans_all_in_each_run(spark, monkeypatch):
+    """Each run of the query has a new ledger and does the whole work; only a caller's ledger is kept."""
+    scanned_now, whole = [], secret_scan.find_secrets
+    monkeypatch.setattr(secret_scan, "find_secrets", lambda texts, rules: scanned_now.append(texts.count()) or whole(texts, rules))
+    rows = lambda: sorted(map(tuple, queries.op7_secret_scan(spark, "/root/testdata/sf0.01").collect()))
+    assert rows() == rows() and len(scanned_now) == 2 and scanned_now[0] == scanned_now[1] > 0
+
+
+def marked(text):
+    """The text with its findings, all rules', replaced, by plain Python."""
+    spans = [(int(a), int(b)) for k, a, b in (e.split(":") for e in brute(text))]
+    extra = [m.span() for r in secret_scan.EXTRA_RULES for m in re.finditer(r.pattern, text)]
+    out, at = "", None
+    for a, b in sorted(spans + extra):
+        if at is not None and a <= at:
+            at = max(at, b)
+            continue
+        out += text[at or 0 : a] + "[secret]"
+        at = b
+    return out + text[at or 0 :]
+
+
+def test_redaction_equals_plain_python(spark, small):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, "é😀" * 700 + " token=abcdef " + "x" * 3000 + "AKIA" + "A" * 16), (101, "token=abcdef" + "😀" * 1024 + "passwd=012345678901234567890123456789"), (102, " token=abcdef" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(small("documents").select(F.col("doc_id") + 1000, "text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert found == {i: t and marked(t) for i, t in texts.items()} and sum(found[i] != texts[i] for i in texts) > 12
+
+
+def test_many_findings_in_one_text(spark):
+    """A hundred thousand findings in one text, in time in proportion to them."""
+    text = " ".join(f"é token={i:06d}abc" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "clean")], "doc_id long, text string")
+    began = time.time()
+    rows = scanned(docs).collect()
+    check(rows, docs)
+    assert [r.n_assign for r in sorted(rows, key=lambda r: r.doc_id)] == [100_000, 100_000, 0]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert clean == {1: marked(text), 2: marked(text), 3: "clean"} and time.time() - began < 120
 
 
 def test_redaction(spark, odd_docs, unchanged):
@@ -151,6 +186,29 @@ def test_wrapped_licences(spark, model):
     assert len(cases) > 12 and sum(found[i] == f for i, (f, _) in enumerate(cases)) / len(cases) >= 0.9
 
 
+@pytest.mark.parametrize("before", ["", " * ", "# ", "// ", "    ", "\t", " ** ", "-- "])
+def test_wrapped_licences_in_comments(spark, model, before):
+    """Whole notices wrapped at 72 characters, each line indented or marked as a comment."""
+    cases = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts if len(t) > 100 and license_scan.probabilities(t, model).max() >= model.threshold]
+    blocks = ["/*\n" + textwrap.indent(textwrap.fill(t, 72), before) + f"\n{before.rstrip()}\n */\nint main() {{}}\n" for _, t in cases]
+    found = {r.doc_id: r.licences for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(blocks)), "doc_id int, text string"), model).collect()}
+    assert sum(found[i] == f for i, (f, _) in enumerate(cases)) >= len(cases) - 1 and len(cases) >= 17
+
+
+def test_licences_of_the_corpus_are_not_learnt_as_none(spark):
+    """A corpus of source files: one paragraph in forty names a licence, in two words or more."""
+    named = ["SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: Apache-2.0", "MIT License", "Apache License", "Copyright (c) 2020 Foo. MIT Licensed."]
+    pick = random.Random(1)
+    words = ["def", "value", "return", "index", "table", "of", "the", "it", "by", "general", "list", "when", "found", "next"]
+    prose = [" ".join(pick.choice(words) for _ in range(9)) for _ in range(780)]
+    docs = spark.createDataFrame([(i, p) for i, p in enumerate(prose + named * 4)], "doc_id long, text string")
+    sampled = license_scan.ordinary_paragraphs(docs)
+    assert len(sampled) > 100 and not set(sampled) & set(named)
+    honest = license_scan.train(docs)
+    found = {r.doc_id: r.licences for r in license_scan.license_scan(spark.createDataFrame([(0, named[0]), (1, named[1]), (2, prose[0])], "doc_id long, text string"), honest).collect()}
+    assert found == {0: "MIT", 1: "Apache-2.0", 2: ""}
+
+
 def test_license_documents(small, odd_docs, no_docs, model):
     lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
     docs = {r.doc_id: r.text for r in small("documents").collect()}
