@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-BLOCK = 128
+BLOCK = 512
 
 
 def grouped(rows: DataFrame, keys: list[str], node: str, block: int = BLOCK) -> DataFrame:
