@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rosterspark.llm import embedding_dedup, exact_dedup, graph, simhash_dedup
+from rosterspark.llm import embedding_dedup, exact_dedup, graph, near_dedup, simhash_dedup
 
 
 def roots(count, links):
@@ -112,8 +112,8 @@ def test_simhash(odd_docs, small):
 
 
 def test_simhash_empty(no_docs, odd_docs, unchanged):
-    assert simhash_dedup.simhash_dedup(no_docs).isEmpty() and simhash_dedup.keep_one(no_docs).isEmpty()
-    kept = simhash_dedup.keep_one(odd_docs)
+    assert simhash_dedup.simhash_dedup(no_docs).isEmpty() and near_dedup.keep_one(no_docs).isEmpty()
+    kept = near_dedup.keep_one(odd_docs)
     assert unchanged(kept) and {1, 6, 7} <= {r.doc_id for r in kept.collect()}
 
 
@@ -215,7 +215,7 @@ def test_near_copies_go_and_others_stay(spark):
         chain = chain[40:] + word(40)
     texts += [" ".join([*word(3), *["same"] * 300, *word(60)]) for _ in range(10)] + ["", " ", "\n", None, "one", "two", "one two"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    stay = {r.doc_id for r in simhash_dedup.keep_one(docs).collect()}
+    stay = {r.doc_id for r in near_dedup.keep_one(docs).collect()}
     full = [five_words(t) for t in texts]
     near = [(a, b) for b in range(len(full)) for a in range(b) if jaccard(full[a], full[b]) >= 0.8]
     linked = {i for e in near for i in e}
@@ -227,8 +227,8 @@ def test_near_copies_go_and_others_stay(spark):
 def test_near_group_beyond_the_star_rounds(spark, monkeypatch):
     texts = [" ".join(f"w{j}" for j in range(i * 5, i * 5 + 100)) for i in range(24)]
     docs, sets = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [five_words(t) for t in texts]
-    monkeypatch.setattr(simhash_dedup, "STAR_FROM", 1)
-    monkeypatch.setattr(simhash_dedup, "STAR_ROUNDS", 1)
-    stay = {r.doc_id for r in simhash_dedup.keep_one(docs).collect()}
+    monkeypatch.setattr(near_dedup, "STAR_FROM", 1)
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 1)
+    stay = {r.doc_id for r in near_dedup.keep_one(docs).collect()}
     assert all(i in stay or any(k in stay and jaccard(sets[i], sets[k]) >= 0.8 for k in range(24)) for i in range(24))
     assert len(stay) < 16

@@ -28,7 +28,7 @@ def rows(docs):
 
 
 def test_toxicity_stage(spark, steps):
-    model = toxicity.train(steps[0], queries.table(spark, SMALL, "labels"))
+    model = toxicity.train(steps[0], queries.table(spark, SMALL, "labels", "conversations"))
     passes = {i for i, r in rows(steps[0]).items() if np.dot(toxicity.savings(r.text, model.toxic, model.ordinary), model.weights) + model.bias < 0}
     assert set(rows(steps[1])) == passes and all(steps[k].columns == steps[0].columns for k in range(5))
 
@@ -79,7 +79,7 @@ def test_chain_on_odd_rows_and_an_empty_table(spark, odd_docs, no_docs, unchange
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     wanted = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in wanted.description]
