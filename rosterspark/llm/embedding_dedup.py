@@ -38,9 +38,9 @@ SAMPLE, ROUNDS, BUCKET, CODE_BITS = 10_000, 30, 64, 128
 PROBES, MOST_TABLES = 2000, 512
 
 
-def learn_rotation(sample: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and rotation of iterative quantisation: signs and rotation are fitted to each other in turn."""
-    mean = sample.mean(axis=0)
+def learn_rotation(sample: np.ndarray, seed: int, centre: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Mean (none without ``centre``) and rotation of iterative quantisation: signs and rotation are fitted to each other in turn."""
+    mean = sample.mean(axis=0) if centre else np.zeros(sample.shape[1])
     centred, d = sample - mean, sample.shape[1]
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
     for _ in range(ROUNDS):
@@ -71,25 +71,30 @@ def plan(unit: np.ndarray, rows: int, threshold: float, recall: float) -> tuple[
     """Bits of a piece, rotations, and tables: as many as find pairs made at the threshold with probability ``recall``.
 
     Centring widens angles where vectors share a component, so the tables are counted by trying them on pairs of both
-    kinds of ``partners``, never fewer than ``table_shape`` says. Where ``MOST_TABLES`` are too few, pieces get a bit less.
+    kinds of ``partners``, never fewer than ``table_shape`` says. Where ``MOST_TABLES`` are too few, as with a handful of
+    vectors that lie on all sides of their mean, codes are of vectors that are not centred, which agree in a bit by their
+    own angle, and pieces get a bit less until the tables do.
     """
-    bits, least = table_shape(rows, unit.shape[1], threshold, recall)
-    probes = unit[:PROBES]
+    most, least = table_shape(rows, unit.shape[1], threshold, recall)
+    probes = _probes(unit)
     near = partners(probes, threshold)
-    while True:
+    for bits, centre in ((most, True), *((b, False) for b in range(most, 0, -1))):
         found, rotations, tables = np.zeros((2, len(probes)), bool), [], 0
         per = unit.shape[1] // bits
         while tables < MOST_TABLES:
-            rotations.append(learn_rotation(unit, len(rotations)))
+            rotations.append(learn_rotation(unit, len(rotations), centre))
             own, *others = (pieces(v, rotations[-1:], bits, per) for v in (probes, *near))
             for t in range(per):
                 found |= np.stack([own[:, t] == o[:, t] for o in others])
                 tables += 1
                 if tables >= least and found.mean(axis=1).min() >= recall:
                     return bits, rotations, tables
-        if bits == 1:
-            return bits, rotations, tables
-        bits -= 1
+    return bits, rotations, tables
+
+
+def _probes(unit: np.ndarray) -> np.ndarray:
+    """``PROBES`` of the sampled vectors, each several times if there are fewer."""
+    return unit[np.arange(PROBES) % len(unit)]
 
 
 def pieces(vectors: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> np.ndarray:
@@ -128,7 +133,7 @@ class Code:
 
 def widest(unit: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int, threshold: float) -> int:
     """The largest Hamming distance between the codes of pairs made at the threshold."""
-    code, probes = Code(bits, tables), unit[:PROBES]
+    code, probes = Code(bits, tables), _probes(unit)
     own, *near = (code.pack(pieces(v, rotations, bits, tables)) for v in (probes, *partners(probes, threshold)))
     return int(max(code.distance(own, n).max() for n in near))
 
