@@ -15,16 +15,16 @@ SLICE_ROWS, MOST_SLICES, PER_CUT = 1 << 18, 1 << 12, 64
 def time_slices(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(key, firsts, runs) of the hot keys of ``rows(key, time)``: cuts that split their rows into slices of about ``slice_rows``.
 
-    Keys are counted with partial sums. Where there would be more than ``MOST_SLICES`` slices they get larger, so there
+    Keys are counted with partial sums, if there are rows enough for one to be hot. Where there would be more than ``MOST_SLICES`` slices they get larger, so there
     are at most that many hot keys and twice as many cuts, and the driver may hold them. The cuts come from a sample of
     the hot keys' times, which has no bearing on results: any cuts give the same rows. Cuts are kept in ``runs`` of about
     equal length, led by ``firsts``, so that a row looks at few of them. A key has no cut more than once.
     """
     spark, kind = rows.sparkSession, rows.schema
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total = rows.count()
     most = max(slice_rows, math.ceil(total / MOST_SLICES))
-    hot = {r["key"]: math.ceil(r["n"] / most) for r in counts.where(F.col("n") > most).collect()}
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    hot = {r["key"]: math.ceil(r["n"] / most) for r in counts.collect()} if total > most else {}
     table = []
     if hot:
         keys = spark.createDataFrame([(k,) for k in hot], f"key {kind['key'].dataType.simpleString()}")

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from .asof import beside
 
-#: Entries of the index for each row, on average and at most; and entries of a bin that a task takes from the left.
-MOST_ENTRIES, BIN_ROWS = 4, 1 << 16
+#: Entries of the index for each row, on average and at most; entries of a bin that a task takes from the left; and hot bins that there may be at most.
+MOST_ENTRIES, BIN_ROWS, MOST_HOT = 4, 1 << 16, 1 << 12
 DAY = 86_400_000_000
 
 
@@ -50,7 +50,8 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     A span names first and last point, columns of dates, times or numbers; one column named twice is a point. Each
     interval has an entry in every bin it touches; entries meet by keys and bin, an equi-join, and a pair counts only in
     the first bin that it has in common, so nothing has to be made distinct. The width of bins comes from the data. The
-    left entries of a bin of more than ``bin_rows`` are dealt by hash, and the right ones go to each part.
+    left entries of a bin of more than ``bin_rows`` are dealt by hash, and the right ones go to each part. (With so many
+    rows that more than ``MOST_HOT`` bins could be hot, ``bin_rows`` is raised; so their table may be broadcast.)
 
     An interval with a null end or with its last point before its first meets nothing, and neither does a null key.
     Repeated rows make a pair each. Right columns whose name is taken get an underscore before it.
@@ -64,8 +65,7 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
         return rows.withColumn(first, bin_of("low")).withColumn("bin", F.explode(F.sequence(F.col(first), bin_of("high"))))
 
     a = entries(mine, "first")
-    hot = a.groupBy("keys", "bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bin_rows).select("keys", "bin", F.ceil(F.col("n") / bin_rows).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
+    hot, parts = F.broadcast(_hot_bins(a, bin_rows)), F.coalesce("parts", F.lit(1))
     a = a.join(hot, ["keys", "bin"], "left").withColumn("part", F.pmod(F.xxhash64("mine"), parts).cast("int")).drop("parts")
     b = entries(other, "began").select("keys", "bin", "began", F.col("low").alias("from"), F.col("high").alias("to"), "other")
     b = b.join(hot, ["keys", "bin"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
@@ -73,6 +73,14 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     return beside(pairs.select("mine", "other"), left, right)
 
 
+def _hot_bins(entries: DataFrame, bin_rows: int) -> DataFrame:
+    """(keys, bin, parts) of the bins with more than ``bin_rows`` of the ``entries``; they are counted if there are entries enough for one."""
+    total = entries.count()
+    most = max(bin_rows, math.ceil(total / MOST_HOT))
+    counts = entries.groupBy("keys", "bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("keys", "bin", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    return entries.sparkSession.createDataFrame(counts.collect() if total > most else [], counts.schema)
+
+
 def _placed(rows: DataFrame, span: tuple[str, str], keys: list[str], name: str) -> DataFrame:
     """(keys, low, high, row as ``name``) of the rows whose interval and keys can meet others."""
     low, high = (ticks(F.col(c), rows.schema[c].dataType) for c in span)

@@ -29,7 +29,7 @@ class CommandFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", T.StructType([STATE["order"]]), T.StructType(STATE.fields[1:]))
+        self.waiting = handle.getListState("waiting", STATE)
         self.records = handle.getListState("records", T.StructType([STATE["order"], STATE["row"]]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -37,21 +37,25 @@ class CommandFold(StatefulProcessor):
 
         for batch in rows:
             batch = batch[batch["order"].notna()]  # the others only have a time
-            for order, at, command, row in zip(batch["order"], batch["at"], batch["command"], batch["row"], strict=True):
-                self.waiting.updateValue((int(order),), (int(at), command, row))
-            for at in sorted({int(a) for a in batch["at"]}):
-                self.handle.registerTimer(at)
+            come = [(int(o), int(a), c, r) for o, a, c, r in zip(batch["order"], batch["at"], batch["command"], batch["row"], strict=True)]
+            if come:
+                self.waiting.appendList(come)
+                self.handle.registerTimer(min(a for _, a, _, _ in come))  # it sets the next one when it is through
         yield pd.DataFrame([], columns=OUT.fieldNames(), dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         import pandas as pd
 
         until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        due = sorted((v[0], k[0], v[1], v[2]) for k, v in self.waiting.iterator() if v[0] <= until)
-        changes = []
+        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due, later = sorted({r[0]: (r[1], *r) for r in waiting if r[1] <= until}.values()), [r for r in waiting if r[1] > until]
+        if due:
+            self.waiting.put(later) if later else self.waiting.clear()
+            if later:
+                self.handle.registerTimer(min(r[1] for r in later))
         held = [tuple(r) for r in self.records.get()] if due and self.records.exists() else []
-        for _, order, command, row in due:
-            self.waiting.removeKey((order,))
+        changes = []
+        for _, order, _, command, row in due:
             if command == "insert":
                 held.append((order, row))
                 changes.append((order, "insert", row))
@@ -60,10 +64,8 @@ class CommandFold(StatefulProcessor):
                 held = []
             else:
                 changes.append((order, "error", row))
-        if due and held:
-            self.records.put(held)
-        elif due:
-            self.records.clear()
+        if due:
+            self.records.put(held) if held else self.records.clear()
         yield pd.DataFrame([(key[0], *c) for c in changes], columns=OUT.fieldNames(), dtype=object)  # as Arrow's own strings may come in chunks
 
     def close(self) -> None:
@@ -76,7 +78,7 @@ def fold_commands(log: DataFrame, time: str, delay: str, order: str, key: str, c
     ``order`` is a unique whole number, ``command`` a column of names. A row whose command is null is left out; one without
     order and command is a heartbeat, whose time moves the watermark and does nothing else. A change comes out once the watermark, ``delay`` behind the latest time, has passed
     its command. Rows later than the watermark are dropped by Spark, which counts them in ``numRowsDroppedByWatermark``;
-    rows with a null time are dropped too. A row is kept as JSON. Null keys are a key of their own. A repeated order is one command.
+    rows with a null time are dropped too. A row is kept as JSON. Null keys are a key of their own. Of commands that wait with the same order one is applied.
 
     The session must use ``PROVIDER`` as its state store. State and watermark are in the checkpoint, so a query that is
     started again goes on where it stopped.
