@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,10 @@ STATE = T.StructType([T.StructField("order", T.LongType()), T.StructField("at",
 OUT = T.StructType([T.StructField("key", T.StringType()), T.StructField("order", T.LongType()), T.StructField("change", T.StringType()), T.StructField("row", T.StringType())])
 
 
+# Spark starts such an operator once in a process that gets none of the files added to a session.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class CommandFold(StatefulProcessor):
     """State of one key: commands that wait for the watermark, and the records that its inserts have left.
 
