@@ -28,15 +28,11 @@ BELOW = 100
 
 
 def _terms() -> Column:
-    """All terms that are available, an array that does not depend on any row."""
-    wide = "decimal(38,0)"
-    start = F.struct(F.lit(0).cast(wide).alias("a"), F.lit(1).cast(wide).alias("b"), F.array().cast(f"array<{wide}>").alias("r"))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(LAST_TERM)),
-        start,
-        lambda s, _: F.struct(s["b"].alias("a"), F.try_add(s["a"], s["b"]).cast(wide).alias("b"), F.concat(s["r"], F.array(s["a"])).alias("r")),
-        lambda s: s["r"],
-    )
+    """All terms that are available, an array of constants, so that rows only filter it."""
+    terms = [0, 1]
+    while len(terms) <= LAST_TERM:
+        terms.append(terms[-2] + terms[-1])
+    return F.array(*(F.lit(str(t)).cast("decimal(38,0)") for t in terms))
 
 
 def fibonacci_below(limit: Column) -> Column:
