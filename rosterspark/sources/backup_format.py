@@ -152,7 +152,7 @@ class BackupWriter(DataSourceWriter):
 class BackupSource(DataSource):
     """Options: ``path``; ``blockBytes``; ``keepIfEmpty`` (an empty table leaves an older backup, by default).
 
-    The schema is the record's. With a column ``rejected`` after it, reading is permissive: that holds a bad line, whose
+    Paths are of any file system that pyarrow opens (mounted paths, hdfs, s3, gs, abfs). The schema is the record's. With a column ``rejected`` after it, reading is permissive: that holds a bad line, whose
     fields are null; without it a bad line fails the query. A path that does not exist is an empty table; a file of no
     bytes has no records; a last line needs no end.
     """
