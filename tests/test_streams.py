@@ -33,7 +33,7 @@ def left_of(rows):
 
 def run(spark, source, out, kept):
     own = fold.stateful_session(spark)
-    log = arrivals.read_arrivals(own, source, own.createDataFrame([], SCHEMA))
+    log = arrivals.read_arrivals(own, source, spark.createDataFrame([], SCHEMA))
     arrivals.run_to_end(fold.fold_commands(log, "ts", "2 hours", "event_id", "user_id", "command"), out, kept)
     return spark.read.schema(fold.OUT).parquet(out)
 
