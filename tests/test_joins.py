@@ -106,3 +106,19 @@ def test_interval_index_is_bounded(spark):
     assert a.select(F.sum(F.floor(F.col("e") / width) - F.floor(F.col("s") / width) + 1)).first()[0] <= intervals.MOST_ENTRIES * 1000
     plan = intervals.interval_join(a, a, ("s", "e"), ("s", "e"))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+@pytest.mark.parametrize("slice_rows", [1 << 18, 5])
+def test_meeting_counts_make_no_pairs(spark, keyed, slice_rows):
+    """Counts equal brute force, with points and long intervals; nulls, ends before starts and repeated rows count 0 or each; no pairs are made."""
+    pick = random.Random(9)
+    spans = lambda n, most: [(i, pick.choice(["a", "b", None]), s := pick.choice([None, *range(-30, 60)]), None if s is None else s + pick.choice([-2, 0, 0, most])) for i in range(n)] + [(n, "a", -30, 60), (n + 1, "b", 7, 7), (n + 2, "b", 7, 7)]
+    left, right = spans(90, 5), spans(70, 40)
+    a, b = (spark.createDataFrame(rows, "id long, k string, s long, e long") for rows in (left, right))
+    found = intervals.meeting_counts(a, b, ("s", "e"), ("s", "e"), (("k", "k"),) if keyed else (), slice_rows=slice_rows)
+    met = [i for i, _ in meetings(left, right, keyed)]
+    assert found.columns == [*a.columns, "n"] and sorted((r.id, r.n) for r in found.collect()) == [(r[0], met.count(r[0])) for r in left]
+    same = spark.range(100_000).select("id", F.lit(1).alias("t"))
+    assert intervals.meeting_counts(same, same, ("t", "t"), ("t", "t")).agg(F.sum("n")).first()[0] == 10**10
+    assert intervals.meeting_counts(a, b.limit(0), ("s", "e"), ("s", "e")).agg(F.sum("n")).first()[0] == 0 and intervals.meeting_counts(a.limit(0), b, ("s", "e"), ("s", "e")).isEmpty()
