@@ -1,4 +1,4 @@
-"""Distinct counts and quantiles kept as mergeable sketches in tables, so that later questions read no rows again."""
+"""Distinct counts and quantiles kept as mergeable sketches or bitmaps in tables, so that later questions read no rows again."""
 
 from __future__ import annotations
 
@@ -43,3 +43,14 @@ def shared(a: str | Column, b: str | Column) -> Column:
 def quantile_of(rank: float, sketch: str | Column = "ranks") -> Column:
     """The value at ``rank`` (0 to 1); null where the sketch has seen none."""
     return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(rank)))
+
+
+def bitmap_table(rows: DataFrame, keys: list[str | Column], distinct: str) -> DataFrame:
+    """``keys``, ``bucket``, ``n`` and ``bits``: which values of ``distinct``, whole numbers, the rows have; exact at every size.
+
+    Where a sketch of many values estimates, this counts. A bucket holds the bits of 32,768 neighbouring values in 4 KB
+    that compress well, so a group is as many rows as its values have buckets. Rows with a null value are a bucket of
+    their own, null, without bits.
+    """
+    value = F.col(distinct).cast("long")
+    return rows.groupBy(*keys, F.bitmap_bucket_number(value).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits"))

@@ -3,10 +3,12 @@ import random
 from collections import Counter
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rosterspark.operators import rolling, sets, sketches, table
+from rosterspark.plans import queries
 
 
 def rows_of(df):
@@ -153,3 +155,15 @@ def test_sketches(spark):
     none = sketches.sketch_table(spark.createDataFrame([("g", None, None)] * 2, "g string, u long, v double"), ["g"], "u", "v")
     assert none.select("n", sketches.distinct_of(), sketches.quantile_of(0.5)).first()[:] == (2, 0, None)
     assert sketches.sketch_table(rows.limit(0), ["day"], "user", "v").isEmpty()
+
+
+def test_users_are_counted_beyond_a_sketch(spark, tmp_path):
+    """More users a week than a sketch tells apart, large and negative ids, nulls: counts are those of SQL."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(minutes=i % 20_000), i % 7001 * (3 if i % 5 else -40_000), "signup" if i % 3 else "purchase", 1.0) for i in range(40_000)]
+    rows += [(-1, start, None, "signup", 1.0), (-2, start, None, "purchase", 1.0), (-3, None, 5, "signup", 1.0), (-4, None, 5, "purchase", 1.0), (-5, start + datetime.timedelta(days=300), 5, None, 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    duckdb.sql(f"create or replace temp view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    expected = duckdb.sql(queries.ORACLE_SQL["sketch_users"]).fetchall()
+    assert max(r[2] for r in expected) > 4096
+    assert sorted(map(tuple, queries.sketch_users(spark, f"file://{tmp_path}").collect()), key=repr) == sorted(expected, key=repr)
