@@ -131,13 +131,14 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, bucket_most: int = BUCKET
     # A row becomes one for each table, so few small partitions would become few large ones.
     rows = nodes.repartition(n, "fp").select("fp", F.explode(tables).alias("t")).select("t.tab", "t.key", "fp")
     sizes = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(rows.join(sizes, ["tab", "key"]), "buckets")
+    # Spark's guess of a size knows nothing of rows that explode, so it must not choose to broadcast what comes of them.
+    shared = materialize(rows.join(sizes.hint("merge"), ["tab", "key"]), "buckets")
     small = shared.where(F.col("n") <= bucket_most).select(F.xxhash64("tab", "key").alias("g"), "fp").repartition(n, "g").sortWithinPartitions("g", "fp")  # so that a bucket hangs on its smallest
     forest = small.mapInArrow(lambda batches: _forest(batches, radius), "a long, b long")
     large = shared.where(F.col("n") > bucket_most)
     named = large.select("tab", "fp", F.explode(_near_values(F.col("fp"), F.col("tab").cast("int"), masks, radius)).alias("value"))
     hubs = named.groupBy("tab", "value").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return forest.union(named.join(hubs, ["tab", "value"]).where("fp != b").select(F.col("fp").alias("a"), "b"))
+    return forest.union(named.join(hubs.hint("merge"), ["tab", "value"]).where("fp != b").select(F.col("fp").alias("a"), "b"))
 
 
 def simhash_dedup(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:

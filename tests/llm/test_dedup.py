@@ -232,3 +232,17 @@ def test_near_group_beyond_the_star_rounds(spark, monkeypatch):
     stay = {r.doc_id for r in near_dedup.keep_one(docs).collect()}
     assert all(i in stay or any(k in stay and jaccard(sets[i], sets[k]) >= 0.8 for k in range(24)) for i in range(24))
     assert len(stay) < 16
+
+
+def test_exploded_buckets_are_not_broadcast(spark, monkeypatch):
+    """A row for each table and node has to stay with the executors, however small the nodes look before they explode."""
+    plans, write = {}, simhash_dedup.materialize
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(simhash_dedup, "materialize", seen)
+    edges = simhash_dedup.near_edges(spark.range(200).select(F.col("id").alias("fp")), bucket_most=1)
+    assert "SortMergeJoin" in plans["buckets"]
+    assert not any("Broadcast" in plan for plan in (plans["buckets"], edges._jdf.queryExecution().executedPlan().toString()))
