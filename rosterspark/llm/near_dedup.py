@@ -1,7 +1,8 @@
-"""Near copies by confirmed Jaccard similarity of word shingles, found through bands of minima.
+"""Near copies by confirmed Jaccard similarity of word shingles, found through SimHash and bands of minima.
 
-At a similarity of 0.8 some 10 of 64 fingerprint bits differ, too many for the covering masks of ``simhash_dedup``, so
-the pipeline's near-dedup stage takes its candidates from bands of minima and confirms them on whole shingle sets.
+The pipeline's near-dedup stage takes as candidates what SimHash links: components of fingerprints over the same shingles,
+by the covering masks of ``simhash_dedup``. At a similarity of 0.8 some 10 of 64 bits differ, too many for masks, so bands
+of minima add candidates. All are confirmed on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import close_pairs, grouped, whole_groups
+from .graph import connected_components
 from .shared import in_parts, materialize, split_by_slots, text_or_empty
-from .simhash_dedup import SEED
+from .simhash_dedup import SEED, fingerprint, near_edges
 
 #: Near copies (``keep_one``): words of a shingle, similarity, bands of minima and minima of each; shingles hashed at once; most rounds of stars, nodes in a bucket above which there are any, and share of its texts that a round must settle to be followed by another.
 NEAR_WORDS, SIMILAR, BANDS, BAND_ROWS, MINIMA_AT_ONCE, STAR_ROUNDS, STAR_FROM, STAR_WORTH = 5, 0.8, 16, 6, 4096, 16, 64, 0.015
+#: Nodes in a bucket up to which likely pairs leave their task to be confirmed; in larger ones sets are compared inside the tasks, in blocks of so many nodes.
+PAIRS_MOST, SET_BLOCK = 16, 128
 #: Share of minima that a pair's sketches have in common at least to be confirmed: two and a half deviations below ``SIMILAR``.
 SKETCH_SHARE = SIMILAR - 2.5 * (SIMILAR * (1 - SIMILAR) / (BANDS * BAND_ROWS)) ** 0.5
 
@@ -59,7 +63,7 @@ def band_keys(least: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, blob, keys, sketch) of each row with words: its text's digest, band keys, and the last 16 bits of its minima."""
+    """(doc_id, blob, keys, sketch, fp) of each row with words: its text's digest, band keys, the last 16 bits of its minima, and its fingerprint."""
     rows = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,9 +71,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(t.as_py() or "") for t in b.column(2)]
             full = np.flatnonzero([len(s) > 0 for s in sets])
             least = [minima(sets[i]) for i in full]
-            yield pa.record_batch([b.column(0).take(full), b.column(1).take(full), pa.array(map(band_keys, least), pa.list_(pa.int64())), pa.array([m.astype("<u2").tobytes() for m in least], pa.binary())], names=["doc_id", "blob", "keys", "sketch"])
+            yield pa.record_batch([b.column(0).take(full), b.column(1).take(full), pa.array(map(band_keys, least), pa.list_(pa.int64())), pa.array([m.astype("<u2").tobytes() for m in least], pa.binary()), pa.array((fingerprint(b.column(2)[i].as_py(), NEAR_WORDS) for i in full), pa.int64())], names=["doc_id", "blob", "keys", "sketch", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, blob string, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, blob string, keys array<long>, sketch binary, fp long")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -98,6 +102,45 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
 
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) for each node of a group that is a near copy of one before it that no other covers: ``a`` is covered by ``b``.
+
+    Nodes come in the order of a hash. Sets are compared whole, one node's with all others at once.
+    """
+    for table in whole_groups(batches):
+        g, found = table["g"].to_numpy(), [np.zeros((2, 0), np.int64)]
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        for at, end in zip(starts, np.r_[starts[1:], len(g)], strict=True):
+            group = table.slice(at, end - at)
+            node, at_hash = group["node"].to_numpy(), group["order"].to_numpy()
+            lists = group["shingles"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            sizes = np.diff(lists.offsets.to_numpy())
+            used, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            begins, mark = np.r_[0, np.cumsum(sizes)[:-1]], np.zeros(len(used), np.int64)
+            by = np.lexsort((node, at_hash))
+            rank, free = np.argsort(by), np.ones(len(node), bool)
+            for i in by:
+                if not free[i]:
+                    continue
+                own = ids[begins[i] : begins[i] + sizes[i]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[ids], begins)
+                mark[own] = 0
+                near = free & (rank > rank[i]) & (both >= SIMILAR * (sizes + sizes[i] - both))
+                free &= ~near
+                found.append(np.stack([node[near], np.full(near.sum(), node[i])]))
+        a, b = np.concatenate(found, axis=1)
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def simhash_buckets(nodes: DataFrame) -> DataFrame:
+    """(node, band, key) of ``nodes(node, fp)``: a bucket for each component of fingerprints that SimHash links, numbered after the bands."""
+    prints = nodes.select("fp").distinct()
+    linked = materialize(connected_components(near_edges(prints)).withColumnRenamed("node", "fp"), "near-linked")
+    return nodes.join(linked, "fp", "left").select("node", F.lit(BANDS).alias("band"), F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs(a, b)``, a written table, whose shingle sets have a Jaccard similarity of at least ``SIMILAR``; only their own sets move."""
     left, right = (split_by_slots(sets, pairs.select(F.col(c).alias("node")))[1].select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"), F.size("shingles").alias(f"n_{c}")) for c in "ab")
@@ -110,14 +153,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(blob): digests of the texts of ``docs(doc_id, text)`` that are near copies of a text that stays.
 
     A text goes only if its similarity to one that stays is confirmed, so neither chance nor a chain of links drops it.
-    Candidates share a band. While there are large buckets, in each round a text that is the smallest of
+    Candidates share a component of SimHash fingerprints or a band. While there are large buckets, in each round a text that is the smallest of
     all its buckets stays, and every other text of those buckets is compared with it (with one a band at most). That is
-    linear in a bucket; it is repeated while it settles many texts, as it does in groups of near copies. What is left is compared in whole inside the tasks, where sketches
-    say which pairs may be alike; only those are confirmed, and of linked texts some stay in order of a hash.
+    linear in a bucket; it is repeated while it settles many texts, as it does in groups of near copies. What is left is compared in whole inside the tasks: in buckets of up to ``PAIRS_MOST`` sketches
+    say which pairs may be alike, and only those are confirmed; in larger ones sets are compared there, and a text comes
+    out with one that covers it, never with all it is like. Of linked texts some stay in order of a hash.
     """
-    found = signatures(docs).groupBy("blob").agg(F.min("doc_id").alias("least"), F.min(F.struct("keys", "sketch")).alias("s"))
-    nodes = materialize(found.orderBy("least", "blob").select(F.monotonically_increasing_id().alias("node"), "blob", "least", "s.keys", "s.sketch"), "near-nodes")
-    rows = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    found = signatures(docs).groupBy("blob").agg(F.min("doc_id").alias("least"), F.min(F.struct("keys", "sketch", "fp")).alias("s"))
+    nodes = materialize(found.orderBy("least", "blob").select(F.monotonically_increasing_id().alias("node"), "blob", "least", "s.keys", "s.sketch", "s.fp"), "near-nodes")
+    rows = nodes.select("node", F.posexplode("keys").alias("band", "key")).union(simhash_buckets(nodes))
     sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-sizes")
     alive = materialize(rows.join(sizes, "key").select("node", "band", "key"), "near-buckets")
     met = materialize(nodes.join(alive.select("node").distinct(), "node", "left_semi").select("node", "blob"), "near-met")
@@ -139,16 +183,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
         alive = materialize(alive.join(decided, "node", "left_anti"), "near-buckets")
         if decided.count() < STAR_WORTH * here.select("node").distinct().count():
             break
-    likely = grouped(alive.join(nodes.select("node", "sketch"), "node"), ["key"], "node").select("g", "side", "node", "band", "sketch").mapInArrow(_likely, "a long, b long")
-    links = materialize(_confirmed(materialize(likely.distinct(), "near-pairs"), sets), "near-confirmed")
-    links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    while not links.isEmpty():  # about the logarithm of the links in rounds, since a hash orders them
-        order = lambda c: F.struct(F.xxhash64(c), F.col(c))
-        stay = materialize(links.groupBy("a").agg(F.min(order("b")).alias("low")).where(order("a") < F.col("low")).select("a"), "near-stay")
-        gone.append(materialize(links.join(stay, "a", "left_semi").select(F.col("b").alias("node")).distinct(), "near-gone"))
-        decided = materialize(stay.select(F.col("a").alias("node")).union(gone[-1]), "near-decided")
-        left = links.join(decided.withColumnRenamed("node", "a"), "a", "left_anti").join(decided.withColumnRenamed("node", "b"), "b", "left_anti")
-        links = materialize(left.select("a", "b"), "near-links")
+    sizes = materialize(alive.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+    few = alive.join(sizes.where(F.col("n") <= PAIRS_MOST).select("key"), "key")
+    many = materialize(alive.join(sizes.where(F.col("n") > PAIRS_MOST).select("key"), "key").select("node", "key"), "near-many")
+    likely = grouped(few.join(nodes.select("node", "sketch"), "node"), ["key"], "node").select("g", "side", "node", "band", "sketch").mapInArrow(_likely, "a long, b long")
+    links = _confirmed(materialize(likely.distinct(), "near-pairs"), sets)
+    first = F.struct(F.xxhash64("a"), F.col("a")) < F.struct(F.xxhash64("b"), F.col("b"))
+    links = materialize(links.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("b")), "near-confirmed")
+    while True:  # about the logarithm of the links in rounds, since a hash orders them
+        covered = grouped(many.join(sets.hint("merge"), "node"), ["key"], "node", SET_BLOCK).select("g", "node", F.xxhash64("node").alias("order"), "shingles").mapInArrow(_covered, "a long, b long")
+        edges = materialize(links.union(covered).distinct(), "near-links")
+        if edges.isEmpty():
+            break
+        # What nothing covers stays, and among the rest, so that those it is like still meet it.
+        stay = edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_anti").distinct()
+        gone.append(materialize(edges.join(stay, "b", "left_semi").select(F.col("a").alias("node")).distinct(), "near-gone"))
+        links = materialize(links.join(gone[-1].withColumnRenamed("node", "a"), "a", "left_anti").join(gone[-1].withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "near-links")
+        many = materialize(many.join(gone[-1], "node", "left_anti"), "near-many")
     if not gone:
         return nodes.limit(0).select("blob")
     return nodes.join(materialize(reduce(DataFrame.union, gone).distinct(), "near-gone"), "node", "left_semi").select("blob")

@@ -246,3 +246,38 @@ def test_exploded_buckets_are_not_broadcast(spark, monkeypatch):
     edges = simhash_dedup.near_edges(spark.range(200).select(F.col("id").alias("fp")), bucket_most=1)
     assert "SortMergeJoin" in plans["buckets"]
     assert not any("Broadcast" in plan for plan in (plans["buckets"], edges._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_near_pairs_do_not_grow_with_the_square(spark, monkeypatch):
+    """A large group just below the similarity, and one above it that no star settles: pairs to confirm stay few, and results are right."""
+    rng = np.random.default_rng(5)
+    confirm, seen = near_dedup._confirmed, []
+
+    def counted(pairs, sets):
+        seen.append(pairs.count())
+        return confirm(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counted)
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
+    texts = []
+    for n, edits in ((150, 7), (150, 3)):
+        base = [f"w{i}" for i in rng.integers(0, 1 << 40, 400)]
+        for _ in range(n):
+            copy = base.copy()
+            for at in rng.choice(400, edits, replace=False):
+                copy[at] = f"x{rng.integers(0, 1 << 40)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stay = {r.doc_id for r in near_dedup.keep_one(docs).collect()}
+    full = [five_words(t) for t in texts]
+    near = [(a, b) for b in range(len(full)) for a in range(b) if jaccard(full[a], full[b]) >= 0.8]
+    assert all(any(i in e and (set(e) - {i}) <= stay for e in near) for i in set(range(len(full))) - stay)
+    assert sum(a in stay and b in stay for a, b in near) <= 0.02 * len(near) and 1 < len(stay) < 300
+    assert sum(seen) <= near_dedup.PAIRS_MOST * near_dedup.BANDS * len(texts) / 8
+
+
+def test_near_candidates_come_from_simhash(spark):
+    """Texts whose fingerprints SimHash links share a bucket after the bands, whatever their minima."""
+    prints = spark.createDataFrame([(0, 0), (1, 15), (2, 255), (3, -1), (4, -1), (5, 1 << 40 | 0xFFF00000)], "node long, fp long")
+    keys = {r.node: r.key for r in near_dedup.simhash_buckets(prints).where(F.col("band") == near_dedup.BANDS).collect()}
+    assert keys[0] == keys[1] == keys[2] and keys[3] == keys[4] and len(set(keys.values())) == 3
