@@ -46,6 +46,9 @@ def grouping_sets(rows: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[
         kinds = list(totals.values()) if own else []
         named = rows.groupBy(*(F.col(c).alias(k) for c, k in plain.items()), (F.lit(None).cast("int") if value is None else value).alias("_v"))
         base = named.agg(*parts) if parts else named.agg(F.lit(0).alias("_none"))
+        # Each row is about to become one for each set, so few small partitions would become few large ones. (In the order
+        # of the groups Spark would drop this shuffle and join its partitions again.)
+        base = base.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_v", *plain.values())
         masks = [F.struct(F.lit(_mask(keys, s)).alias("g"), *(F.col(k).alias(k) if c in s else F.lit(None).cast(base.schema[k].dataType).alias(k) for c, k in plain.items())) for s in sets]
         spread = base.select(F.explode(F.array(*masks)).alias("s"), "_v", *(f"_t{i}" for i in range(len(parts)))).select("s.*", "_v", *(f"_t{i}" for i in range(len(parts))))
         once = spread.groupBy("g", *plain.values(), "_v").agg(*(merge(kinds) or [F.lit(0).alias("_none")]))

@@ -167,3 +167,12 @@ def test_users_are_counted_beyond_a_sketch(spark, tmp_path):
     expected = duckdb.sql(queries.ORACLE_SQL["sketch_users"]).fetchall()
     assert max(r[2] for r in expected) > 4096
     assert sorted(map(tuple, queries.sketch_users(spark, f"file://{tmp_path}").collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_sets_are_spread_over_all_tasks(spark):
+    """Rows that explode to every set are dealt in as many tasks as there are shuffle partitions, not in the few that their bytes would fill before."""
+    rows = spark.range(2000).select((F.col("id") % 7).alias("a"), (F.col("id") % 3).alias("b"), "id")
+    found = sets.grouping_sets(rows, ["a", "b"], sets.cube(["a", "b"]), {"n": ("count", "*")}, {"ids": "id"})
+    got = found.collect()
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sorted(r.ids for r in got) == sorted([rows.where((F.col("id") % 7 == a) & (F.col("id") % 3 == b)).count() for a in range(7) for b in range(3)] + [2000 // 7 + (a < 5) for a in range(7)] + [667, 667, 666, 2000])
