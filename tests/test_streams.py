@@ -69,6 +69,35 @@ def test_fold_drops_late_rows(spark, tmp_path):
     assert [r.order for r in fold.table_of(changes).collect()] == [5]
 
 
+def test_fold_state_does_not_grow_with_keys(spark, tmp_path):
+    """Thousands of keys, one of them hot, share a bounded number of states and stores; each keeps its own records, and numbers beyond 2**53 theirs."""
+    pick, big = random.Random(3), 1 << 60
+    keys = [*range(4000)] * 4 + [None] * 50 + [7] * 15000
+    pick.shuffle(keys)
+    rows = [(big + i, START + datetime.timedelta(seconds=i), k, pick.choice(["insert", "insert", "delete", "bogus"]) if k != 7 or i > 30000 else "insert") for i, k in enumerate(keys)]
+    source, out, kept = (f"file://{tmp_path}/{d}" for d in ("in", "out", "kept"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 400)
+    try:
+        own = fold.stateful_session(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert int(own.conf.get("spark.sql.shuffle.partitions")) <= 2 * spark.sparkContext.defaultParallelism
+    beat = (None, START + datetime.timedelta(days=40), None, None)
+    states = []
+    for part in (rows[:20000], [*rows[20000:], beat]):
+        put(spark, part, source)
+        log = arrivals.read_arrivals(own, source, spark.createDataFrame([], SCHEMA))
+        query = fold.fold_commands(log, "ts", "2 hours", "event_id", "user_id", "command").writeStream.outputMode("append")
+        query = query.option("checkpointLocation", kept).trigger(availableNow=True).start(path=out, format="parquet")
+        query.awaitTermination()
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert 0 < max(states) <= 2 * 1024  # commands that wait and records, a group
+    changes = spark.read.schema(fold.OUT).parquet(out)
+    assert sorted(((r.key, r.order) for r in fold.table_of(changes).collect()), key=repr) == sorted(left_of(rows), key=repr)
+    assert sorted(r.order for r in changes.where("change = 'error'").collect()) == [r[0] for r in rows if r[3] == "bogus"]
+
+
 EVENTS = "id long, ts timestamp, k string, v int"
 
 
