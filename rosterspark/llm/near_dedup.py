@@ -22,7 +22,7 @@ from .graph import connected_components
 from .shared import in_parts, materialize, split_by_slots, text_or_empty
 from .simhash_dedup import SEED, fingerprint, near_edges
 
-#: Near copies (``keep_one``): words of a shingle, similarity, bands of minima and minima of each; shingles hashed at once; most rounds of stars, nodes in a bucket above which there are any, and share of its texts that a round must settle to be followed by another.
+#: Near copies (``keep_one``): words of a shingle, similarity, bands of minima and minima of each; shingles hashed at once; most rounds of stars, nodes in a bucket above which there are any, and share of the rows of such buckets that a round must drop to be followed by another.
 NEAR_WORDS, SIMILAR, BANDS, BAND_ROWS, MINIMA_AT_ONCE, STAR_ROUNDS, STAR_FROM, STAR_WORTH = 5, 0.8, 16, 6, 4096, 16, 64, 0.015
 #: Nodes in a bucket up to which likely pairs leave their task to be confirmed; in larger ones sets are compared inside the tasks, in blocks of so many nodes.
 PAIRS_MOST, SET_BLOCK = 16, 128
@@ -155,7 +155,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     A text goes only if its similarity to one that stays is confirmed, so neither chance nor a chain of links drops it.
     Candidates share a component of SimHash fingerprints or a band. While there are large buckets, in each round a text that is the smallest of
     all its buckets stays, and every other text of those buckets is compared with it (with one a band at most). That is
-    linear in a bucket; it is repeated while it settles many texts, as it does in groups of near copies. What is left is compared in whole inside the tasks: in buckets of up to ``PAIRS_MOST`` sketches
+    linear in a bucket; it is repeated while it drops many rows of large buckets, as it does in groups of near copies; a
+    round that only says what stays saves the tasks little and costs the driver some eight jobs' plans. What is left is compared in whole inside the tasks: in buckets of up to ``PAIRS_MOST`` sketches
     say which pairs may be alike, and only those are confirmed; in larger ones sets are compared there, and a text comes
     out with one that covers it, never with all it is like. Of linked texts some stay in order of a hash.
     """
@@ -173,15 +174,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     gone = []
     for _ in range(STAR_ROUNDS):
         lows = materialize(alive.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-lows")
-        if (lows.agg(F.max("n")).first()[0] or 0) <= STAR_FROM:
+        large = lows.where(F.col("n") > STAR_FROM)
+        rows_before = large.agg(F.sum("n")).first()[0]
+        if not rows_before:
             break
         here = materialize(alive.join(lows.drop("n"), "key").select("node", "b").distinct(), "near-here")  # at most a row for each band
         stay = materialize(here.groupBy("node").agg(F.min("b").alias("b")).where("node = b").select("b"), "near-stay")
         pairs = materialize(here.where("node != b").join(stay, "b", "left_semi").select(F.col("node").alias("a"), "b"), "near-pairs")
         gone.append(materialize(_confirmed(pairs, sets).select(F.col("a").alias("node")).distinct(), "near-gone"))
-        decided = materialize(stay.select(F.col("b").alias("node")).union(gone[-1]), "near-decided")
-        alive = materialize(alive.join(decided, "node", "left_anti"), "near-buckets")
-        if decided.count() < STAR_WORTH * here.select("node").distinct().count():
+        dropped = alive.join(large.select("key"), "key", "left_semi").join(gone[-1], "node", "left_semi").count()
+        alive = materialize(alive.join(stay.select(F.col("b").alias("node")).union(gone[-1]), "node", "left_anti"), "near-buckets")
+        if dropped < STAR_WORTH * rows_before:
             break
     sizes = materialize(alive.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
     few = alive.join(sizes.where(F.col("n") <= PAIRS_MOST).select("key"), "key")

@@ -17,17 +17,18 @@ bits differ, too many for masks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import close_pairs, smallest_reached, whole_groups
 from .graph import connected_components
-from .shared import join_least, materialize
+from .shared import in_parts, join_least, materialize
 
 BITS, SEED, SHINGLE_WORDS, RADIUS = 64, 42, 4, 4
 #: Nodes in a bucket up to which it is compared in whole; and shingles hashed at once.
@@ -107,15 +108,24 @@ def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield pa.record_batch([pa.array(fp[tied]), pa.array(fp[root[tied]])], names=["a", "b"])
 
 
-def _near_values(fp: Column, tab: Column, masks: list[int], radius: int) -> Column:
-    """Every value within half the radius of ``fp`` over the positions that table ``tab`` leaves free."""
-    per_table = []
-    for m in masks:
-        free = [i for i in range(BITS) if not (m >> i) & 1]
-        flips = [sum(1 << i for i in c) for n in range(radius // 2 + 1) for c in combinations(free, n)]
-        per_table.append(F.array(*(F.lit(f - (1 << BITS) if f >> (BITS - 1) else f) for f in flips)))
-    flips = F.element_at(F.array(*per_table), tab)
-    return F.transform(flips, lambda f: fp.bitwiseXOR(f))
+@cache
+def _flips(mask: int, radius: int) -> np.ndarray:
+    """All flips of at most half the radius of the positions that a mask leaves free."""
+    free = [i for i in range(BITS) if not (mask >> i) & 1]
+    return np.array([sum(1 << i for i in c) for n in range(radius // 2 + 1) for c in combinations(free, n)], np.uint64).view(np.int64)
+
+
+def _near_values(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
+    """(tab, fp, value) for every value within half the radius of ``fp`` over the positions that table ``tab`` leaves free.
+
+    The flips are made in the tasks: as some 16,000 literals they made the driver's plans large.
+    """
+    for b in in_parts(batches):
+        tab, fp = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for t in np.unique(tab):
+            own, flips = fp[tab == t], _flips(masks[t - 1], radius)
+            values = (own[:, None] ^ flips).ravel()
+            yield pa.record_batch([pa.array(np.full(len(values), t, np.int16)), pa.array(np.repeat(own, len(flips))), pa.array(values)], names=["tab", "fp", "value"])
 
 
 def near_edges(nodes: DataFrame, radius: int = RADIUS, bucket_most: int = BUCKET_MOST) -> DataFrame:
@@ -136,7 +146,7 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, bucket_most: int = BUCKET
     small = shared.where(F.col("n") <= bucket_most).select(F.xxhash64("tab", "key").alias("g"), "fp").repartition(n, "g").sortWithinPartitions("g", "fp")  # so that a bucket hangs on its smallest
     forest = small.mapInArrow(lambda batches: _forest(batches, radius), "a long, b long")
     large = shared.where(F.col("n") > bucket_most)
-    named = large.select("tab", "fp", F.explode(_near_values(F.col("fp"), F.col("tab").cast("int"), masks, radius)).alias("value"))
+    named = large.select("tab", "fp").mapInArrow(lambda batches: _near_values(batches, masks, radius), "tab short, fp long, value long")
     hubs = named.groupBy("tab", "value").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return forest.union(named.join(hubs.hint("merge"), ["tab", "value"]).where("fp != b").select(F.col("fp").alias("a"), "b"))
 

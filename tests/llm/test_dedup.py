@@ -281,3 +281,40 @@ def test_near_candidates_come_from_simhash(spark):
     prints = spark.createDataFrame([(0, 0), (1, 15), (2, 255), (3, -1), (4, -1), (5, 1 << 40 | 0xFFF00000)], "node long, fp long")
     keys = {r.node: r.key for r in near_dedup.simhash_buckets(prints).where(F.col("band") == near_dedup.BANDS).collect()}
     assert keys[0] == keys[1] == keys[2] and keys[3] == keys[4] and len(set(keys.values())) == 3
+
+
+def test_near_edges_plan_is_small(spark, monkeypatch):
+    """The values near a fingerprint are made in the tasks: as literals they filled the driver's memory."""
+    literal, seen = F.lit, []
+
+    def counted(value):
+        seen.append(value)
+        return literal(value)
+
+    monkeypatch.setattr(F, "lit", counted)
+    simhash_dedup.near_edges(spark.range(10).select(F.col("id").alias("fp")))
+    assert len(seen) < 200
+
+
+def test_star_rounds_end_where_they_drop_nothing(spark, monkeypatch):
+    """Texts that share buckets and are no near copies are left to the tasks at once: each round costs the driver's memory."""
+    rng = np.random.default_rng(6)
+    base, texts, rounds, write = [f"w{i}" for i in rng.integers(0, 1 << 40, 400)], [], [], near_dedup.materialize
+    for _ in range(60):
+        copy = base.copy()
+        for at in rng.choice(400, 9, replace=False):
+            copy[at] = f"x{rng.integers(0, 1 << 40)}"
+        texts.append(" ".join(copy))
+
+    def counted(df, name):
+        rounds.append(name == "near-stay")
+        return write(df, name)
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    monkeypatch.setattr(near_dedup, "STAR_FROM", 8)
+    stay = {r.doc_id for r in near_dedup.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    full = [five_words(t) for t in texts]
+    near = [(a, b) for b in range(60) for a in range(b) if jaccard(full[a], full[b]) >= 0.8]
+    assert all(any(i in e and (set(e) - {i}) <= stay for e in near) for i in set(range(60)) - stay)
+    assert not any(a in stay and b in stay for a, b in near) and len(stay) > 50
+    assert 1 <= sum(rounds) <= 3
