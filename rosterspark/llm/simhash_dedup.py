@@ -118,7 +118,7 @@ def _flips(mask: int, radius: int) -> np.ndarray:
 def _near_values(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
     """(tab, fp, value) for every value within half the radius of ``fp`` over the positions that table ``tab`` leaves free.
 
-    The flips are made in the tasks: as some 16,000 literals they made the driver's plans large.
+    The flips are made in the tasks: as some 15,000 literals they made the driver's plans large.
     """
     for b in in_parts(batches):
         tab, fp = b.column(0).to_numpy(), b.column(1).to_numpy()
