@@ -318,3 +318,17 @@ def test_star_rounds_end_where_they_drop_nothing(spark, monkeypatch):
     assert all(any(i in e and (set(e) - {i}) <= stay for e in near) for i in set(range(60)) - stay)
     assert not any(a in stay and b in stay for a, b in near) and len(stay) > 50
     assert 1 <= sum(rounds) <= 3
+
+
+def test_component_plans_are_small(spark, monkeypatch):
+    """Each half of a round is a plan of its own: a whole round in one joined 16 times, which filled the driver's memory."""
+    write, joins = graph.materialize, []
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    found = graph.connected_components(spark.range(30).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(31)}
+    assert len(joins) > 2 and max(joins) <= 2
